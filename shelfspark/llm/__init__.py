@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("quality_rules",)
+_MODULES = ("quality_rules", "sentencepiece_table", "token_files")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
