@@ -38,10 +38,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _uniforms(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two of (0, 1) from each 64 bits."""
-    one = np.float32(2.0**-32)
-    return tuple((((y & np.uint64(0xFFFFFFFF)).astype(np.float32) + np.float32(0.5)) * one).clip(None, np.float32(1 - 2.0**-24)) for y in (x, x >> np.uint64(32)))
+def _uniform(x: np.ndarray, shift: int, bits: int) -> np.ndarray:
+    """Some bits of x as a number in (0, 1)."""
+    part = (x >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
+    return (part.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-bits)
 
 
 class Samples:
@@ -49,7 +49,7 @@ class Samples:
 
     def __init__(self, k: int = K, rows: int = ROWS):
         self.k, self.rows = k, rows
-        self.salt = _mix(np.arange(1, 3 * k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(SEED)).reshape(3, k)
+        self.salt = _mix(np.arange(1, 2 * k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(SEED)).reshape(2, k)
         self.at: dict[tuple[bytes, int], int] = {}
         self.log_a, self.value = np.zeros((rows, k), np.float32), np.zeros((rows, k), np.uint16)
 
@@ -58,29 +58,31 @@ class Samples:
 
         h = np.array([xxhash.xxh64_intdigest(w, SEED) for w, _ in terms], np.uint64)[:, None]
         log_s = np.log(np.array([c for _, c in terms], np.float32))[:, None]
-        u1, u2 = _uniforms(_mix(h ^ self.salt[0]))
-        u3, u4 = _uniforms(_mix(h ^ self.salt[1]))
-        b, _ = _uniforms(_mix(h ^ self.salt[2]))
-        r, log_c = -np.log(u1 * u2), np.log(-np.log(u3 * u4))
+        x, y = _mix(h ^ self.salt[0]), _mix(h ^ self.salt[1])  # 128 bits: 24 + 24 for r, 16 to keep; 20 + 20 for c, 24 for b
+        r = -np.log(_uniform(x, 40, 24) * _uniform(x, 16, 24))
+        log_c = np.log(-np.log(_uniform(y, 44, 20) * _uniform(y, 24, 20)))
+        b = _uniform(y, 0, 24)
         t = np.floor(log_s / r + b)
-        value = _mix(h + (t.astype(np.int64).astype(np.uint64) + self.salt[0]) * np.uint64(0x9E3779B97F4A7C15))
-        return log_c - r * (t - b) - r, (value >> np.uint64(48)).astype(np.uint16)
+        value = (x & np.uint64(0xFFFF)).astype(np.uint16) + t.astype(np.int64).astype(np.uint16) * np.uint16(40503)
+        return log_c - r * (t - b) - r, value
 
     def signature(self, text: str) -> np.ndarray:
         pairs = list(Counter(text.encode().lower().split()).items())
         if not pairs:
             return np.zeros(self.k, np.uint16)
         best, kept = np.full(self.k, np.inf, np.float32), np.zeros(self.k, np.uint16)
+        every = np.arange(self.k)
         for i in range(0, len(pairs), self.rows // 4):  # a text of very many terms goes through in parts
-            a, v = self._part(pairs[i : i + self.rows // 4])
-            at = a.argmin(axis=0)
-            least = np.take_along_axis(a, at[None], 0)[0]
+            at = self.rows_of(pairs[i : i + self.rows // 4])
+            a = self.log_a.take(at, axis=0)
+            winner = a.argmin(axis=0)
+            least = a[winner, every]
             better = least < best
             best[better] = least[better]
-            kept[better] = np.take_along_axis(v, at[None], 0)[0][better]
+            kept[better] = self.value[at[winner], every][better]
         return kept
 
-    def _part(self, pairs: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray]:
+    def rows_of(self, pairs: list[tuple[bytes, int]]) -> np.ndarray:
         get = self.at.get
         at = [get(p, -1) for p in pairs]
         lack = [p for p, i in zip(pairs, at, strict=True) if i < 0]
@@ -92,7 +94,7 @@ class Samples:
             self.log_a[n : n + len(lack)], self.value[n : n + len(lack)] = self.draw(lack)
             self.at.update(zip(lack, range(n, n + len(lack)), strict=True))
             at = [self.at[p] for p in pairs]
-        return self.log_a[at], self.value[at]
+        return np.array(at, np.int32)
 
 
 _samples: list[Samples] = []
