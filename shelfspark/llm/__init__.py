@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("quality_rules", "sentencepiece_table", "token_files", "simhash", "sharding", "weighted_minhash", "packing", "toxicity", "quality_classifier")
+_MODULES = ("quality_rules", "sentencepiece_table", "token_files", "simhash", "sharding", "weighted_minhash", "packing", "toxicity", "quality_classifier", "html_extract")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
