@@ -105,6 +105,21 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column) ->
     return out.select("doc_id", "host", "path", "evidence", F.col("rate").alias("site_rate"), "score", (F.col("score") >= THRESHOLD).alias("keep"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> DataFrame:
+    """docs, all columns and rows as they are, without those whose posterior falls below the threshold. Texts stay where
+    they are while the table of sites is within the broadcast bound."""
+    weights = fit(docs, labels)
+    raw = lambda: F.greatest(F.least(sum((F.col(f) * F.lit(float(w)) for f, w in zip(FEATURES, weights, strict=True)), F.lit(0.0)), F.lit(12.0)), F.lit(-12.0))
+    site = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), site(host).alias("host"), site(path).alias("path"), text_or_empty().alias("text"))
+    rows = stage(measurements(named, ["__row", "host", "path"]).select("__row", "host", "path", raw().alias("raw")), "evidence")
+    centre, sites = site_posteriors(rows.withColumn("evidence", 1 / (1 + F.exp(-F.col("raw")))), p="evidence")
+    rate = F.greatest(F.least(F.col("rate"), F.lit(1 - 1e-3)), F.lit(1e-3))
+    posterior = F.col("raw") - F.lit(float(np.log(centre / (1 - centre)))) + F.log(rate / (1 - rate))
+    kept = join_small(rows, stage(sites.select("host", "path", "rate"), "sites"), ["host", "path"], "inner").where(posterior >= float(np.log(THRESHOLD / (1 - THRESHOLD))))
+    return kept.select("__row.*")
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hosts are sources, paths their languages: the levels that `documents` has."""
     return classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))

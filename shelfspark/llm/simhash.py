@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, each_batch, stage, strings
+from .common import documents, each_batch, join_small, stage, strings
 from .components import components
 
 RADIUS = 3
@@ -173,6 +173,19 @@ def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
     return rows.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
+    """docs, all columns, with one document of each component: the one of the least doc_id (nulls are groups of their
+    own fingerprints like others). Rows of one doc_id count as one document; one of them stays."""
+    found = stage(near_duplicates(docs, width), "components")
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").where("doc_id is not null").distinct()
+    kept = join_small(docs, gone, ["doc_id"], "left_anti")
+    again = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return kept
+    twice = kept.join(again, kept["doc_id"].eqNullSafe(again["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(again, kept["doc_id"].eqNullSafe(again["doc_id"]), "left_anti").unionByName(twice)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -269,6 +269,20 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     return hit_sums(docs, model.terms).withColumn("score", model.score(F.col("hits"), F.col("near"))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """docs, all columns and rows as they are, without the documents whose score reaches the threshold. Rows pass through
+    whole: no join, no shuffle."""
+    spec, (start, hit, edit) = json.dumps(model.terms), model.curve
+    limit = math.log(THRESHOLD / (1 - THRESHOLD))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in each_batch(batches, 1000):
+            sums = map(_scorer(spec).score, strings(b))
+            yield b.filter(pa.array([start + hit * math.log1p(s) + edit * math.log1p(e) < limit for s, e, _, _ in sums], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
