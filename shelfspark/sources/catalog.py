@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shelfspark.functions.text import NA_WORDS, blank_to_null, clean_price, strip, strip_html
 
@@ -84,7 +83,7 @@ def is_shopify(item: Column) -> Column:
     return F.coalesce(has("variants") | has("body_html") | (has("title") & has("id")), F.lit(False))
 
 
-_SHOPIFY = T._parse_datatype_string(
+_SHOPIFY = (
     "title string, body_html string, vendor string, product_type string, tags string, price string, "
     "variants array<struct<price:string,sku:string>>, options array<struct<name:string,values:array<string>>>, images array<struct<alt:string>>"
 )
