@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,20 +74,22 @@ def each_batch(batches: Iterable[pa.RecordBatch], rows: int = 2000) -> Iterator[
 
 class WordTable(dict):
     """Distinct words of a worker, each with its value, in two generations of at most `cap` words: when the young one
-    is full it becomes the old one, and words found in the old one move back. Memory stays bounded, common words stay."""
+    is full it becomes the old one, and words found in the old one move back. Memory stays bounded, common words stay.
+    A word that is in neither is given to `learn`."""
 
-    def __init__(self, cap: int = 300_000):
+    def __init__(self, learn: Callable[[str], bytes], cap: int = 500_000):
         super().__init__()
-        self.cap, self.old = cap, {}
+        self.learn, self.cap, self.old = learn, cap, {}
 
-    def missing(self, found: set) -> list:
-        """Makes room, moves old words back and returns the words that have no value yet."""
+    def __missing__(self, word: str) -> bytes:
+        value = self.old.get(word)
+        if value is None:
+            value = self.learn(word)
+        self[word] = value
+        return value
+
+    def make_room(self) -> None:
+        """To be called now and then, between texts."""
         if len(self) > self.cap:
             self.old = dict(self)
             self.clear()
-        lack = found.difference(self)
-        if self.old:
-            kept = lack.intersection(self.old)
-            self.update((w, self.old[w]) for w in kept)
-            lack -= kept
-        return list(lack)

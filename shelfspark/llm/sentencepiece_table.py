@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ class PieceTable:
         if any("▁" in self.model.id_to_piece(i).lstrip("▁") for i in range(self.model.get_piece_size())):
             raise ValueError("the model has pieces that cross white space markers")
         self.begin, self.end, self.blank = self.model.bos_id(), self.model.eos_id(), self.model.piece_to_id("▁")
-        self.table = WordTable()
+        self.table = WordTable(self._key)
 
     @staticmethod
     def split(text: str) -> list[str]:
@@ -46,16 +47,18 @@ class PieceTable:
             return parts
         return [c[1:] if len(c) > 1 and c[1] != " " else c for c in re.findall(" +[^ ]*", " " + text)]
 
+    def _key(self, key: str) -> bytes:
+        """Ids of one marked chunk; the library puts one marker before what it is given."""
+        if key == " ":
+            return np.array([self.blank], "<u2").tobytes()
+        return array("H", self.model.encode(key[1:] if key[0] == " " else key)).tobytes()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        keys = [self.split(t) for t in texts]
-        table = self.table
-        lack = table.missing(set().union(*keys))
-        if lack:  # the library puts one marker before what it is given
-            for k, ids in zip(lack, self.model.encode([k[1:] if k[0] == " " else k for k in lack], num_threads=1), strict=True):
-                table[k] = np.array(ids if k != " " else [self.blank], "<u2").tobytes()
-        get = table.__getitem__
-        edge = [np.array([i], "<u2").tobytes() for i in (self.begin, self.end)]
-        return [np.frombuffer(b"".join([edge[0], *map(get, k), edge[1]]), "<u2") for k in keys]
+        get = self.table.__getitem__
+        begin, end = (np.array([i], "<u2").tobytes() for i in (self.begin, self.end))
+        out = [np.frombuffer(b"".join([begin, *map(get, self.split(t)), end]), "<u2") for t in texts]
+        self.table.make_room()
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         return self.model.decode(ids.tolist())

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import os
-import re
+import string
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from operator import attrgetter
@@ -37,15 +37,15 @@ class BlankSplit:
     Keys of the table are chunks without that blank; the first chunk of a text (no blank before it) and chunks with
     further white space are marked by `\\0 `, which no other key can begin with (a plain key holds no blank)."""
 
-    def __init__(self, encode_chunks: Callable[[list[str]], list[bytes]]):
-        self.encode_chunks, self.table = encode_chunks, WordTable()
+    def __init__(self, encode_key: Callable[[str], bytes]):
+        self.table = WordTable(encode_key)
 
     @staticmethod
     def split(text: str) -> list[str]:
         if not text:
             return []
         parts = text.split(" ")
-        if "" not in parts and not _ODD_SPACE(text):
+        if "" not in parts and not _odd_space(text):
             parts[0] = "\0 " + parts[0]
             return parts
         keys, now = [], parts[0]
@@ -62,27 +62,27 @@ class BlankSplit:
     def text_of(key: str) -> str:
         return key[2:] if key.startswith("\0 ") else " " + key
 
-    def learn(self, keys: list[str]) -> None:
-        self.table.update(zip(keys, self.encode_chunks([self.text_of(k) for k in keys]), strict=True))
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        keys = [self.split(t) for t in texts]
-        table = self.table
-        lack = table.missing(set().union(*keys))
-        if lack:
-            self.learn(lack)
-        get = table.__getitem__
-        return [b"".join(map(get, k)) for k in keys]
+        get, split = self.table.__getitem__, self.split
+        out = [b"".join(map(get, split(t))) for t in texts]
+        self.table.make_room()
+        return out
 
 
 #: White space beside a blank, or white space other than a blank or a line end.
-_ODD_SPACE = re.compile(r"[^\S \n]|\n | \n").search
-#: A piece of one kind: an optional blank, then letters; what follows it: stops and commas.
-_STOPS = ".,"
+_ODD = ["\n ", " \n", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
+
+
+def _odd_space(text: str) -> bool:
+    return any(c in text for c in _ODD)
+
+
+#: ASCII characters that are neither letters nor digits nor white space: a run of them behind letters is one pre-token.
+_STOPS = string.punctuation
 
 
 class TokenizersTable(BlankSplit):
-    """The tokenizers library behind a chunk table. Most chunks are one run of letters with stops behind it: the
+    """The tokenizers library behind a chunk table. Most chunks are one run of letters with other marks behind it: the
     pre-tokenizer would cut such a chunk there and nowhere else, so the library's model is asked for these two runs
     alone and each run is kept once. All other chunks pass through the whole library."""
 
@@ -90,8 +90,8 @@ class TokenizersTable(BlankSplit):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        super().__init__(self._chunks)
-        self.tokenizer, self.runs = Tokenizer.from_file(path), WordTable()
+        super().__init__(self._key)
+        self.tokenizer, self.runs = Tokenizer.from_file(path), WordTable(self._run)
         self.model = self.tokenizer.model
         spec = json.loads(Path(path).read_text())
         self.lower = spec["normalizer"] is not None  # the file that lower-cases and drops white space
@@ -122,34 +122,22 @@ class TokenizersTable(BlankSplit):
                 out.append(tail)
         return out
 
-    def learn(self, keys: list[str]) -> None:
-        """Keys of letters with stops behind them at once, all others by way of _chunks."""
-        table, runs, rest, safe = self.table, self.runs, [], not self.lower
-        runs.missing(set())
-        for k in keys:
-            core = k if k.isalpha() else k.rstrip(_STOPS)
-            if not core.isalpha() or not (safe or core.isascii()):
-                rest.append(k)
-                continue
-            run = " " + core if safe else core.lower()
-            ids = runs.get(run) or runs.old.get(run)
-            if ids is None:
-                ids = runs[run] = self._run(run)
-            if len(core) < len(k):
-                tail = k[len(core):]
-                ids += runs.get(tail) or runs.setdefault(tail, self._run(tail))
-            table[k] = ids
-        if rest:
-            super().learn(rest)
-
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        plain = [self._plain(c) for c in chunks]
-        lack = self.runs.missing({r for p in plain if p for r in p})
-        self.runs.update((r, self._run(r)) for r in lack)
-        whole = [c for c, p in zip(chunks, plain, strict=True) if p is None]
-        found = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)) if whole else iter(())
-        get = self.runs.__getitem__
-        return [np.array(next(found).ids, "<u2").tobytes() if p is None else get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in plain]
+    def _key(self, key: str) -> bytes:
+        """Ids of a chunk by its key: letters with marks behind them at once, others by way of _plain or the library."""
+        core = key if key.isalpha() else key.rstrip(_STOPS)
+        if core.isalpha() and (not self.lower or core.isascii()):
+            ids = self.runs[core.lower() if self.lower else " " + core]
+            return ids if len(core) == len(key) else ids + self.runs[key[len(core):]]
+        chunk = self.text_of(key)
+        plain = self._plain(chunk)
+        if plain is None:
+            return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes()
+        return b"".join(map(self.runs.__getitem__, plain))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out = super().encode(texts)
+        self.runs.make_room()
+        return out
 
 
 def cached(kind: Callable[[str], BlankSplit], path: str) -> BlankSplit:
