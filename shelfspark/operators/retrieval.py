@@ -284,7 +284,7 @@ def run_queries(queries: DataFrame, index: DataFrame, facts: DataFrame, constrai
     """queries (query_id, query, vec), index (side, key, vec, text), ... -> final rows of all queries and both sides."""
     hits = search(queries, index, k)
     told = facts.groupBy("key").agg(F.array_join(ordered_list([F.col("ord")], F.concat_ws(" ", "attr", "value")), " ").alias("__f"))
-    hits = hits.join(index.select("side", "key", "text"), ["side", "key"]).join(told, "key", "left").withColumn("evidence", F.concat_ws(" ", "__f", "text")).drop("__f", "text")
+    hits = hits.join(index.select("side", "key", "text"), ["side", "key"]).join(told, "key", "left").withColumn("evidence", F.concat_ws(" ", "__f", "text")).drop("__f", "text").persist()  # at most k rows a query and side, read three times
     clean = sanitize_constraints(constraints, queries)
     checks = hard_checks(hits, clean, facts)
     gated = gate_candidates(evidence_gaps(queries, hits), checks)

@@ -92,7 +92,7 @@ g2 AS (SELECT *, bool_or(gaps = '') OVER (PARTITION BY query_id, side) AS b FROM
 
 def _gated(v):  # noqa: ANN001, ANN202
     both = _both(v)
-    hits = R.search(_queries(v).select("query_id", "vec"), both).join(both.select("side", "key", F.col("text").alias("evidence")), ["side", "key"])
+    hits = R.search(_queries(v).select("query_id", "vec"), both).join(both.select("side", "key", F.col("text").alias("evidence")), ["side", "key"]).persist()
     checks = R.hard_checks(hits, _constraints(v).where("pos < 3"), _facts(v))
     return R.gate_candidates(R.evidence_gaps(_queries(v), hits), checks), checks
 

@@ -1,5 +1,6 @@
 """Every registered catalog query against its SQL twin."""
 
+import pandas as pd
 import pytest
 
 from shelfspark.plans import registry
@@ -9,7 +10,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def normal(df):
     df = df[sorted(df.columns)]
-    tidy = lambda x: None if x is None or x != x else x if isinstance(x, (bool, str)) else round(float(x), 9)
+    tidy = lambda x: x if isinstance(x, (bool, str)) else None if pd.isna(x) else round(float(x), 9)
     return sorted(repr([tidy(x.item() if hasattr(x, "item") else x) for x in row]) for row in df.itertuples(index=False, name=None))
 
 
