@@ -53,22 +53,33 @@ class Codebook:
         self.symbol[:filled] = np.repeat(order, span)
         self.width[:filled] = np.repeat(self.lengths[order], span)
 
-    def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """The bits, filled to whole bytes, and the bit offset of each block."""
+    def encode(self, ids: np.ndarray, sizes: np.ndarray) -> list[tuple[bytes, np.ndarray]]:
+        """Sequences of these sizes (none empty), one behind another in ids -> for each its bits, filled to whole bytes,
+        and the bit offset of each of its blocks. All are coded in one go, each from a byte of its own."""
         if not len(ids):
-            return b"", np.zeros(0, np.uint32)
+            return []
         width = self.lengths[ids].astype(np.int64)
         ends = np.cumsum(width)
-        starts = ends - width
+        last = np.cumsum(sizes)
+        first = last - sizes
+        bits = np.diff(ends[last - 1], prepend=0)
+        byte_ends = np.cumsum((bits + 7) // 8)
+        byte_starts = byte_ends - (bits + 7) // 8
+        starts = ends - width + np.repeat(byte_starts * 8 - (ends - width)[first], sizes)
         word, shift = starts >> 6, 64 - (starts & 63) - width
         code = self.codes[ids]
-        over = shift < 0
-        high = np.where(over, code >> np.where(over, -shift, 0).astype(np.uint64), code << np.where(over, 0, shift).astype(np.uint64))
-        out = np.zeros(int(ends[-1] >> 6) + 2, np.uint64)
+        over = np.flatnonzero(shift < 0)
+        spill = (-shift[over]).astype(np.uint64)
+        shift[over] = 0
+        high = code << shift.astype(np.uint64)
+        high[over] = code[over] >> spill
+        out = np.zeros(int(byte_ends[-1] >> 3) + 2, np.uint64)
         heads = np.flatnonzero(np.diff(word, prepend=-1))
         out[word[heads]] = np.add.reduceat(high, heads)
-        out[word[over] + 1] += code[over] << (64 + shift[over]).astype(np.uint64)
-        return out.byteswap().tobytes()[: (int(ends[-1]) + 7) // 8], starts[::BLOCK].astype(np.uint32)
+        out[word[over] + 1] += code[over] << (np.uint64(64) - spill)
+        packed = out.byteswap().tobytes()
+        local = starts - np.repeat(byte_starts * 8, sizes)
+        return [(packed[a:b], local[i:j:BLOCK].astype(np.uint32)) for a, b, i, j in zip(byte_starts.tolist(), byte_ends.tolist(), first.tolist(), last.tolist(), strict=True)]
 
     def decode(self, bits: bytes, offsets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Ids of all blocks, one after another; blocks are independent and are decoded side by side."""

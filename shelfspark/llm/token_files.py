@@ -28,6 +28,8 @@ from .tokens import TokenizersTable, encoded, public_path
 FILE = "byte_bpe_50k.json"
 #: Tokens of a segment, but for a longer last document.
 SEGMENT = 1 << 18
+#: Stands for a null document id.
+NO_ID = -(1 << 63)
 SEGMENTS = "part int, segment int, n_tokens long, doc_ids binary, doc_tokens binary, offsets binary, bits binary"
 
 
@@ -49,10 +51,9 @@ def id_counts(ids: DataFrame) -> np.ndarray:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for b in batches:
-            for x in b.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(x, "<u2"), minlength=1 << 16) if len(x) > 1 << 16 else 0
-            short = b"".join(x for x in b.column(0).to_pylist() if len(x) <= 1 << 16)
-            total += np.bincount(np.frombuffer(short, "<u2"), minlength=1 << 16)
+            ids = b.column(0)
+            ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+            total += np.bincount(np.frombuffer(ids.buffers()[2], np.uint8)[ends[0] : ends[-1]].view("<u2"), minlength=1 << 16) if len(ids) else 0
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
 
@@ -66,7 +67,8 @@ def _coded(ids: DataFrame, lengths: bytes) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = Codebook(np.frombuffer(lengths, np.uint8))
         for b in batches:
-            both = [book.encode(np.frombuffer(x, "<u2")) for x in b.column("ids").to_pylist()]
+            parts = b.column("ids").to_pylist()
+            both = [x for i in range(0, len(parts), 500) for x in book.encode(np.frombuffer(b"".join(parts[i : i + 500]), "<u2"), np.array([len(x) // 2 for x in parts[i : i + 500]]))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_tokens"), pa.array([o.astype("<u4").tobytes() for _, o in both], pa.binary()), pa.array([x for x, _ in both], pa.binary())], ["doc_id", "n_tokens", "offsets", "bits"])
 
     return ids.mapInArrow(run, "doc_id long, n_tokens long, offsets binary, bits binary")
@@ -79,7 +81,7 @@ def _segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def closed() -> pa.RecordBatch:
         base = np.cumsum([0] + [len(r["bits"]) * 8 for r in held])
         moved = [np.frombuffer(r["offsets"], "<u4").astype("<u8") + np.uint64(at) for r, at in zip(held, base, strict=False)]
-        ids = np.array([-1 if r["doc_id"] is None else r["doc_id"] for r in held], "<i8")
+        ids = np.array([NO_ID if r["doc_id"] is None else r["doc_id"] for r in held], "<i8")
         row = [part, segment, tokens, ids.tobytes(), np.array([r["n_tokens"] for r in held], "<i8").tobytes(), np.concatenate(moved).tobytes(), b"".join(r["bits"] for r in held)]
         kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
         return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], [x.split()[0] for x in SEGMENTS.split(", ")])
@@ -127,7 +129,7 @@ def read_token_files(spark: SparkSession, path: str, each: Callable[[np.ndarray]
                 ends = np.cumsum(n)
                 values = [each(x) for x in np.split(ids, ends[:-1])]
                 k = len(n)
-                head = [pa.array(np.full(k, r["part"], np.int32)), pa.array(np.full(k, r["segment"], np.int32)), pa.array([None if x < 0 else x for x in np.frombuffer(r["doc_ids"], "<i8").tolist()], pa.int64()), pa.array(ends - n), pa.array(n)]
+                head = [pa.array(np.full(k, r["part"], np.int32)), pa.array(np.full(k, r["segment"], np.int32)), pa.array([None if x == NO_ID else x for x in np.frombuffer(r["doc_ids"], "<i8").tolist()], pa.int64()), pa.array(ends - n), pa.array(n)]
                 yield pa.RecordBatch.from_arrays([*head, *(pa.array([v[i] for v in values]) for i in range(len(names)))], ["part", "segment", "doc_id", "__in", "n_tokens", *names])
 
     docs = segments.mapInArrow(run, f"part int, segment int, doc_id long, __in long, n_tokens long, {columns}")
