@@ -62,22 +62,31 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long")
 
 
-def _masks() -> np.ndarray:
-    """(mask to keep, mark in the masked block, bit to turn) for every variant."""
-    out = []
-    for j, (low, high) in enumerate(BLOCKS):
-        keep = (1 << 64) - 1 & ~((1 << high) - (1 << low))
-        mark = (j + 1) << low
-        out += [(keep, mark, 0)] + [(keep, mark, 1 << b) for b in range(64) if not low <= b < high]
-    return np.array(out, np.uint64)
+_LOW = np.array([low for low, _ in BLOCKS], np.uint64)
+_INSIDE = np.array([(1 << (high - low)) - 1 for low, high in BLOCKS], np.uint64)
+_KEEP = ~(_INSIDE << _LOW)
 
 
 def _variants(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    masks = _masks()
+    """(key, rest): key is a variant with one block masked out, marked there by the block's number; rest is what it takes
+    to get the fingerprint back: the block's bits, its number (2 bits) and the turned bit (7 bits, 64 for none)."""
+    block = np.array([j for j, (low, high) in enumerate(BLOCKS) for b in range(65) if b == 64 or not low <= b < high])
+    turned = np.array([b for low, high in BLOCKS for b in range(65) if b == 64 or not low <= b < high], np.uint64)
+    flip = np.where(turned < 64, np.uint64(1) << (turned & np.uint64(63)), np.uint64(0))
+    mark = np.array([j + 1 for j in block], np.uint64) << _LOW[block]
+    tail = block.astype(np.uint64) << np.uint64(7) | turned
     for b in each_batch(batches, 1000):
-        fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        keys = ((fp[:, None] & masks[:, 0]) | masks[:, 1]) ^ masks[:, 2]
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(fp, len(masks)).view(np.int64))], ["key", "fp"])
+        fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)[:, None]
+        keys = ((fp & _KEEP[block]) | mark) ^ flip
+        rest = (fp >> _LOW[block] & _INSIDE[block]) << np.uint64(9) | tail
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(rest.ravel().astype(np.int32))], ["key", "rest"])
+
+
+def _fingerprint_of(key: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    rest = rest.astype(np.uint64)
+    block, turned = (rest >> np.uint64(7) & np.uint64(3)).astype(np.int64), rest & np.uint64(127)
+    flip = np.where(turned < 64, np.uint64(1) << (turned & np.uint64(63)), np.uint64(0))
+    return (((key.view(np.uint64) ^ flip) & _KEEP[block]) | rest >> np.uint64(9) << _LOW[block]).view(np.int64)
 
 
 def _forest(u: np.ndarray, v: np.ndarray) -> tuple[list, list]:
@@ -139,7 +148,8 @@ def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     for b in batches:
-        held.append(tuple(b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)))
+        keys = b.column(0).to_numpy(zero_copy_only=False)
+        held.append((keys, _fingerprint_of(keys, b.column(1).to_numpy(zero_copy_only=False))))
         rows += b.num_rows
         if rows < 200_000:
             continue
@@ -156,8 +166,8 @@ def links(fps: DataFrame) -> DataFrame:
     """fps (fp long, distinct) -> (u, v), u < v: links that connect all fingerprints within the radius of one another;
     all of them but for keys of over 64 fingerprints, which give a spanning forest."""
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    variants = fps.select("fp").mapInArrow(_variants, "key long, fp long")
-    found = variants.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_meet, "u long, v long")
+    variants = fps.select("fp").mapInArrow(_variants, "key long, rest int")
+    found = variants.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet, "u long, v long")
     return found.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
