@@ -35,31 +35,33 @@ def fingerprint(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np
     return np.packbits(2 * counts > sizes[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def _hashes(text: str, width: int) -> list[int]:
-    import xxhash
-
+def _shingles(text: str, width: int) -> list[bytes]:
     words = text.encode().lower().split()  # bytes: A-Z only; ASCII white space only
     if not words:
         return []
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
-    return [xxhash.xxh64_intdigest(s, SEED) for s in shingles]
+    return list(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))) if len(words) >= width else [b" ".join(words)]
 
 
-def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long): the SimHash of each whole text over `width`-word shingles, repeats included."""
+def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+    """(doc_id, fp long): the SimHash of each whole text over `width`-word shingles, repeats included; fp_1, fp_2, ... by
+    further seeds."""
+    names = ["fp", *(f"fp_{i}" for i in range(1, len(seeds)))]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for b in each_batch(batches, 100):
-            out = np.zeros(b.num_rows, np.uint64)
-            each = [_hashes(t, width) for t in strings(b)]
+            each = [_shingles(t, width) for t in strings(b)]
             sizes = np.array([len(x) for x in each], np.int64)
             full = np.flatnonzero(sizes)
-            if len(full):
-                flat = np.fromiter((h for x in each for h in x), np.uint64, int(sizes.sum()))
-                out[full] = fingerprint(flat, (np.cumsum(sizes) - sizes)[full], sizes[full])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+            out = np.zeros((len(seeds), b.num_rows), np.uint64)
+            for k, seed in enumerate(seeds if len(full) else ()):
+                flat = np.fromiter((xxhash.xxh64_intdigest(s, seed) for x in each for s in x), np.uint64, int(sizes.sum()))
+                out[k, full] = fingerprint(flat, (np.cumsum(sizes) - sizes)[full], sizes[full])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x.view(np.int64)) for x in out)], ["doc_id", *names])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long")
+    kinds = ", ".join(f"{n} long" for n in names)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, {kinds}")
 
 
 _LOW = np.array([low for low, _ in BLOCKS], np.uint64)
@@ -171,22 +173,39 @@ def links(fps: DataFrame) -> DataFrame:
     return found.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the least doc_id reachable over links."""
-    rows = stage(fingerprints(docs, width, id_col, text_col), "fingerprints")
-    fps = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+def _of_fingerprints(rows: DataFrame, name: str) -> DataFrame:
+    """rows (doc_id, name) -> (name, component): the least doc_id reachable from each fingerprint."""
+    fps = stage(rows.groupBy(F.col(name).alias("fp")).agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     nodes = components(links(fps))
-    member = fps.join(nodes, fps.fp == nodes.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    member = stage(member, "members")
-    least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = member.join(least, "root").select("fp", "component_id")
-    return rows.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    member = stage(fps.join(nodes, fps.fp == nodes.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "members")
+    least = member.groupBy("root").agg(F.min("least").alias("component"))
+    return member.join(least, "root").select(F.col("fp").alias(name), "component")
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+    """(doc_id, fp, component_id): component_id is the least doc_id reachable over links. With several seeds documents
+    link if the fingerprints of any seed do; fp is the first seed's."""
+    rows = stage(fingerprints(docs, width, id_col, text_col, seeds), "fingerprints")
+    if len(seeds) == 1:
+        return rows.join(_of_fingerprints(rows, "fp"), "fp").select("doc_id", "fp", F.col("component").alias("component_id"))
+    placed = rows
+    for i in range(len(seeds)):
+        name = f"fp_{i}" if i else "fp"
+        placed = placed.join(_of_fingerprints(rows, name).withColumnRenamed("component", f"c_{i}"), name)
+    placed = stage(placed.select("doc_id", "fp", *(f"c_{i}" for i in range(len(seeds)))), "placed")
+    edges = placed.select(F.col("c_0").alias("u"), F.explode(F.array(*[f"c_{i}" for i in range(1, len(seeds))])).alias("v")).where("u <> v").distinct()
+    nodes = components(edges)
+    return placed.join(nodes, placed.c_0 == nodes.node, "left").select("doc_id", "fp", F.coalesce("root", "c_0").alias("component_id"))
+
+
+#: Seeds of the filter: a second, independent fingerprint finds about half of the near copies that the first one misses.
+KEEP_SEEDS = (SEED, SEED + 1)
 
 
-def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 3, seeds: tuple[int, ...] = KEEP_SEEDS) -> DataFrame:
     """docs, all columns, with one document of each component: the one of the least doc_id (nulls are groups of their
     own fingerprints like others). Rows of one doc_id count as one document; one of them stays."""
-    found = stage(near_duplicates(docs, width), "components")
+    found = stage(near_duplicates(docs, width, seeds=seeds), "components")
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").where("doc_id is not null").distinct()
     kept = join_small(docs, gone, ["doc_id"], "left_anti")
     again = found.groupBy("doc_id").count().where("count > 1").select("doc_id")

@@ -20,7 +20,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, each_batch, stage, strings, table
@@ -190,8 +190,11 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def learn_terms(rows: DataFrame) -> tuple[list[str], DataFrame]:
     """The lexicon, and rows (doc_id, w) of the weights that make copies count as one."""
     each = stage(rows.mapInArrow(_terms, "doc_id long, toxic int, keys array<long>, terms array<string>, examples array<string>"), "terms")
-    size = [F.count("*").over(Window.partitionBy(F.get("keys", F.lit(i)), "toxic")) for i in range(3)]
-    weighted = each.withColumn("w", 1 / F.greatest(*size))
+    weighted = each
+    for i in range(3):  # copies of a text share keys; the counts are at most as many as the sample has rows
+        size = each.groupBy(F.get("keys", F.lit(i)).alias(f"k{i}"), "toxic").agg(F.count("*").alias(f"n{i}"))
+        weighted = weighted.withColumn(f"k{i}", F.get("keys", F.lit(i))).join(F.broadcast(size), [f"k{i}", "toxic"])
+    weighted = weighted.withColumn("w", 1 / F.greatest("n0", "n1", "n2"))
     weights = weighted.select("doc_id", "w")
     sums = weighted.agg(F.sum(F.col("w") * F.col("toxic")).alias("p"), F.sum(F.col("w") * (1 - F.col("toxic"))).alias("n")).first()
     p, n = sums["p"] or 0.0, sums["n"] or 0.0
@@ -199,7 +202,7 @@ def learn_terms(rows: DataFrame) -> tuple[list[str], DataFrame]:
     counted = pairs.groupBy("term").agg(F.sum(F.col("w") * F.col("toxic")).alias("a"), F.sum(F.col("w") * (1 - F.col("toxic"))).alias("b"), F.approx_count_distinct("example").alias("endings"))
     odds = F.log((F.col("a") + 0.5) / (p + 1)) - F.log((F.col("b") + 0.5) / (n + 1)) - F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
     good = counted.where((F.col("a") >= max(3.0, 0.012 * p)) & (odds >= 2.4) & (F.col("b") <= 0.02 * F.col("a")) & (~F.col("term").endswith("*") | (F.col("endings") >= 4)))
-    best = [r["term"] for r in good.orderBy(odds.desc(), "term").limit(MOST_TERMS).collect()]
+    best = [r["term"] for r in good.orderBy(odds.desc(), F.length("term").desc(), "term").limit(MOST_TERMS).collect()]
     kept: list[str] = []
     for s in (t[:-1] for t in best if t.endswith("*")):  # of stems that begin one another, the one of best odds
         if not any(s.startswith(k) or k.startswith(s) for k in kept):
