@@ -26,8 +26,8 @@ def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document of the least doc_id stays."""
-    return simhash.keep_one(docs)
+    """Of each group of texts linked by a five-word similarity of 0.8 or more the document of the least doc_id stays."""
+    return simhash.keep_one(docs, seeds=simhash.KEEP_SEEDS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

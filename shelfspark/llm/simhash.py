@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import shingle_join
 from .common import documents, each_batch, join_small, stage, strings
 from .components import components
 
@@ -173,18 +174,26 @@ def links(fps: DataFrame) -> DataFrame:
     return found.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def _of_fingerprints(rows: DataFrame, name: str) -> DataFrame:
-    """rows (doc_id, name) -> (name, component): the least doc_id reachable from each fingerprint."""
+def _of_fingerprints(rows: DataFrame, name: str, edges: DataFrame | None = None) -> DataFrame:
+    """rows (doc_id, name) -> (name, component): the least doc_id reachable from each fingerprint, over edges (u, v) or
+    the links of the fingerprints."""
     fps = stage(rows.groupBy(F.col(name).alias("fp")).agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    nodes = components(links(fps))
+    nodes = components(links(fps) if edges is None else edges)
     member = stage(fps.join(nodes, fps.fp == nodes.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "members")
     least = member.groupBy("root").agg(F.min("least").alias("component"))
     return member.join(least, "root").select(F.col("fp").alias(name), "component")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int | None = None, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the least doc_id reachable over links. With several seeds documents
-    link if the fingerprints of any seed do; fp is the first seed's."""
+    link if the fingerprints of any seed do; fp is the first seed's. Without a seed documents link if their shingle sets
+    have a similarity of 0.8 or more (see shingle_join); fp is the text's hash. The width is 3, and 5 without a seed."""
+    width = width or (3 if seeds else shingle_join.WIDTH)
+    if not seeds:
+        texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
+        rows = stage(texts.select("doc_id", F.col("node").alias("fp")), "text-hashes")
+        edges = shingle_join.links(texts.select("node", "text"), width)
+        return rows.join(_of_fingerprints(rows, "fp", edges), "fp").select("doc_id", "fp", F.col("component").alias("component_id"))
     rows = stage(fingerprints(docs, width, id_col, text_col, seeds), "fingerprints")
     if len(seeds) == 1:
         return rows.join(_of_fingerprints(rows, "fp"), "fp").select("doc_id", "fp", F.col("component").alias("component_id"))
@@ -198,11 +207,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
     return placed.join(nodes, placed.c_0 == nodes.node, "left").select("doc_id", "fp", F.coalesce("root", "c_0").alias("component_id"))
 
 
-#: Seeds of the filter; more seeds find more near copies and make more links.
-KEEP_SEEDS = (SEED,)
+#: Seeds of the pipeline's filter: none, so documents are compared by their five-word shingles, not by fingerprints.
+KEEP_SEEDS: tuple[int, ...] = ()
 
 
-def keep_one(docs: DataFrame, width: int = 3, seeds: tuple[int, ...] = KEEP_SEEDS) -> DataFrame:
+def keep_one(docs: DataFrame, width: int | None = None, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
     """docs, all columns, with one document of each component: the one of the least doc_id (nulls are groups of their
     own fingerprints like others). Rows of one doc_id count as one document; one of them stays."""
     found = stage(near_duplicates(docs, width, seeds=seeds), "components")

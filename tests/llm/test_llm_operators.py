@@ -457,3 +457,42 @@ def test_crc_of_pieces(spark, odd):
 
     ids = np.array([*Tokenizer.from_file(tokens.public_path(packing.FILE)).encode(dict(ODD)[10], add_special_tokens=False).ids, 1], "<u4")
     assert all(r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in rows)
+
+
+def five_word_groups(rows):
+    """Least index of each group of rows whose texts' five-word shingle sets have a similarity of 0.8 or more."""
+    sets = []
+    for t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)})
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return [find(i) for i in range(len(rows))]
+
+
+def test_keep_one_finds_all_similar(spark):
+    draw = random.Random(11)
+    vocabulary = ["".join(draw.choice("abcdefghij") for _ in range(4)) for _ in range(900)]
+    line = " ".join(vocabulary[:9])  # common to most texts
+    texts = []
+    for _ in range(25):
+        words = [draw.choice(vocabulary) for _ in range(draw.choice([3, 60, 150, 400]))]
+        for _ in range(6):  # similarities from about 0.6 to 1
+            copy = list(words)
+            for _ in range(draw.randint(0, max(1, len(words) // 25))):
+                copy[draw.randrange(len(copy))] = draw.choice(vocabulary)
+            texts.append(" ".join(copy) + (f" {line}" if draw.random() < 0.8 else ""))
+    groups = five_word_groups(texts)
+    assert 25 < len(set(groups)) < len(texts)
+    got = simhash.keep_one(docs_of(spark, enumerate(texts)), seeds=simhash.KEEP_SEEDS).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(set(groups))
