@@ -55,7 +55,7 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{SPACE_CLASS}+"))
 
 
-def join_small(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", bound: int = BROADCAST_ROWS) -> DataFrame:
+def join_small(left: DataFrame, right: DataFrame, keys: list[str] | Column, how: str = "left", bound: int = BROADCAST_ROWS) -> DataFrame:
     """Equi-join on keys. right is broadcast only if a count shows at most `bound` rows; beyond that Spark shuffles
     both sides and splits skewed partitions (adaptive skew join)."""
     return left.join(F.broadcast(right) if right.limit(bound + 1).count() <= bound else right, keys, how)

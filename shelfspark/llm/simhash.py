@@ -212,16 +212,20 @@ KEEP_SEEDS: tuple[int, ...] = ()
 
 
 def keep_one(docs: DataFrame, width: int | None = None, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
-    """docs, all columns, with one document of each component: the one of the least doc_id (nulls are groups of their
-    own fingerprints like others). Rows of one doc_id count as one document; one of them stays."""
-    found = stage(near_duplicates(docs, width, seeds=seeds), "components")
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").where("doc_id is not null").distinct()
-    kept = join_small(docs, gone, ["doc_id"], "left_anti")
-    again = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """docs, all columns, with one row of each component: the one of the least doc_id (nulls last), then of the least
+    hash of the text. Rows are told apart by both, so neither rows without an id nor rows of one id and several texts
+    stand for one another; of rows that are equal in both one stays."""
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), mark.alias("mark"))
+    found = stage(near_duplicates(docs.select(key.alias("doc_id"), "text"), width, seeds=seeds), "components")
+    same = lambda rows, others: rows["doc_id"].eqNullSafe(others["id"]) & (F.xxhash64(F.coalesce(rows["text"], F.lit(""))) == others["mark"])
+    gone = stage(found.where("doc_id <> component_id").select(F.col("doc_id.id").alias("id"), F.col("doc_id.mark").alias("mark")).distinct(), "gone")
+    kept = join_small(docs, gone, same(docs, gone), "left_anti")
+    again = stage(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id.id").alias("id"), F.col("doc_id.mark").alias("mark")), "repeated")
     if again.isEmpty():
         return kept
-    twice = kept.join(again, kept["doc_id"].eqNullSafe(again["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, kept["doc_id"].eqNullSafe(again["doc_id"]), "left_anti").unionByName(twice)
+    twice = kept.join(again, same(kept, again), "left_semi").withColumn("__mark", mark).dropDuplicates(["doc_id", "__mark"]).drop("__mark")
+    return kept.join(again, same(kept, again), "left_anti").unionByName(twice)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

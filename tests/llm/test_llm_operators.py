@@ -496,3 +496,13 @@ def test_keep_one_finds_all_similar(spark):
     assert 25 < len(set(groups)) < len(texts)
     got = simhash.keep_one(docs_of(spark, enumerate(texts)), seeds=simhash.KEEP_SEEDS).collect()
     assert sorted(r["doc_id"] for r in got) == sorted(set(groups))
+
+
+def test_keep_one_by_row(spark):
+    """Rows without an id and rows of one id with several texts don't stand for one another."""
+    draw = random.Random(12)
+    a, b, c, d, e = (" ".join("".join(draw.choice("abcdefghij") for _ in range(5)) for _ in range(80)) for _ in range(5))
+    rows = [(None, c), (None, d), (5, a), (5, b), (3, b), (9, e), (None, e), (9, e), (None, d), (4, None), (None, "")]
+    for seeds in (simhash.KEEP_SEEDS, (simhash.SEED,)):
+        got = [(r["doc_id"], r["text"]) for r in simhash.keep_one(docs_of(spark, rows), seeds=seeds).collect()]
+        assert sorted(got, key=str) == sorted([(None, c), (None, d), (5, a), (3, b), (9, e), (4, None)], key=str)
