@@ -29,6 +29,8 @@ from .common import documents, each_batch, stage, strings, table
 MOST_TOXIC, MOST_CLEAN = 4_000, 6_000
 #: Words on either side of a hit that belong to its context.
 CONTEXT = 6
+#: Words from the opening to the closing mark of a quotation, at most.
+QUOTATION = 60
 MOST_TERMS = 1_000
 THRESHOLD = 0.7
 #: Fixed word lists of the context score.
@@ -106,6 +108,29 @@ class LevenshteinTrie:
         return self.found[state]
 
 
+def quotations(text: str) -> set[int]:
+    """Numbers of the words in quotation: from a mark that begins a word to the next mark, if that follows in the same
+    line within QUOTATION words. A mark without a partner quotes nothing."""
+    found: set[int] = set()
+    at = 0
+    for line in text.splitlines():
+        words = line.split()
+        opened = None
+        for i, w in enumerate(words) if _QUOTES.search(line) else ():
+            marks = _QUOTES.findall(w)
+            if len(marks) % 2 == 0:
+                continue
+            if opened is not None and i - opened <= QUOTATION:
+                found.update(range(at + opened, at + i + 1))
+                opened = None
+            elif not any(c.isalnum() for c in w[: _QUOTES.search(w).start()]):
+                opened = i
+            else:
+                opened = None
+        at += len(words)
+    return found
+
+
 class Scorer:
     """Sums of hits of texts. Words seen before are looked up, not walked; that memory is bounded."""
 
@@ -140,21 +165,18 @@ class Scorer:
                     self.hits[w] = e
         if self.hits.keys().isdisjoint(every):
             return 0.0, 0.0, 0, 0
-        total, n, quoted, inside = [0.0, 0.0], 0, 0, False
+        total, n, quoted, inside = [0.0, 0.0], 0, 0, quotations(text)
         for i, w in enumerate(words):
-            marks = len(_QUOTES.findall(w))
             if w in self.hits:
                 v = 1.0
                 before, around = words[max(0, i - CONTEXT) : i], words[max(0, i - CONTEXT) : i + CONTEXT + 1]
                 n += 1
-                if inside or marks >= 2 or not REPORTING.isdisjoint(before):
+                if i in inside or len(_QUOTES.findall(w)) >= 2 or not REPORTING.isdisjoint(before):
                     quoted += 1
                     v *= 0.35
                 elif not ADDRESS.isdisjoint(around):
                     v *= 1.25
                 total[self.hits[w]] += v
-            if marks % 2:
-                inside = not inside
         return *total, n, quoted
 
 

@@ -119,6 +119,15 @@ def test_scorer_context():
     assert s.score("a vequal thing")[0] == 1.0 and s.score("idiott here")[1] == 1.0 and s.score("nothing") == (0.0, 0.0, 0, 0) and s.score("")[0] == 0
 
 
+def test_stray_quote_quotes_nothing():
+    s = toxicity.Scorer(["idiot"])
+    far = "plain words of a long text " * 60
+    for text in (f'a 5" pipe and {far} idiot here', f'"a lost mark {far} idiot here', 'a lost " mark\nidiot here', f'"open {far} and" idiot here', 'the 5" one is an idiot with a 6" pipe'):
+        assert s.score(text) == (1.0, 0.0, 1, 0), text
+    for text in ('this "what an idiot" is', 'as in "idiot or so"', 'the " idiot " there', '5" and then\n«an idiot» it was'):
+        assert s.score(text) == (0.35, 0.0, 1, 1), text
+
+
 def test_toxicity_learns(spark, odd, none):
     draw = random.Random(1)
     words = ["".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
