@@ -3,9 +3,10 @@
 The lexicon is learned from labelled documents: whole words, and stems of 4 to 8 letters with several endings, that mark
 label 1 (a lower bound of their log odds, copies of one text weighing as one). A word meets the lexicon by walking the
 trie together with an automaton of at most one edit (terms of five letters and more; shorter terms and stems exactly);
-the product is determinised as words ask for it. A hit counts less where its window of words quotes or reports,
-more where it addresses someone; the sums of a document, of exact hits and of those by one edit, go through a logistic
-curve fitted on the same rows.
+the product is determinised as words ask for it. Chunks are walked whole as well, with the digits and marks inside them
+("idi0t"). A hit by one edit counts like an exact one, but less if labelled clean rows hold the word, or if they hold
+many rare words that are as near to its term. A hit counts less where its window of words quotes or reports, more where
+it addresses someone; the sum of a document goes through a logistic curve fitted on the same rows.
 
 Only text is an input of a score. Null and empty texts get the score of a document without hits; repeated rows get equal
 scores; extra columns are dropped; without any labelled row the lexicon is empty and all scores are one low constant.
@@ -32,6 +33,8 @@ CONTEXT = 6
 #: Words from the opening to the closing mark of a quotation, at most.
 QUOTATION = 60
 MOST_TERMS = 1_000
+#: Bound of the words near to terms that are learned from clean rows, most frequent first.
+MOST_NEAR = 50_000
 THRESHOLD = 0.7
 #: Fixed word lists of the context score.
 REPORTING = frozenset("said says say called calls wrote writes quote quoted quotes quoting word term insult slur dijo llamó schrieb sagte nannte dit écrit appelé".split())
@@ -39,6 +42,7 @@ ADDRESS = frozenset("you your you're youre u ur du dich dein tu te toi eres uste
 #: Odd factors that make three hashes of one.
 _SPREAD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 _LETTERS = re.compile(r"[^\W\d_]+")
+_TRIM = re.compile(r"^[\W_]+|[\W_]+$")
 _QUOTES = re.compile("[\"“”«»„]")
 
 
@@ -134,22 +138,32 @@ def quotations(text: str) -> set[int]:
 class Scorer:
     """Sums of hits of texts. Words seen before are looked up, not walked; that memory is bounded."""
 
-    def __init__(self, terms: list[str]):
+    def __init__(self, terms: list[str], seen: dict[str, float] | None = None, rare: dict[str, float] | None = None):
+        """seen: clean rows that hold a word near to a term; rare: for a term, the words near to it that one clean row holds."""
+        self.seen, self.rare = seen or {}, rare or {}
         whole = [t for t in terms if not t.endswith("*")]
         self.exact = LevenshteinTrie(whole, 0, [t[:-1] for t in terms if t.endswith("*")])
         self.near = LevenshteinTrie([t for t in whole if len(t) >= 5], 1)
         self.known: set[str] = set()
-        self.hits: dict[str, int] = {}
-
-    def edits(self, chunk: str) -> int | None:
-        """Edits between a word of the chunk and the lexicon; None for no hit."""
-        best = None
-        for w in (chunk,) if chunk.isalpha() else _LETTERS.findall(chunk):
-            if self.exact.find(w):
-                return 0
-            if len(w) >= 4 and self.near.find(w):
-                best = 1
-        return best
+        self.hits: dict[str, tuple[int, float]] = {}
+
+    def near_hits(self, chunk: str) -> list[tuple[str, str]] | None:
+        """(word, term) of the words of a chunk that are one edit from a term; None if one of them is in the lexicon."""
+        words = [chunk] if chunk.isalpha() else _LETTERS.findall(chunk)
+        if any(map(self.exact.find, words)):
+            return None
+        if not chunk.isalpha() and words:
+            whole = _TRIM.sub("", chunk)
+            if whole not in words:
+                words.append(whole)
+        return [(w, hit[0]) for w in words if len(w) >= 4 and (hit := self.near.find(w))]
+
+    def weigh(self, chunk: str) -> tuple[int, float] | None:
+        """(edits between a word of the chunk and the lexicon, weight); None for no hit."""
+        near = self.near_hits(chunk)
+        if near is None:
+            return 0, 1.0
+        return (1, max(1 / (1 + self.seen.get(w, 0.0) + self.rare.get(t, 0.0)) for w, t in near)) if near else None
 
     def score(self, text: str) -> tuple[float, float, int, int]:
         """(sum of exact hits, sum of near hits, hits, hits in quotation)."""
@@ -161,8 +175,8 @@ class Scorer:
                 self.known, new = set(), every
             self.known |= new
             for w in new:
-                if (e := self.edits(w)) is not None:
-                    self.hits[w] = e
+                if (hit := self.weigh(w)) is not None:
+                    self.hits[w] = hit
         if self.hits.keys().isdisjoint(every):
             return 0.0, 0.0, 0, 0
         total, n, quoted, inside = [0.0, 0.0], 0, 0, quotations(text)
@@ -176,7 +190,8 @@ class Scorer:
                     v *= 0.35
                 elif not ADDRESS.isdisjoint(around):
                     v *= 1.25
-                total[self.hits[w]] += v
+                edits, weight = self.hits[w]
+                total[edits] += v * weight
         return *total, n, quoted
 
 
@@ -235,16 +250,36 @@ def learn_terms(rows: DataFrame) -> tuple[list[str], DataFrame]:
 _scorers: dict[str, Scorer] = {}
 
 
-def _scorer(terms: str) -> Scorer:
-    if terms not in _scorers:
+def _scorer(spec: str) -> Scorer:
+    if spec not in _scorers:
         _scorers.clear()
-        _scorers[terms] = Scorer(json.loads(terms))
-    return _scorers[terms]
+        _scorers[spec] = Scorer(*json.loads(spec))
+    return _scorers[spec]
 
 
-def hit_sums(docs: DataFrame, terms: list[str]) -> DataFrame:
+def learn_near(rows: DataFrame, weights: DataFrame, terms: list[str]) -> tuple[dict[str, float], dict[str, float]]:
+    """(seen, rare) of Scorer, from rows (doc_id, text, toxic) of label 0: a count grouped by word and term."""
+    spec = json.dumps([terms])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in each_batch(batches, 200):
+            scorer = _scorer(spec)
+            near = [sorted({x for w in set(t.lower().split()) for x in scorer.near_hits(w) or ()}) for t in strings(b)]
+            ids = b.column("doc_id").take(pa.array([i for i, x in enumerate(near) for _ in x], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array([h[k] for x in near for h in x], pa.string()) for k in (0, 1))], ["doc_id", "word", "term"])
+
+    found = rows.where("toxic = 0").select("doc_id", "text").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, word string, term string")
+    counted = found.join(F.broadcast(weights), "doc_id").groupBy("word", "term").agg(F.sum("w").alias("n")).orderBy(F.desc("n"), "word").limit(MOST_NEAR).collect()
+    seen, rare = {r["word"]: r["n"] for r in counted}, {}
+    for r in counted:
+        if r["n"] <= 1:
+            rare[r["term"]] = rare.get(r["term"], 0.0) + 1.0
+    return seen, rare
+
+
+def hit_sums(docs: DataFrame, terms: list[str], seen: dict[str, float] | None = None, rare: dict[str, float] | None = None) -> DataFrame:
     """(doc_id, hits, near, n_hits, n_quoted) of each whole text."""
-    spec = json.dumps(terms)
+    spec = json.dumps([terms, seen, rare])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in each_batch(batches, 1000):
@@ -254,12 +289,12 @@ def hit_sums(docs: DataFrame, terms: list[str]) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, hits double, near double, n_hits int, n_quoted int")
 
 
-def fit_curve(hits: np.ndarray, near: np.ndarray, marks: np.ndarray, weights: np.ndarray, ridge: float = 0.5) -> tuple[float, float, float]:
-    """Intercept and slopes of a logistic curve over log(1 + sum of hits) and log(1 + sum of near hits), by Newton's steps
-    from a prior of 8 and 3; one exact hit is always enough for label 1, near hits count as far as the labels say."""
-    prior = np.array([-3.0, 8.0, 3.0])
-    x, beta = np.column_stack([np.ones(len(hits)), np.log1p(hits), np.log1p(near)]), prior.copy()
-    pull = np.array([1e-2, ridge, ridge])
+def fit_curve(hits: np.ndarray, marks: np.ndarray, weights: np.ndarray, ridge: float = 0.5) -> tuple[float, float]:
+    """Intercept and slope of a logistic curve over log(1 + sum of hits), by Newton's steps from a prior of 8; one hit of
+    full weight is always enough for label 1."""
+    prior = np.array([-3.0, 8.0])
+    x, beta = np.column_stack([np.ones(len(hits)), np.log1p(hits)]), prior.copy()
+    pull = np.array([1e-2, ridge])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         step = np.linalg.solve((x * (weights * p * (1 - p))[:, None]).T @ x + np.diag(pull), x.T @ (weights * (p - marks)) + pull * (beta - prior))
@@ -267,43 +302,45 @@ def fit_curve(hits: np.ndarray, near: np.ndarray, marks: np.ndarray, weights: np
         if np.abs(step).max() < 1e-6:
             break
     start = float(np.clip(beta[0], -6, -1))
-    return start, max(float(beta[1]), (1 - start) / math.log(2)), max(float(beta[2]), 0.0)
+    return start, max(float(beta[1]), (1 - start) / math.log(2))
 
 
 class Model:
-    def __init__(self, terms: list[str], curve: tuple[float, float, float]):
-        self.terms, self.curve = terms, curve
+    def __init__(self, terms: list[str], curve: tuple[float, float], seen: dict[str, float] | None = None, rare: dict[str, float] | None = None):
+        self.terms, self.curve, self.seen, self.rare = terms, curve, seen or {}, rare or {}
 
     def score(self, hits: Column, near: Column) -> Column:
-        return 1 / (1 + F.exp(-(F.lit(self.curve[0]) + F.lit(self.curve[1]) * F.log1p(hits) + F.lit(self.curve[2]) * F.log1p(near))))
+        return 1 / (1 + F.exp(-(F.lit(self.curve[0]) + F.lit(self.curve[1]) * F.log1p(hits + near))))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Lexicon and curve from labelled documents (a bounded sample of them, see MOST_TOXIC and MOST_CLEAN)."""
+    """Lexicon, near words and curve from labelled documents (a bounded sample of them, see MOST_TOXIC and MOST_CLEAN)."""
     rows = stage(sample(docs, labels), "toxicity-sample")
     if rows.agg(F.max("toxic")).first()[0] != 1:
-        return Model([], (-3.0, 8.0, 3.0))
+        return Model([], (-3.0, 8.0))
     terms, weights = learn_terms(rows)
-    found = hit_sums(rows, terms).join(rows.select("doc_id", "toxic"), "doc_id").join(weights, "doc_id").select("hits", "near", "toxic", "w").collect()
-    x = np.array([(r["hits"], r["near"], r["toxic"], r["w"]) for r in found], float).reshape(-1, 4)
-    return Model(terms, fit_curve(*x.T))
+    weights = stage(weights, "toxicity-weights")
+    seen, rare = learn_near(rows, weights, terms)
+    found = hit_sums(rows, terms, seen, rare).join(rows.select("doc_id", "toxic"), "doc_id").join(weights, "doc_id").select("hits", "near", "toxic", "w").collect()
+    x = np.array([(r["hits"] + r["near"], r["toxic"], r["w"]) for r in found], float).reshape(-1, 3)
+    return Model(terms, fit_curve(*x.T), seen, rare)
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, predicted, n_hits, n_quoted)."""
-    return hit_sums(docs, model.terms).withColumn("score", model.score(F.col("hits"), F.col("near"))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return hit_sums(docs, model.terms, model.seen, model.rare).withColumn("score", model.score(F.col("hits"), F.col("near"))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """docs, all columns and rows as they are, without the documents whose score reaches the threshold. Rows pass through
     whole: no join, no shuffle."""
-    spec, (start, hit, edit) = json.dumps(model.terms), model.curve
+    spec, (start, slope) = json.dumps([model.terms, model.seen, model.rare]), model.curve
     limit = math.log(THRESHOLD / (1 - THRESHOLD))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in each_batch(batches, 1000):
             sums = map(_scorer(spec).score, strings(b))
-            yield b.filter(pa.array([start + hit * math.log1p(s) + edit * math.log1p(e) < limit for s, e, _, _ in sums], pa.bool_()))
+            yield b.filter(pa.array([start + slope * math.log1p(s + e) < limit for s, e, _, _ in sums], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

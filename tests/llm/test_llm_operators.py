@@ -128,6 +128,23 @@ def test_stray_quote_quotes_nothing():
         assert s.score(text) == (0.35, 0.0, 1, 1), text
 
 
+def test_misspelled_insults(spark):
+    """One misspelled insult is enough, also with digits and marks inside; near words of clean rows are not."""
+    draw = random.Random(4)
+    words = ["".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    rows, marks = [], []
+    for i in range(600):
+        text = [draw.choice(words) for _ in range(60)]
+        text[7] = draw.choice(["grobian", "lumpenpack"]) if i % 5 == 0 else draw.choice(["grobial", "plain"])
+        rows.append((i, " ".join(text)))
+        marks.append((i, 1, int(i % 5 == 0)))
+    model = toxicity.fit(docs_of(spark, rows), spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    said = ["grobyan", "gr0bian", "(lump3npack!)", "lumpen-pack", "1umpenpack", "grobial", "gr0b1an"]
+    new = docs_of(spark, [(i, " ".join(words[:30]) + f" {w} " + " ".join(words[30:60])) for i, w in enumerate(said)])
+    assert [r["predicted"] for r in toxicity.scores(new, model).orderBy("doc_id").collect()] == [1, 1, 1, 1, 1, 0, 0]
+    assert sorted(r["doc_id"] for r in toxicity.keep_clean(new, model).collect()) == [5, 6]
+
+
 def test_toxicity_learns(spark, odd, none):
     draw = random.Random(1)
     words = ["".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
