@@ -42,7 +42,7 @@ def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
 def prefix(each: np.ndarray, common: np.ndarray) -> np.ndarray:
     """The shingles of a set of which a similar set holds at least one."""
     n = len(each)
-    late = np.isin(each, common) if len(common) else np.zeros(n, bool)
+    late = common[np.minimum(np.searchsorted(common, each), len(common) - 1)] == each if len(common) else np.zeros(n, bool)
     return np.concatenate([each[~late], each[late]])[: n - -(-LEAST[0] * n // LEAST[1]) + 1]
 
 
