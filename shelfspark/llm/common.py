@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,11 +67,32 @@ def strings(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
-def each_batch(batches: Iterable[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    """Batches of at most `rows` rows, so that very long texts don't pile up in one Python call."""
+def each_batch(batches: Iterable[pa.RecordBatch], rows: int = 2000, most: int = 3 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of at most `rows` rows and about `most` bytes of strings (one row at least), so that very long texts don't
+    pile up in one Python call."""
     for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+        texts = [pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False) for c in b.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)]
+        ends = np.cumsum(sum(texts, np.zeros(b.num_rows, np.int64)))
+        i = 0
+        while i < b.num_rows:
+            room = int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right"))
+            j = max(i + 1, min(i + rows, room, b.num_rows))
+            yield b.slice(i, j - i)
+            i = j
+
+
+_held: dict[str, tuple] = {}
+
+
+def kept_in_worker(slot: str, key: object, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task (workers are reused): one thing a slot, made anew for another key.
+    Slots are named operator/thing; when another operator starts, the things of the one before are let go."""
+    if any(s.split("/")[0] != slot.split("/")[0] for s in _held):
+        _held.clear()
+    if slot not in _held or _held[slot][0] != key:
+        _held.pop(slot, None)
+        _held[slot] = key, make()
+    return _held[slot][1]
 
 
 class WordTable(dict):

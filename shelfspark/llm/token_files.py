@@ -21,7 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, shared_folder, stage
+from . import chunk_table
+from .common import documents, each_batch, shared_folder, stage
 from .huffman import BLOCK, Codebook, code_lengths
 from .tokens import TokenizersTable, encoded, public_path
 
@@ -33,32 +34,45 @@ NO_ID = -(1 << 63)
 SEGMENTS = "part int, segment int, n_tokens long, doc_ids binary, doc_tokens binary, offsets binary, bits binary"
 
 
-def token_ids(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids binary): little-endian unsigned 16-bit ids with the end id behind them."""
+def token_ids(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", counted: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids binary): little-endian unsigned 16-bit ids with the end id behind them. If counted, with a
+    column `counts`, null but for one further row a task (all else null) that says how often each id occurs in its rows."""
     end = np.array([end_id], "<u2").tobytes()
+    chunks = chunk_table.build(docs, TokenizersTable, path, text_col).for_tasks
+    kind = docs.schema[id_col].dataType.simpleString()
+    names = ["doc_id", "n_tokens", "ids", *["counts"] * counted]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, ids in encoded(batches, TokenizersTable, path):
+        total, of_ids = np.zeros(1 << 16, np.int64), None
+        for b, ids in encoded(batches, chunks):
             ids = [x + end for x in ids]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            columns, of_ids = [b.column(0), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], b.column(0).type
+            if counted:
+                total += np.bincount(np.frombuffer(b"".join(ids), "<u2"), minlength=1 << 16)
+                columns.append(pa.nulls(len(ids), pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names)
+        if counted and of_ids is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, of_ids), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids binary")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary" + ", counts binary" * counted)
 
 
 def id_counts(ids: DataFrame) -> np.ndarray:
-    """How often each id occurs in all rows: counted in each task, summed by Spark; as long as the vocabulary."""
+    """How often each id occurs in all rows: counted in each task, summed by Spark; as long as the vocabulary. From the
+    column `counts` where there is one, else from the ids."""
+    counted = "counts" in ids.columns
+    some = ids.where("counts is not null").select("counts") if counted else ids.select("ids")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
-        for b in batches:
-            ids = b.column(0)
-            ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
-            total += np.bincount(np.frombuffer(ids.buffers()[2], np.uint8)[ends[0] : ends[-1]].view("<u2"), minlength=1 << 16) if len(ids) else 0
+        for b in each_batch(batches, 500):
+            each = b.column(0).to_pylist()
+            total += sum(np.frombuffer(x, np.int64) for x in each) if counted else np.bincount(np.frombuffer(b"".join(each), "<u2"), minlength=1 << 16)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
 
     counts = np.zeros(1 << 16, np.int64)
-    for r in ids.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in some.mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r["id"]] = r["n"]
     return counts
 
@@ -99,13 +113,13 @@ def _segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_token_files(ids: DataFrame, path: str) -> None:
-    """ids (doc_id long, n_tokens, ids binary) -> a file set at path. Two passes over ids: counts, then codes; the coded
-    documents (about 0.6 of the ids' bytes) are shuffled once, by ranges of doc_id."""
+    """ids (doc_id long, n_tokens, ids binary; counts, if token_ids counted) -> a file set at path. The coded documents
+    (about 0.6 of the ids' bytes) are shuffled once, by ranges of doc_id."""
     spark = ids.sparkSession
     lengths = code_lengths(id_counts(ids)).tobytes()
     spark.createDataFrame([(bytearray(lengths),)], "lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    coded = _coded(ids, lengths).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "n_tokens", "bits")
+    coded = _coded(ids.where("n_tokens is not null").select("doc_id", "n_tokens", "ids"), lengths).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "n_tokens", "bits")
     coded.mapInArrow(_segments, SEGMENTS).write.option("compression", "none").parquet(f"{path}/segments")
 
 
@@ -143,7 +157,7 @@ def read_token_files(spark: SparkSession, path: str, each: Callable[[np.ndarray]
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = stage(token_ids(documents(spark, sf_dir), public_path(FILE), 0), "ids")
+    ids = stage(token_ids(documents(spark, sf_dir), public_path(FILE), 0, counted=True), "ids")
     path = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
     write_token_files(ids, path)
     return read_token_files(spark, path, lambda x: [zlib.crc32(x.astype("<u4").tobytes())], "ids_crc32 long")

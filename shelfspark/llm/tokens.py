@@ -1,9 +1,8 @@
-"""Token ids of whole texts by a public tokenizer file, each distinct chunk of a worker encoded once.
+"""Token ids of whole texts by a public tokenizer file, from a table of distinct chunks (see chunk_table).
 
 A chunk is what lies between two single blanks: no pre-tokenizer or piece of the three vocabularies reaches over such a
-place, so ids of a text are the ids of its chunks in order (checked against whole texts in the tests). The table of
-chunks is bounded (see WordTable). Null texts are empty. Ids are kept as little-endian unsigned 16-bit integers
-(all three vocabularies have fewer than 65,536 ids)."""
+place, so ids of a text are the ids of its chunks in order (checked against whole texts in the tests). Null texts are
+empty. Ids are kept as little-endian unsigned 16-bit integers (all three vocabularies have fewer than 65,536 ids)."""
 
 from __future__ import annotations
 
@@ -11,7 +10,7 @@ import json
 import os
 import string
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from operator import attrgetter
 from pathlib import Path
 from unicodedata import is_normalized
@@ -19,10 +18,10 @@ from unicodedata import is_normalized
 import numpy as np
 import pyarrow as pa
 
+from . import chunk_table
 from .common import WordTable, each_batch, strings
 
 _ID = attrgetter("id")
-_loaded: dict[tuple, object] = {}
 
 
 def public_path(name: str) -> str:
@@ -37,9 +36,6 @@ class BlankSplit:
     Keys of the table are chunks without that blank; the first chunk of a text (no blank before it) and chunks with
     further white space are marked by `\\0 `, which no other key can begin with (a plain key holds no blank)."""
 
-    def __init__(self, encode_key: Callable[[str], bytes]):
-        self.table = WordTable(encode_key)
-
     @staticmethod
     def split(text: str) -> list[str]:
         if not text:
@@ -62,12 +58,6 @@ class BlankSplit:
     def text_of(key: str) -> str:
         return key[2:] if key.startswith("\0 ") else " " + key
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        get, split = self.table.__getitem__, self.split
-        out = [b"".join(map(get, split(t))) for t in texts]
-        self.table.make_room()
-        return out
-
 
 #: White space beside a blank, or white space other than a blank or a line end.
 _ODD = ["\n ", " \n", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
@@ -82,7 +72,7 @@ _STOPS = string.punctuation
 
 
 class TokenizersTable(BlankSplit):
-    """The tokenizers library behind a chunk table. Most chunks are one run of letters with other marks behind it: the
+    """The tokenizers library as a segmenter of chunks. Most chunks are one run of letters with other marks behind it: the
     pre-tokenizer would cut such a chunk there and nowhere else, so the library's model is asked for these two runs
     alone and each run is kept once. All other chunks pass through the whole library."""
 
@@ -90,8 +80,7 @@ class TokenizersTable(BlankSplit):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        super().__init__(self._key)
-        self.tokenizer, self.runs = Tokenizer.from_file(path), WordTable(self._run)
+        self.tokenizer, self.runs = Tokenizer.from_file(path), WordTable(self._run, 100_000)
         self.model = self.tokenizer.model
         spec = json.loads(Path(path).read_text())
         self.lower = spec["normalizer"] is not None  # the file that lower-cases and drops white space
@@ -122,8 +111,9 @@ class TokenizersTable(BlankSplit):
                 out.append(tail)
         return out
 
-    def _key(self, key: str) -> bytes:
+    def key(self, key: str) -> bytes:
         """Ids of a chunk by its key: letters with marks behind them at once, others by way of _plain or the library."""
+        self.runs.make_room()
         core = key if key.isalpha() else key.rstrip(_STOPS)
         if core.isalpha() and (not self.lower or core.isascii()):
             ids = self.runs[core.lower() if self.lower else " " + core]
@@ -134,23 +124,9 @@ class TokenizersTable(BlankSplit):
             return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes()
         return b"".join(map(self.runs.__getitem__, plain))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out = super().encode(texts)
-        self.runs.make_room()
-        return out
-
-
-def cached(kind: Callable[[str], BlankSplit], path: str) -> BlankSplit:
-    """One table per Python worker and file: workers are reused between tasks."""
-    key = (kind.__name__, path)
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = kind(path)
-    return _loaded[key]
-
 
-def encoded(batches: Iterable[pa.RecordBatch], kind: Callable[[str], BlankSplit], path: str, rows: int = 500) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Each batch with the ids of its texts."""
-    tokenizer = cached(kind, path)
+def encoded(batches: Iterable[pa.RecordBatch], chunks: tuple, rows: int = 500) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Each batch with the ids of its texts; chunks: for_tasks of a chunk table."""
+    one = chunk_table.encoder(*chunks)
     for b in each_batch(batches, rows):
-        yield b, tokenizer.encode(strings(b))
+        yield b, one.encode(strings(b))

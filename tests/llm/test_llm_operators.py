@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfspark.llm import components, html_extract, huffman, packing, quality_classifier, quality_rules, sentencepiece_table, sharding, simhash, token_files, tokens, toxicity, weighted_minhash
+from shelfspark.llm import chunk_table, components, html_extract, huffman, packing, quality_classifier, quality_rules, sentencepiece_table, sharding, simhash, token_files, tokens, toxicity, weighted_minhash
 from shelfspark.llm.common import documents, table
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
@@ -202,7 +202,8 @@ def test_sentencepiece(spark, some, odd, none):
     path = sentencepiece_table.public_path(sentencepiece_table.MODEL)
     whole = sentencepiece_table.PieceTable(path)
     texts = odd_texts() + some.text.tolist()
-    assert all(a.tolist() == whole.model.encode(t, add_bos=True, add_eos=True) for a, t in zip(whole.encode(texts), texts, strict=True))
+    one = chunk_table.Encoder(whole, chunk_table.Table.empty(), 50)
+    assert all(whole.whole(a).tolist() == whole.model.encode(t, add_bos=True, add_eos=True) for a, t in zip(one.encode(texts), texts, strict=True))
     got = {r["doc_id"]: r for r in sentencepiece_table.round_trip_digests(odd, path).collect()}
     assert got[2]["n_tokens"] == 2 and got[1]["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
     ids = sentencepiece_table.encode(odd, path)
@@ -210,12 +211,38 @@ def test_sentencepiece(spark, some, odd, none):
     assert sentencepiece_table.round_trip_digests(none, path).count() == 0
 
 
+@pytest.mark.parametrize("most", [chunk_table.MOST_WORDS, 40, 0])
+def test_every_chunk_is_segmented_once(spark, some, most, tmp_path, monkeypatch):
+    """Segmentations are counted in files, one line a call: as many as the corpus has distinct chunks, each once; by the
+    broadcast table alone, by the joined table too, and by the joined table alone. Results are those of whole texts."""
+    path, log = sentencepiece_table.public_path(sentencepiece_table.MODEL), str(tmp_path)
+
+    class Counting(sentencepiece_table.PieceTable):
+        def key(self, key):
+            import os
+
+            with open(f"{log}/{os.getpid()}", "a") as f:
+                f.write(repr(key) + "\n")
+            return super().key(key)
+
+    Counting.__name__ = f"Counting{most}"  # workers keep segmenters by this name
+    texts = [*odd_texts()[:200], *some.text.tolist(), *some.text.tolist()[:50]]
+    whole = sentencepiece_table.PieceTable(path)
+    distinct = {k for t in texts for k in whole.split(t)}
+    monkeypatch.setattr(sentencepiece_table, "PieceTable", Counting)
+    rows = docs_of(spark, list(enumerate(texts))).repartition(3)
+    got = {r["doc_id"]: list(r["ids"]) for r in sentencepiece_table.encode(rows, path, most=most).collect()}
+    calls = [x for f in tmp_path.iterdir() for x in f.read_text().splitlines()]
+    assert sorted(calls) == sorted(map(repr, distinct))
+    assert all(got[i] == whole.model.encode(t, add_bos=True, add_eos=True) for i, t in enumerate(texts))
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_chunk_table_equals_whole_texts(name, some):
     from tokenizers import Tokenizer
 
     path = tokens.public_path(name)
-    whole, chunks = Tokenizer.from_file(path), tokens.TokenizersTable(path)
+    whole, chunks = Tokenizer.from_file(path), chunk_table.Encoder(tokens.TokenizersTable(path), chunk_table.Table.empty(), 50)
     texts = odd_texts() + some.text.tolist()
     assert all(np.frombuffer(a, "<u2").tolist() == whole.encode(t, add_special_tokens=False).ids for a, t in zip(chunks.encode(texts), texts, strict=True))
 
@@ -458,15 +485,25 @@ def test_weighted_likeness():
     big = weighted_minhash.Samples()
     long = " ".join(f"w{i % 70}" for i in range(200))
     assert (small.signature(long) == big.signature(long)).all() and not small.signature("").any()
+    draw = random.Random(8)
+    for _ in range(300):  # both signatures at once are those of the two texts
+        text, after = ("".join(draw.choice("ab  \nÉ") for _ in range(draw.randint(0, 40))) for _ in range(2))
+        cut = len(text) // 4
+        own, edited = small.edited(text, len(text) - cut, after[:cut])
+        assert (own == big.signature(text)).all() and (edited == big.signature(text[: len(text) - cut] + after[:cut])).all()
 
 
 def test_with_next(spark, some, odd, none):
     rows = list(zip(some.doc_id.tolist(), some.text.tolist(), strict=True))
     got = {r["doc_id"]: r for r in weighted_minhash.with_next(docs_of(spark, random.Random(2).sample(rows, len(rows)))).collect()}
+    one = weighted_minhash.Samples()
     for k, (i, t) in enumerate(rows):
         cut = len(t) // 4
         edited = t[: len(t) - cut] + rows[(k + 1) % len(rows)][1][:cut]
         assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and got[i]["n_chars"] == len(t)
+        own, other, after = (one.signature(x) for x in (t, edited, rows[(k + 1) % len(rows)][1]))
+        assert got[i]["fingerprint"] == weighted_minhash.to_hex(own) and got[i]["edited_fingerprint"] == weighted_minhash.to_hex(other)
+        assert got[i]["near_edited"] == (own == other).mean() and got[i]["near_next"] == (own == after).mean()
     got = weighted_minhash.with_next(odd).collect()
     assert len(got) == len(ODD)
     same = [r["fingerprint"] for r in got if r["doc_id"] in (6, 7)]
