@@ -63,6 +63,15 @@ def join_small(left: DataFrame, right: DataFrame, keys: list[str] | Column, how:
     return left.join(F.broadcast(right) if right.limit(bound + 1).count() <= bound else right, keys, how)
 
 
+def least_by_hash(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """At most n rows, of the least hashes of key: a sample that does not depend on the order of rows. A threshold on the
+    hash, from a count, leaves about four times n rows, so that what tasks send to be sorted doesn't grow with them."""
+    total = rows.count()
+    if total > 8 * n:
+        rows = rows.where(F.xxhash64(key) < F.lit(-(1 << 63) + (1 << 64) * 4 * n // total))
+    return rows.orderBy(F.xxhash64(key), key).limit(n)
+
+
 def strings(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 

@@ -1,14 +1,16 @@
 """Main text of pages by a tree-structured graphical model over the DOM.
 
-Every element that holds text of its own is content or not. An element's potential comes from its features (tag, hints
-in class, id and role, text length, share of link text); parent and child are tied by a 2 x 2 potential for each kind of
-child. Sum-product messages go up the tree and down again (all pages of a batch together, level by level) and give the
-marginal probability of content for each element; text of elements above one half is kept, block by block.
-
-The potentials are trained from labelled pages: pages whose url names a document, where an element's text is content if
-that document contains it. At most MOST_PAGES pages, least hashes of page_id first. Counts are added to fixed prior
-counts for tags and hint words that the HTML standard and common practice give a meaning, so that layouts without
-labelled pages are still read sensibly.
+Every element is content or not. An element's potential comes from its features (tag, hints in class, id and role, text
+length, share of link text); parent and child are tied by a 2 x 2 potential for each kind of child. Sum-product messages
+go up the tree and down again (all pages of a batch together, level by level) and give the marginal probability of
+content for each element; text of elements above one half is kept, block by block.
+
+What a page's markup says by its own words (a tag like nav, a class like comments) is a strong potential that no number of
+children can outvote; tags like p and lengths are weak ones, so such an element mostly follows its parent. The potentials
+are trained from labelled pages: pages whose url names a document, where a text of LEAST_LABEL characters or more is
+content if it is a whole line of that document, and is not if the document does not contain it; other texts are not
+labelled. Counts of at most MOST_PAGES pages, least hashes of page_id first, move prior potentials, by MOST_MOVE at most:
+the labelled pages have few layouts, and what they lack must not be unlearned.
 
 Null or empty html, and pages without content, give an empty text. Malformed markup is read as browsers do in the common
 cases: unclosed and misnested elements, stray tags and bare `&` and `<`. Repeated pages are rows of their own.
@@ -26,27 +28,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, each_batch, stage, strings, table
+from .common import documents, each_batch, kept_in_worker, least_by_hash, stage, strings, table
 
 MOST_PAGES = 2_000
+#: Characters of a text that can be labelled, and how far counts move a potential (log odds).
+LEAST_LABEL, MOST_MOVE = 25, 1.0
 #: Fixed word lists after the HTML standard and common class names.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
-RAW = frozenset("script style noscript template textarea title iframe svg select option button object canvas audio video math".split())
-INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
+RAW = frozenset("script style noscript template textarea title iframe svg select option button".split())
+INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img math mi mn mo mrow msub msup mfrac msqrt mtext".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CHROME = frozenset("nav header footer aside form menu dialog".split())
 HINTS = {
-    "chrome": "nav navbar navigation menu header masthead footer foot sidebar side aside breadcrumb breadcrumbs toolbar topbar pagination pager search login signup".split(),
+    "chrome": "nav navbar navigation menu header masthead footer foot sidebar side aside complementary contentinfo breadcrumb breadcrumbs toolbar topbar pagination pager search login signup".split(),
     "notice": "cookie cookies consent notice banner alert gdpr popup modal overlay newsletter subscribe subscription promo promotion".split(),
     "advert": "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors dfp adsense".split(),
-    "comment": "comment comments reply replies disqus respond discussion".split(),
+    "comment": "comment comments commentlist reply replies disqus respond discussion".split(),
     "related": "related recommended recommendations share sharing social tags tagcloud widget meta byline".split(),
     "content": "article content post entry main story body text".split(),
 }
 _HINT_OF = {w: k for k, ws in HINTS.items() for w in ws}
+#: A class token with one of these words tells of a state or a layout, not of what the element holds.
+STATES = frozenset("has with without no not is open opened closed enabled disabled allowed count show hide active category tag format status type page template layout style theme color bg".split())
+#: First headings of the parts of a page that are not its article.
+HEADINGS = {"comment": re.compile(r"(?:\d+ )?(?:comments?|responses?|repl(?:y|ies)|discussion|kommentare?|commentaires?|comentarios?|leave a (?:comment|reply))(?: \(?\d+\)?)?:?", re.I), "related": re.compile(r"(?:related|recommended|more) (?:posts?|articles?|stories|reading|for you|from .{1,40})|read (?:more|next)|you may also like|share this", re.I)}
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
 
@@ -94,22 +102,32 @@ class Page:
             node = len(self.parent)
             self.parent.append(stack[-1])
             self.tag.append(tag)
-            self.hint.append(self._hint(m[3]) if m[3] else "")
+            self.hint.append(self._hint(tag, m[3]) if m[3] else "")
             self.links.append(0)
             stack.append(node)
         if at < len(text):
             self._text(stack, text[at:], block)
 
     @staticmethod
-    def _hint(attributes: str) -> str:
-        found = ""
+    def _hint(tag: str, attributes: str) -> str:
+        """What class, id and role say. Tokens are read one by one: one that is a word of HINTS as a whole counts first;
+        in a compound one any word that speaks against content does, unless a whole token or the tag speaks for it."""
+        if tag in ("html", "body"):
+            return ""
+        whole, compound = [], []
         for a in _ATTRIBUTE.finditer(attributes):
-            for w in _WORD.findall((a[1] or a[2] or a[3] or "").lower()):
-                kind = _HINT_OF.get(w, "")
-                if kind and kind != "content":
-                    return kind
-                found = found or kind
-        return found
+            for token in (a[1] or a[2] or a[3] or "").split():
+                words = [w.lower() for w in _WORD.findall(token)]
+                if not words or not STATES.isdisjoint(words):
+                    continue
+                kinds = [k for w in words if (k := _HINT_OF.get(w))]
+                against = [k for k in kinds if k != "content"]
+                if kinds:
+                    (whole if len(words) == 1 else compound).append((against or kinds)[0])
+        against = next((k for k in whole if k != "content"), "")
+        if against or whole or tag in ("article", "main"):
+            return against or "content" * bool(whole)
+        return next((k for k in compound if k != "content"), "") or "content" * bool(compound)
 
     def _close(self, stack: list[int], tag: str) -> None:
         """Closes what a new block element ends: an open paragraph (with inline elements in it), list items and cells."""
@@ -146,27 +164,45 @@ def clean(pieces: list[str]) -> str:
 
 def node_keys(page: Page) -> list[tuple[str, str]]:
     """(feature key, edge kind) of every element."""
-    length = [0] * len(page.parent)
+    n = len(page.parent)
+    length, hint, article = [0] * n, list(page.hint), [False] * n
+    first: dict[int, int] = {}  # first children
+    for i in range(1, n):
+        first.setdefault(page.parent[i], i)
+        article[i] = article[page.parent[i]] or page.tag[page.parent[i]] == "article"
     for owner, pieces in page.blocks:
         length[owner] += sum(map(len, pieces))
+        up = page.parent[owner]
+        if page.tag[owner] in ("h1", "h2", "h3", "h4", "h5", "h6") and first.get(up) == owner and not hint[up] and page.tag[up] in ("div", "section"):
+            title = clean(pieces)
+            hint[up] = next((k for k, x in HEADINGS.items() if x.fullmatch(title)), "")
+    bounded = any(t in ("article", "main") and h in ("", "content") for t, h in zip(page.tag, hint, strict=True))
     out = []
-    for tag, hint, n, linked in zip(page.tag, page.hint, length, page.links, strict=True):
-        size = "none" if n == 0 else "short" if n < 40 else "some" if n < 160 else "long"
-        out.append((f"{tag}|{hint}|{size}|{'links' if n and 2 * linked > n else ''}", f"{tag}|{hint}"))
+    for i, (tag, h, size, linked) in enumerate(zip(page.tag, hint, length, page.links, strict=True)):
+        kind = "none" if size == 0 else "short" if size < 40 else "some" if size < 160 else "long"
+        if tag in ("#root", "html", "body") and bounded:
+            tag += "+"  # a page that says where its article is
+        elif tag == "header" and article[i]:
+            tag = "article-header"
+        out.append((f"{tag}|{h}|{kind}|{'links' if size and 2 * linked > size else ''}", f"{tag}|{h}"))
     return out
 
 
 def _prior(tag: str, hint: str, size: str, links: str) -> float:
-    """Prior log odds of content."""
-    odds = {"chrome": -5.0, "notice": -5.0, "advert": -6.0, "comment": -6.0, "related": -4.0, "content": 2.0, "": 0.0}[hint]
-    odds += -5.0 if tag in CHROME else 3.0 if tag in ("article", "main") else 0.5 if tag in ("p", "h1", "h2", "h3", "h4", "blockquote", "pre", "figcaption") else 0.0
+    """Prior log odds of content. Strong ones stand for any number of weak ones."""
+    if hint not in ("", "content") or tag in CHROME:
+        return -40.0
+    odds = 2.0 if hint == "content" else 0.0
+    odds += 6.0 if tag in ("article", "main") else -3.0 if tag.endswith("+") else 0.5 if tag in ("p", "h1", "h2", "h3", "h4", "blockquote", "pre", "figcaption") else 0.0
     odds += {"none": 0.0, "short": -0.2, "some": 0.3, "long": 0.8}[size]
     return odds - (1.5 if links else 0.0)
 
 
 def _prior_tie(tag: str, hint: str) -> float:
     """Prior log ratio with which a child takes its parent's side; a child of another nature is less tied."""
-    return 1.0 if tag in CHROME or hint not in ("", "content") or tag in ("article", "main") else 4.0
+    if tag in CHROME or hint not in ("", "content") or tag in ("article", "main"):
+        return 0.5
+    return 2.0 if hint == "content" else 4.0
 
 
 class Model:
@@ -177,22 +213,26 @@ class Model:
         self._u: dict[str, float] = {}
         self._t: dict[str, np.ndarray] = {}
 
+    def _moved(self, prior: float, yes: float, no: float) -> float:
+        """Log odds of a prior moved by counts, MOST_MOVE at most."""
+        p = 1 / (1 + np.exp(-np.clip(prior, -30, 30)))
+        new = np.log((yes + self.strength * p) / (no + self.strength * (1 - p)))
+        return float(prior + np.clip(new - np.clip(prior, -30, 30), -MOST_MOVE, MOST_MOVE))
+
     def odds(self, key: str) -> float:
-        """Log odds of content: the prior, moved by labelled counts."""
+        """Log odds of content."""
         if key not in self._u:
-            yes, no = self.unary.get(key, (0, 0))
-            p = 1 / (1 + np.exp(-_prior(*key.split("|"))))
-            self._u[key] = float(np.clip(np.log((yes + self.strength * p) / (no + self.strength * (1 - p))), -7, 7))
+            self._u[key] = self._moved(_prior(*key.split("|")), *self.unary.get(key, (0, 0)))
         return self._u[key]
 
     def tied(self, kind: str) -> np.ndarray:
         """psi[parent state, child state]."""
         if kind not in self._t:
-            tag, hint = kind.split("|")
-            q = 1 / (1 + np.exp(-_prior_tie(tag, hint)))
+            prior = _prior_tie(*kind.split("|"))
             n = self.tie.get(kind, (0, 0, 0, 0))  # parent not: child not, child is; parent is: child not, child is
-            m = np.array([[n[0] + self.strength * q, n[1] + self.strength * (1 - q)], [n[2] + self.strength * (1 - q), n[3] + self.strength * q]])
-            self._t[kind] = m / m.sum(1, keepdims=True)
+            same = np.array([self._moved(prior, n[0], n[1]), self._moved(prior, n[3], n[2])])
+            q = 1 / (1 + np.exp(-same))
+            self._t[kind] = np.array([[q[0], 1 - q[0]], [1 - q[1], q[1]]])
         return self._t[kind]
 
     def marginals(self, pages: list[Page]) -> list[np.ndarray]:
@@ -208,11 +248,10 @@ class Model:
                 d[i] = d[p.parent[i]] + 1
             depth[b : b + len(d)] = d
         odds = np.array([self.odds(k) for page in keys for k, _ in page])
-        own = np.stack([1 / (1 + np.exp(odds)), 1 / (1 + np.exp(-odds))], 1)
         psi = np.array([self.tied(e) for page in keys for _, e in page])
         levels = [np.flatnonzero(depth == k) for k in range(int(depth.max()) + 1)]
-        logs = np.log(own)  # potential times messages from below
-        up = np.zeros_like(own)
+        logs = -np.logaddexp(0, np.stack([odds, -odds], 1))  # log potentials, then times messages from below
+        up = np.zeros_like(logs)
         for level in levels[:0:-1]:
             m = np.einsum("npc,nc->np", psi[level], np.exp(logs[level] - logs[level].max(1, keepdims=True)))
             up[level] = np.log(m / m.sum(1, keepdims=True))
@@ -238,16 +277,18 @@ class Model:
 
 def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Labelled pages (html, document text) -> counts (kind, key, slot). An element's label is that of its own text; an
-    element without text of its own takes the majority of what is below it."""
+    element without labelled text of its own takes the majority of what is below it."""
     rows: dict[tuple[str, str, int], int] = {}
     for b in each_batch(batches, 100):
         for raw, text in zip(strings(b, "html"), strings(b, "text"), strict=True):
-            page, whole = Page(raw), _SPACE.sub(" ", text)
+            page, whole, lines = Page(raw), _SPACE.sub(" ", text), {_SPACE.sub(" ", x).strip() for x in text.split("\n")}
             n = len(page.parent)
             yes, no = [0] * n, [0] * n
             for owner, pieces in page.blocks:
                 t = clean(pieces)
-                (yes if t and t in whole else no)[owner] += max(1, len(t))
+                if len(t) >= LEAST_LABEL:
+                    yes[owner] += len(t) * (t in lines)
+                    no[owner] += len(t) * (t not in whole)
             for i in range(n - 1, 0, -1):
                 yes[page.parent[i]] += yes[i]
                 no[page.parent[i]] += no[i]
@@ -265,11 +306,14 @@ def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(pages: DataFrame, docs: DataFrame) -> Model:
     """pages (page_id, url, html) whose url path holds a document's number, docs (doc_id, text) -> the model. Potentials
-    are counts of at most MOST_PAGES pages; the counts sent to the driver are one row per feature key."""
-    named = pages.where("html is not null").select("page_id", "html", F.try_to_number(F.regexp_extract("url", "/([0-9]{1,12})(?:[/?#]|$)", 1), F.lit("999999999999")).cast("long").alias("doc_id")).where("doc_id is not null")
-    some = stage(named.orderBy(F.xxhash64("page_id"), "page_id").limit(MOST_PAGES), "labelled-pages")
+    are counts of at most MOST_PAGES pages, chosen before any html is read (of one page_id or doc_id one row counts); the
+    counts sent to the driver are one row per feature key."""
+    number = F.try_to_number(F.regexp_extract("url", "/([0-9]{1,12})(?:[/?#]|$)", 1), F.lit("999999999999")).cast("long")
+    named = pages.where("html is not null and page_id is not null").select("page_id", number.alias("doc_id")).where("doc_id is not null")
+    some = stage(least_by_hash(named, "page_id", MOST_PAGES).dropDuplicates(["page_id"]), "labelled-pages")
+    chosen = pages.where("html is not null").select("page_id", "html").join(F.broadcast(some), "page_id").dropDuplicates(["page_id"])
     texts = docs.select("doc_id", "text").join(F.broadcast(some.select("doc_id").distinct()), "doc_id").dropDuplicates(["doc_id"])
-    found = some.join(texts, "doc_id").select("html", "text").mapInArrow(_counts, "kind string, key string, slot int, n long").groupBy("kind", "key", "slot").agg(F.sum("n").alias("n"))
+    found = chosen.join(texts, "doc_id").select("html", "text").mapInArrow(_counts, "kind string, key string, slot int, n long").groupBy("kind", "key", "slot").agg(F.sum("n").alias("n"))
     unary: dict[str, list[float]] = {}
     tie: dict[str, list[float]] = {}
     for r in found.collect():
@@ -280,20 +324,15 @@ def fit(pages: DataFrame, docs: DataFrame) -> Model:
     return Model(unary, tie)
 
 
-_models: dict[str, Model] = {}
-
-
 def extract(pages: DataFrame, model: Model, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """keep, text and n_chars (its code points) of every page."""
     spec = model.to_json()
     kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if spec not in _models:
-            _models.clear()
-            _models[spec] = Model(*json.loads(spec))
+        own = kept_in_worker("pages/model", spec, lambda: Model(*json.loads(spec)))
         for b in each_batch(batches, 100):
-            texts = _models[spec].texts([Page(x) for x in strings(b, "html")])
+            texts = own.texts([Page(x) for x in strings(b, "html")])
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
 
     return pages.select(*keep, "html").mapInArrow(run, f"{kinds}, text string, n_chars long")

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, documents, join_small, stage, table, text_or_empty, words
+from .common import SPACES, documents, join_small, least_by_hash, stage, table, text_or_empty, words
 
 #: Bound of the labelled sample: rows of each label.
 MOST_ROWS = 10_000
@@ -59,11 +59,14 @@ def fit_weights(x: np.ndarray, y: np.ndarray, prior: np.ndarray = PRIOR, ridge:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """Weights from at most MOST_ROWS labelled documents of each label, least hashes of doc_id first."""
+    """Weights from at most MOST_ROWS labelled rows of each label, least hashes of doc_id, and of the row's measurements,
+    first. Rows of one doc_id and equal measurements count once."""
     mark = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    some = [mark.where(F.col("quality") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_ROWS) for y in (0, 1)]
-    rows = measurements(docs.select("doc_id", "text").join(F.broadcast(some[0].unionAll(some[1])), "doc_id"), ["quality"]).collect()
-    data = np.array([[r[f] for f in FEATURES] + [r["quality"]] for r in rows], float).reshape(-1, len(FEATURES) + 1)
+    some = [least_by_hash(mark.where(F.col("quality") == y), "doc_id", MOST_ROWS) for y in (0, 1)]
+    found = measurements(docs.select("doc_id", "text").join(F.broadcast(some[0].unionAll(some[1])), "doc_id"), ["doc_id", "quality"])
+    rows = stage(found.withColumn("row", F.xxhash64("doc_id", *FEATURES)).dropDuplicates(["row"]).drop("doc_id"), "quality-sample")
+    kept = [r for y in (0, 1) for r in least_by_hash(rows.where(F.col("quality") == y), "row", MOST_ROWS).collect()]
+    data = np.array([[r[f] for f in FEATURES] + [r["quality"]] for r in kept], float).reshape(-1, len(FEATURES) + 1)
     return fit_weights(data[:, :-1], data[:, -1])
 
 
@@ -94,10 +97,11 @@ def site_posteriors(rows: DataFrame, host: str = "host", path: str = "path", p:
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> DataFrame:
     """(doc_id, host, path, evidence, site_rate, score, keep): score is the posterior probability of good quality."""
     weights = fit(docs, labels)
-    spec = docs.withColumn("host", host).withColumn("path", path)
+    site = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    spec = docs.select("doc_id", site(host).alias("host"), site(path).alias("path"), "text")
     raw = sum((F.col(f) * F.lit(float(w)) for f, w in zip(FEATURES, weights, strict=True)), F.lit(0.0))
     near = F.greatest(F.least(raw, F.lit(12.0)), F.lit(-12.0))
-    rows = stage(measurements(spec, ["doc_id", "host", "path"]).select("doc_id", F.coalesce(F.col("host").cast("string"), F.lit("")).alias("host"), F.coalesce(F.col("path").cast("string"), F.lit("")).alias("path"), near.alias("raw")).withColumn("evidence", 1 / (1 + F.exp(-F.col("raw")))), "evidence")
+    rows = stage(measurements(spec, ["doc_id", "host", "path"]).select("doc_id", "host", "path", near.alias("raw")).withColumn("evidence", 1 / (1 + F.exp(-F.col("raw")))), "evidence")
     centre, sites = site_posteriors(rows, p="evidence")
     rate = F.greatest(F.least(F.col("rate"), F.lit(1 - 1e-3)), F.lit(1e-3))
     posterior = F.col("raw") - F.lit(float(np.log(centre / (1 - centre)))) + F.log(rate / (1 - rate))

@@ -1,7 +1,8 @@
 """Pairs of texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8: an exact set join.
 
 Two sets that are that similar share one of the first n - ceil(0.8 n) + 1 shingles of each in any order common to all
-(prefix filter). The order puts shingles that are common in a sample last, and is by hash otherwise; the sample changes
+(prefix filter), and the first shingle that they share stands early enough in both to leave room for the overlap they need
+(position filter). The order puts shingles that are common in a sample last, and is by hash otherwise; the sample changes
 the work, never the result. Round one verifies each text of a key against the key's least one, which joins large groups
 of near copies with a row a text; round two verifies all pairs of a key that are still in different components. Nothing
 is capped: a key costs the square of its different components, not of its texts.
@@ -30,13 +31,25 @@ SAMPLE, COMMON_FROM, MOST_COMMON = 8_000, 3, 200_000
 PAIRS = 500_000
 
 
-def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
-    """Distinct shingle hashes, ascending; a text shorter than a shingle is one."""
+def shingle_hashes(text: str, width: int = WIDTH) -> np.ndarray:
+    """64-bit hashes of a text's shingles in order, repeats included (A-Z lower-cased; ASCII white space between words): of
+    one for a text shorter than a shingle, of none for a text without words. A shingle's hash is made of its words'."""
     import xxhash
 
-    from .simhash import _shingles
+    words = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, text.encode().lower().split())), "<u8")
+    n = len(words) - width + 1 if len(words) >= width else min(1, len(words))
+    out = np.zeros(n, np.uint64)
+    for k in range(min(width, len(words))):
+        out = (out ^ (out >> np.uint64(29))) * _FACTOR + words[k : k + n]
+    return out ^ (out >> np.uint64(32))
+
+
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
-    return np.unique(np.array([xxhash.xxh64_intdigest(s) for s in _shingles(text, width)], np.uint64))
+
+def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
+    """Distinct shingle hashes, ascending."""
+    return np.unique(shingle_hashes(text, width))
 
 
 def prefix(each: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -84,35 +97,43 @@ def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
             yield columns
 
 
+def _fits(size: np.ndarray, pos: np.ndarray, other_size: np.ndarray, other_pos: np.ndarray) -> np.ndarray:
+    """Whether sets that share a shingle at these places of their orders, and none before, can be similar enough."""
+    size, other_size = size.astype(np.int64), np.asarray(other_size, np.int64)
+    room = np.minimum(size - pos, other_size - other_pos)  # the shared shingle and what follows
+    return (LEAST[0] + LEAST[1]) * room >= LEAST[0] * (size + other_size)
+
+
 def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and node -> one row a node of the keys of two nodes and more, with the key's least node."""
-    for key, node, size in _runs(batches):
+    """Rows sorted by key and node -> one row a node of the keys of two nodes and more, with the key's least node and
+    whether the two can be similar."""
+    for key, node, size, pos in _runs(batches):
         once = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
-        key, node, size = key[once], node[once], size[once]
+        key, node, size, pos = key[once], node[once], size[once], pos[once]
         heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         n = np.diff(np.append(heads, len(key)))
         first, many = np.repeat(heads, n), np.repeat(n > 1, n)
-        out = key[many], node[many], size[many], node[first][many], size[first][many]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["key", "node", "size", "least", "least_size"])
+        out = key[many], node[many], size[many], pos[many], node[first][many], _fits(size, pos, size[first], pos[first])[many]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["key", "node", "size", "pos", "least", "fits"])
 
 
 def _across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, root, node, size) sorted by key and root -> pairs of a key of different roots and fitting sizes."""
+    """Rows (key, root, node, size, pos) sorted by key and root -> pairs of a key of different roots that can be similar."""
 
     def out(us: list, vs: list) -> pa.RecordBatch:
         u, v = np.concatenate(us), np.concatenate(vs)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
 
     us, vs, held = [], [], 0
-    for key, root, node, size in _runs(batches):
+    for key, root, node, size, pos in _runs(batches):
         heads = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
         for at, end in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True):
             if root[at] == root[end - 1]:
                 continue
             after = at + np.searchsorted(root[at:end], root[at:end], "right")
             for i in range(at, end):
-                s = size[after[i - at] : end]
-                fit = np.flatnonzero(LEAST[1] * np.minimum(s, size[i]) >= LEAST[0] * np.maximum(s, size[i]))
+                rest = slice(after[i - at], end)
+                fit = np.flatnonzero(_fits(size[rest], pos[rest], size[i], pos[i]))
                 if len(fit):
                     us.append(np.full(len(fit), node[i]))
                     vs.append(node[after[i - at] + fit])
@@ -149,9 +170,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return first.join(own.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def links(texts: DataFrame, width: int = WIDTH) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The pairs (u, v), each once, that are similar, written to a table."""
+    return stage(_verified(pairs, texts, width), "links")
+
+
+def links(texts: DataFrame, width: int = WIDTH, known: DataFrame | None = None) -> DataFrame:
     """texts (node long, text), equal nodes having equal texts -> (u, v), u < v: similar pairs that connect all similar
-    pairs."""
+    pairs. known (u, v): pairs that have been verified; what they connect is not tried again."""
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     common = _common(texts, width)
 
@@ -161,16 +187,22 @@ def links(texts: DataFrame, width: int = WIDTH) -> DataFrame:
             keys = [prefix(s, common) if len(s) else np.zeros(1, np.uint64) for s in sets]  # texts without words are alike
             many = np.array([len(k) for k in keys], np.int64)
             node = np.repeat(b.column("node").to_numpy(zero_copy_only=False), many)
-            size = np.repeat(np.array([len(s) for s in sets], np.int32), many)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(node), pa.array(size)], ["key", "node", "size"])
+            size = np.repeat(np.array([max(1, len(s)) for s in sets], np.int32), many)
+            pos = (np.arange(len(node)) - np.repeat(np.cumsum(many) - many, many)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(node), pa.array(size), pa.array(pos)], ["key", "node", "size", "pos"])
 
     dealt: Callable[[DataFrame], DataFrame] = lambda df: df.repartition(n, "key")
-    keys = texts.select("node", "text").mapInArrow(run, "key long, node long, size int")
-    shared = stage(dealt(keys).sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, size int, least long, least_size int"), "shared-shingles")
-    fits = LEAST[1] * F.least("size", "least_size").cast("long") >= LEAST[0] * F.greatest("size", "least_size").cast("long")
-    tried = stage(shared.where((F.col("node") > F.col("least")) & fits).select(F.col("least").alias("u"), F.col("node").alias("v")).distinct(), "star-pairs")
-    stars = stage(_verified(tried, texts, width), "star-links")
-    placed = shared.join(components(stars), "node", "left").select("key", F.coalesce("root", "node").alias("root"), "node", "size")
+    keys = texts.select("node", "text").mapInArrow(run, "key long, node long, size int, pos int")
+    shared = stage(dealt(keys).sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, size int, pos int, least long, fits boolean"), "shared-shingles")
+    tried = shared.where((F.col("node") > F.col("least")) & F.col("fits")).select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()
+    if known is not None:
+        at = stage(components(known), "known-components")
+        placed = tried.join(at.select(F.col("node").alias("u"), F.col("root").alias("p")), "u", "left").join(at.select(F.col("node").alias("v"), F.col("root").alias("q")), "v", "left")
+        tried = placed.where(~F.coalesce(F.col("p") == F.col("q"), F.lit(False))).select("u", "v")
+    tried = stage(tried, "star-pairs")
+    stars = verified(tried, texts, width)
+    stars = stars if known is None else stars.unionAll(known.select("u", "v"))
+    placed = shared.join(components(stars), "node", "left").select("key", F.coalesce("root", "node").alias("root"), "node", "size", "pos")
     rest = dealt(placed).sortWithinPartitions("key", "root").mapInArrow(_across, "u long, v long").distinct()
     more = stage(rest.join(tried, ["u", "v"], "left_anti"), "pairs-across")
-    return stars.unionAll(stage(_verified(more, texts, width), "links-across"))
+    return stars.unionAll(verified(more, texts, width))

@@ -13,7 +13,7 @@ like any other; repeated doc_ids are repeated rows; extra columns are ignored; a
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,26 +43,27 @@ def _shingles(text: str, width: int) -> list[bytes]:
     return list(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))) if len(words) >= width else [b" ".join(words)]
 
 
-def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
-    """(doc_id, fp long): the SimHash of each whole text over `width`-word shingles, repeats included; fp_1, fp_2, ... by
-    further seeds."""
-    names = ["fp", *(f"fp_{i}" for i in range(1, len(seeds)))]
+def xxh64_hashes(text: str, width: int = 3, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each shingle, repeats included."""
+    import xxhash
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+    return np.frombuffer(b"".join([xxhash.xxh64_digest(s, seed) for s in _shingles(text, width)]), ">u8").astype(np.uint64)
+
+
+def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", hashes: Callable[[str, int], np.ndarray] = xxh64_hashes) -> DataFrame:
+    """(doc_id, fp long): the SimHash of each whole text over `width`-word shingles, repeats included."""
 
-        for b in each_batch(batches, 100):
-            each = [_shingles(t, width) for t in strings(b)]
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in each_batch(batches, 100, 1 << 20):
+            each = [hashes(t, width) for t in strings(b)]
             sizes = np.array([len(x) for x in each], np.int64)
             full = np.flatnonzero(sizes)
-            out = np.zeros((len(seeds), b.num_rows), np.uint64)
-            for k, seed in enumerate(seeds if len(full) else ()):
-                flat = np.fromiter((xxhash.xxh64_intdigest(s, seed) for x in each for s in x), np.uint64, int(sizes.sum()))
-                out[k, full] = fingerprint(flat, (np.cumsum(sizes) - sizes)[full], sizes[full])
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x.view(np.int64)) for x in out)], ["doc_id", *names])
+            out = np.zeros(b.num_rows, np.uint64)
+            if len(full):
+                out[full] = fingerprint(np.concatenate(each), (np.cumsum(sizes) - sizes)[full], sizes[full])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
 
-    kinds = ", ".join(f"{n} long" for n in names)
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, {kinds}")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long")
 
 
 _LOW = np.array([low for low, _ in BLOCKS], np.uint64)
@@ -184,40 +185,37 @@ def _of_fingerprints(rows: DataFrame, name: str, edges: DataFrame | None = None)
     return member.join(least, "root").select(F.col("fp").alias(name), "component")
 
 
-def near_duplicates(docs: DataFrame, width: int | None = None, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the least doc_id reachable over links. With several seeds documents
-    link if the fingerprints of any seed do; fp is the first seed's. Without a seed documents link if their shingle sets
-    have a similarity of 0.8 or more (see shingle_join); fp is the text's hash. The width is 3, and 5 without a seed."""
-    width = width or (3 if seeds else shingle_join.WIDTH)
-    if not seeds:
-        texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
-        rows = stage(texts.select("doc_id", F.col("node").alias("fp")), "text-hashes")
-        edges = shingle_join.links(texts.select("node", "text"), width)
-        return rows.join(_of_fingerprints(rows, "fp", edges), "fp").select("doc_id", "fp", F.col("component").alias("component_id"))
-    rows = stage(fingerprints(docs, width, id_col, text_col, seeds), "fingerprints")
-    if len(seeds) == 1:
-        return rows.join(_of_fingerprints(rows, "fp"), "fp").select("doc_id", "fp", F.col("component").alias("component_id"))
-    placed = rows
-    for i in range(len(seeds)):
-        name = f"fp_{i}" if i else "fp"
-        placed = placed.join(_of_fingerprints(rows, name).withColumnRenamed("component", f"c_{i}"), name)
-    placed = stage(placed.select("doc_id", "fp", *(f"c_{i}" for i in range(len(seeds)))), "placed")
-    edges = placed.select(F.col("c_0").alias("u"), F.explode(F.array(*[f"c_{i}" for i in range(1, len(seeds))])).alias("v")).where("u <> v").distinct()
-    nodes = components(edges)
-    return placed.join(nodes, placed.c_0 == nodes.node, "left").select("doc_id", "fp", F.coalesce("root", "c_0").alias("component_id"))
-
-
-#: Seeds of the pipeline's filter: none, so documents are compared by their five-word shingles, not by fingerprints.
-KEEP_SEEDS: tuple[int, ...] = ()
-
-
-def keep_one(docs: DataFrame, width: int | None = None, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
-    """docs, all columns, with one row of each component: the one of the least doc_id (nulls last), then of the least
-    hash of the text. Rows are told apart by both, so neither rows without an id nor rows of one id and several texts
-    stand for one another; of rows that are equal in both one stays."""
+def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id): component_id is the least doc_id reachable over links of fingerprints."""
+    rows = stage(fingerprints(docs, width, id_col, text_col), "fingerprints")
+    return rows.join(_of_fingerprints(rows, "fp"), "fp").select("doc_id", "fp", F.col("component").alias("component_id"))
+
+
+def similar_texts(docs: DataFrame, width: int = shingle_join.WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, node, component_id): documents link if their sets of `width`-word shingles have a similarity of 0.8 or more.
+
+    Ball hashing comes first: texts whose fingerprints over the same shingles link are candidates, verified on the sets.
+    Pairs near 0.8 mostly differ in more than RADIUS bits; the exact join of shingle_join finds them, and tries no pair that
+    is connected already. node is the text's hash."""
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
+    printed = fingerprints(texts.select(F.struct("id", "node").alias("doc_id"), "text"), width, hashes=shingle_join.shingle_hashes)
+    rows = stage(printed.select(F.col("doc_id.id").alias("doc_id"), F.col("doc_id.node").alias("node"), "fp"), "fingerprints")
+    balls = stage(rows.groupBy("fp").agg(F.min("node").alias("least")), "distinct-fingerprints")
+    equal = rows.select("fp", "node").distinct().join(balls, "fp").where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
+    met = links(balls).join(balls.select(F.col("fp").alias("u"), F.col("least").alias("p")), "u").join(balls.select(F.col("fp").alias("v"), F.col("least").alias("q")), "v")
+    near = met.select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v"))
+    known = shingle_join.verified(stage(equal.unionAll(near), "ball-pairs"), texts.select("node", "text"), width)
+    edges = shingle_join.links(texts.select("node", "text"), width, known)
+    return rows.join(_of_fingerprints(rows.select("doc_id", "node"), "node", edges), "node").select("doc_id", "node", F.col("component").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = similar_texts) -> DataFrame:
+    """docs, all columns, with one row of each component of `groups` (similar_texts or near_duplicates): the one of the
+    least doc_id (nulls last), then of the least hash of the text. Rows are told apart by both, so neither rows without an
+    id nor rows of one id and several texts stand for one another; of rows that are equal in both one stays."""
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), mark.alias("mark"))
-    found = stage(near_duplicates(docs.select(key.alias("doc_id"), "text"), width, seeds=seeds), "components")
+    found = stage(groups(docs.select(key.alias("doc_id"), "text")), "components")
     same = lambda rows, others: rows["doc_id"].eqNullSafe(others["id"]) & (F.xxhash64(F.coalesce(rows["text"], F.lit(""))) == others["mark"])
     gone = stage(found.where("doc_id <> component_id").select(F.col("doc_id.id").alias("id"), F.col("doc_id.mark").alias("mark")).distinct(), "gone")
     kept = join_small(docs, gone, same(docs, gone), "left_anti")

@@ -9,7 +9,8 @@ many rare words that are as near to its term. A hit counts less where its window
 it addresses someone; the sum of a document goes through a logistic curve fitted on the same rows.
 
 Only text is an input of a score. Null and empty texts get the score of a document without hits; repeated rows get equal
-scores; extra columns are dropped; without any labelled row the lexicon is empty and all scores are one low constant.
+scores; extra columns are dropped; without any labelled row the lexicon is empty and all scores are one low constant. Of
+labelled rows that are equal in doc_id and text one is learned from; rows of one doc_id with several texts all are.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, each_batch, stage, strings, table
+from .common import documents, each_batch, kept_in_worker, least_by_hash, stage, strings, table
 
 #: Bounds of the labelled sample that the lexicon and the curve are learned from: rows of label 1 and of label 0.
 MOST_TOXIC, MOST_CLEAN = 4_000, 6_000
@@ -32,10 +33,9 @@ MOST_TOXIC, MOST_CLEAN = 4_000, 6_000
 CONTEXT = 6
 #: Words from the opening to the closing mark of a quotation, at most.
 QUOTATION = 60
-MOST_TERMS = 1_000
-#: Bound of the words near to terms that are learned from clean rows, most frequent first.
-MOST_NEAR = 50_000
 THRESHOLD = 0.7
+#: Bounds of a worker's memory, not of results: words that need not be walked again, and states of an automaton.
+MOST_KNOWN, MOST_STATES = 250_000, 20_000
 #: Fixed word lists of the context score.
 REPORTING = frozenset("said says say called calls wrote writes quote quoted quotes quoting word term insult slur dijo llamó schrieb sagte nannte dit écrit appelé".split())
 ADDRESS = frozenset("you your you're youre u ur du dich dein tu te toi eres usted".split())
@@ -59,6 +59,10 @@ class LevenshteinTrie:
                     if node == len(self.children):
                         self.children.append({})
                 kind[node] = t
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops all deterministic states: they come back when asked for."""
         self.ids: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
@@ -171,8 +175,11 @@ class Scorer:
         every = set(words)
         new = every - self.known
         if new:
-            if len(self.known) > 600_000:
-                self.known, new = set(), every
+            if len(self.known) > MOST_KNOWN:
+                self.known, self.hits, new = set(), {}, every
+            for trie in (self.exact, self.near):
+                if len(trie.sets) > MOST_STATES:
+                    trie.forget()
             self.known |= new
             for w in new:
                 if (hit := self.weigh(w)) is not None:
@@ -196,15 +203,15 @@ class Scorer:
 
 
 def _terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, toxic, keys, terms, examples): a text's distinct words and stems, and three least hashes of its
-    word pairs (near copies share most of them)."""
+    """(row, toxic, keys, terms, examples): a text's distinct words and stems, and three least hashes of its word pairs
+    (near copies share most of them)."""
     import xxhash
 
     for b in each_batch(batches, 200):
         out: list[list] = [[], [], []]
         for text in strings(b):
             order = _LETTERS.findall(text.lower())
-            words = {w for w in order if len(w) <= 30}
+            words = set(order)
             pairs = [xxhash.xxh64_intdigest(f"{a} {b}") for a, b in {*zip(order, order[1:], strict=False)}]
             stems: dict[str, str] = {}
             for w in sorted(words):
@@ -214,32 +221,39 @@ def _terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out[0].append([min((h * s % (1 << 64) for h in pairs), default=s) >> 1 for s in _SPREAD])
             out[1].append([*words, *stems])
             out[2].append([*words, *stems.values()])
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), *(pa.array(x, pa.list_(k)) for x, k in zip(out, (pa.int64(), pa.string(), pa.string()), strict=True))], ["doc_id", "toxic", "keys", "terms", "examples"])
+        yield pa.RecordBatch.from_arrays([b.column("row"), b.column("toxic"), *(pa.array(x, pa.list_(k)) for x, k in zip(out, (pa.int64(), pa.string(), pa.string()), strict=True))], ["row", "toxic", "keys", "terms", "examples"])
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic): at most MOST_TOXIC and MOST_CLEAN labelled documents, least hashes of doc_id first."""
+    """(row unique, text, toxic): at most MOST_TOXIC and MOST_CLEAN different labelled rows, least hashes of doc_id, and
+    of the row itself, first."""
     mark = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    some = [mark.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, MOST_TOXIC), (0, MOST_CLEAN))]
-    return docs.select("doc_id", "text").join(F.broadcast(some[0].unionAll(some[1])), "doc_id")
+    bounds = (1, MOST_TOXIC), (0, MOST_CLEAN)
+    some = [least_by_hash(mark.where(F.col("toxic") == y), "doc_id", n) for y, n in bounds]
+    text = F.coalesce("text", F.lit("")).alias("text")
+    found = docs.select("doc_id", text).join(F.broadcast(some[0].unionAll(some[1])), "doc_id").withColumn("row", F.xxhash64("doc_id", "text"))
+    rows = stage(found.dropDuplicates(["row"]).select("row", "text", "toxic"), "toxicity-sample")
+    keys = [least_by_hash(rows.where(F.col("toxic") == y).select("row"), "row", n) for y, n in bounds]
+    return rows.join(F.broadcast(keys[0].unionAll(keys[1])), "row", "left_semi")
 
 
 def learn_terms(rows: DataFrame) -> tuple[list[str], DataFrame]:
-    """The lexicon, and rows (doc_id, w) of the weights that make copies count as one."""
-    each = stage(rows.mapInArrow(_terms, "doc_id long, toxic int, keys array<long>, terms array<string>, examples array<string>"), "terms")
+    """The lexicon, and rows (row, w) of the weights that make copies count as one. A term is in at least 1.2 percent of
+    the weighted rows of label 1, so the lexicon has at most about 83 times the words of an average one of them."""
+    each = stage(rows.mapInArrow(_terms, "row long, toxic int, keys array<long>, terms array<string>, examples array<string>"), "terms")
     weighted = each
     for i in range(3):  # copies of a text share keys; the counts are at most as many as the sample has rows
         size = each.groupBy(F.get("keys", F.lit(i)).alias(f"k{i}"), "toxic").agg(F.count("*").alias(f"n{i}"))
         weighted = weighted.withColumn(f"k{i}", F.get("keys", F.lit(i))).join(F.broadcast(size), [f"k{i}", "toxic"])
     weighted = weighted.withColumn("w", 1 / F.greatest("n0", "n1", "n2"))
-    weights = weighted.select("doc_id", "w")
+    weights = weighted.select("row", "w")
     sums = weighted.agg(F.sum(F.col("w") * F.col("toxic")).alias("p"), F.sum(F.col("w") * (1 - F.col("toxic"))).alias("n")).first()
     p, n = sums["p"] or 0.0, sums["n"] or 0.0
     pairs = weighted.select("toxic", "w", F.explode(F.arrays_zip("terms", "examples")).alias("x")).select("toxic", "w", F.col("x.terms").alias("term"), F.col("x.examples").alias("example"))
     counted = pairs.groupBy("term").agg(F.sum(F.col("w") * F.col("toxic")).alias("a"), F.sum(F.col("w") * (1 - F.col("toxic"))).alias("b"), F.approx_count_distinct("example").alias("endings"))
     odds = F.log((F.col("a") + 0.5) / (p + 1)) - F.log((F.col("b") + 0.5) / (n + 1)) - F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
     good = counted.where((F.col("a") >= max(3.0, 0.012 * p)) & (odds >= 2.4) & (F.col("b") <= 0.02 * F.col("a")) & (~F.col("term").endswith("*") | (F.col("endings") >= 4)))
-    best = [r["term"] for r in good.orderBy(odds.desc(), F.length("term").desc(), "term").limit(MOST_TERMS).collect()]
+    best = [r["term"] for r in good.orderBy(odds.desc(), F.length("term").desc(), "term").collect()]
     kept: list[str] = []
     for s in (t[:-1] for t in best if t.endswith("*")):  # of stems that begin one another, the one of best odds
         if not any(s.startswith(k) or k.startswith(s) for k in kept):
@@ -247,29 +261,23 @@ def learn_terms(rows: DataFrame) -> tuple[list[str], DataFrame]:
     return [t for t in best if not t.endswith("*") and not any(t.startswith(k) for k in kept)] + [k + "*" for k in kept], weights
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def _scorer(spec: str) -> Scorer:
-    if spec not in _scorers:
-        _scorers.clear()
-        _scorers[spec] = Scorer(*json.loads(spec))
-    return _scorers[spec]
+    return kept_in_worker("toxicity/scorer", spec, lambda: Scorer(*json.loads(spec)))
 
 
 def learn_near(rows: DataFrame, weights: DataFrame, terms: list[str]) -> tuple[dict[str, float], dict[str, float]]:
-    """(seen, rare) of Scorer, from rows (doc_id, text, toxic) of label 0: a count grouped by word and term."""
+    """(seen, rare) of Scorer, from rows (row, text, toxic) of label 0: a count grouped by word and term."""
     spec = json.dumps([terms])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in each_batch(batches, 200):
             scorer = _scorer(spec)
             near = [sorted({x for w in set(t.lower().split()) for x in scorer.near_hits(w) or ()}) for t in strings(b)]
-            ids = b.column("doc_id").take(pa.array([i for i, x in enumerate(near) for _ in x], pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array([h[k] for x in near for h in x], pa.string()) for k in (0, 1))], ["doc_id", "word", "term"])
+            ids = b.column("row").take(pa.array([i for i, x in enumerate(near) for _ in x], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array([h[k] for x in near for h in x], pa.string()) for k in (0, 1))], ["row", "word", "term"])
 
-    found = rows.where("toxic = 0").select("doc_id", "text").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, word string, term string")
-    counted = found.join(F.broadcast(weights), "doc_id").groupBy("word", "term").agg(F.sum("w").alias("n")).orderBy(F.desc("n"), "word").limit(MOST_NEAR).collect()
+    found = rows.where("toxic = 0").select("row", "text").mapInArrow(run, "row long, word string, term string")
+    counted = found.join(F.broadcast(weights), "row").groupBy("word", "term").agg(F.sum("w").alias("n")).collect()
     seen, rare = {r["word"]: r["n"] for r in counted}, {}
     for r in counted:
         if r["n"] <= 1:
@@ -315,13 +323,14 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Lexicon, near words and curve from labelled documents (a bounded sample of them, see MOST_TOXIC and MOST_CLEAN)."""
-    rows = stage(sample(docs, labels), "toxicity-sample")
+    rows = stage(sample(docs, labels), "toxicity-rows")
     if rows.agg(F.max("toxic")).first()[0] != 1:
         return Model([], (-3.0, 8.0))
     terms, weights = learn_terms(rows)
     weights = stage(weights, "toxicity-weights")
     seen, rare = learn_near(rows, weights, terms)
-    found = hit_sums(rows, terms, seen, rare).join(rows.select("doc_id", "toxic"), "doc_id").join(weights, "doc_id").select("hits", "near", "toxic", "w").collect()
+    sums = hit_sums(rows.withColumnRenamed("row", "doc_id"), terms, seen, rare).withColumnRenamed("doc_id", "row")
+    found = sums.join(F.broadcast(rows.select("row", "toxic")), "row").join(F.broadcast(weights), "row").select("hits", "near", "toxic", "w").collect()
     x = np.array([(r["hits"] + r["near"], r["toxic"], r["w"]) for r in found], float).reshape(-1, 3)
     return Model(terms, fit_curve(*x.T), seen, rare)
 

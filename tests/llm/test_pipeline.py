@@ -20,7 +20,7 @@ def test_stages(spark, sf_dir, tmp_path):
             scores = toxicity.scores(before, toxicity.fit(before, table(spark, sf_dir, "labels")))
             assert {r["doc_id"] for r in docs.select("doc_id").collect()} == {r["doc_id"] for r in scores.where("predicted = 0").collect()}
         if name == "near_duplicates":
-            groups = simhash.near_duplicates(before, seeds=simhash.KEEP_SEEDS).select("component_id").distinct()
+            groups = simhash.similar_texts(before).select("component_id").distinct()
             assert {r[0] for r in docs.select("doc_id").collect()} == {r[0] for r in groups.collect()}
             left = docs.select("doc_id")
     assert {r[0] for r in docs.select("doc_id").distinct().collect()} == {r[0] for r in left.collect()}
