@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import release, stage
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = stage(edges.select("u", "v").where("u is not null and v is not null and u <> v").distinct(), "edges")
     before = None
     for _ in range(most_rounds):
-        now = stage(_small_star(_large_star(now)), "edges")
+        last, now = now, stage(_small_star(_large_star(now)), "edges")
+        release(last)
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             break

@@ -19,14 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_batch, stage, strings
+from .common import each_batch, join_small, release, stage, strings
 from .components import components
 
 WIDTH = 5
 #: The least similarity of a pair is LEAST[0] / LEAST[1].
 LEAST = (4, 5)
-#: Texts of the sample, how many of them make a shingle common, and how many common shingles are told apart.
-SAMPLE, COMMON_FROM, MOST_COMMON = 8_000, 3, 200_000
+#: One in how many texts is sampled, how many of them make a shingle common, and how many common shingles are told apart.
+SAMPLE, COMMON_FROM, MOST_COMMON = 4, 3, 2_000_000
+#: Nodes whose list may be broadcast (8 bytes each).
+MOST_NODES = 1_000_000
 #: Pairs handed on at a time.
 PAIRS = 500_000
 
@@ -45,6 +47,7 @@ def shingle_hashes(text: str, width: int = WIDTH) -> np.ndarray:
 
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_HALF = np.uint64(1 << 63)
 
 
 def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
@@ -65,14 +68,15 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _common(texts: DataFrame, width: int) -> np.ndarray:
-    """Shingles that several texts of a sample hold, ascending."""
+    """Shingles that several texts of a sample hold, ascending: of the lower half of the hashes, where prefixes lie. The
+    sample is a share of the texts, so what it tells apart does not depend on their number. Copies of a text count once."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in each_batch(batches, 100):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(t, width) for t in strings(b)]).view(np.int64))], ["key"])
+            every = np.concatenate([shingle_set(t, width) for t in strings(b)])
+            yield pa.RecordBatch.from_arrays([pa.array(every[every < _HALF].view(np.int64))], ["key"])
 
-    every = max(1, texts.count() // SAMPLE)
-    some = texts.where(F.pmod("node", F.lit(every)) == 0).select("text").mapInArrow(run, "key long")
+    some = texts.where(F.pmod("node", F.lit(SAMPLE)) == 0).dropDuplicates(["node"]).select("text").mapInArrow(run, "key long")
     often = some.groupBy("key").count().where(F.col("count") >= COMMON_FROM).orderBy(F.desc("count"), "key").limit(MOST_COMMON)
     return np.sort(np.array([r["key"] for r in often.collect()], np.int64).view(np.uint64))
 
@@ -145,8 +149,8 @@ def _across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(us, vs)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """The pairs (u, v) that are similar, counted from their texts."""
+def verified(pairs: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The pairs (u, v), each given once in a table, that are similar, counted from their texts; as a table."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
@@ -164,15 +168,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
                 good.append(similar(sets[i], sets[j]))
             yield b.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    own = stage(texts.join(ends, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "candidate-texts")
+    ends = stage(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "candidates")
+    own = join_small(texts, ends, ["node"], "left_semi", MOST_NODES).groupBy("node").agg(F.first("text").alias("text"))
+    own = stage(own, "candidate-texts")
     first = pairs.join(own.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
-    return first.join(own.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The pairs (u, v), each once, that are similar, written to a table."""
-    return stage(_verified(pairs, texts, width), "links")
+    both = first.join(own.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b")
+    good = stage(both.mapInArrow(run, "u long, v long"), "links")
+    for used in (ends, own):
+        release(used)
+    return good
 
 
 def links(texts: DataFrame, width: int = WIDTH, known: DataFrame | None = None) -> DataFrame:
@@ -205,4 +209,6 @@ def links(texts: DataFrame, width: int = WIDTH, known: DataFrame | None = None)
     placed = shared.join(components(stars), "node", "left").select("key", F.coalesce("root", "node").alias("root"), "node", "size", "pos")
     rest = dealt(placed).sortWithinPartitions("key", "root").mapInArrow(_across, "u long, v long").distinct()
     more = stage(rest.join(tried, ["u", "v"], "left_anti"), "pairs-across")
+    release(shared)
+    release(tried)
     return stars.unionAll(verified(more, texts, width))

@@ -5,7 +5,7 @@ bit blocks (21, 21 and 22 bits) holds one of them; with that block masked out at
 half that radius, 1, around both meet. Every distinct fingerprint therefore emits, for each masked block, itself and all
 variants with one bit turned (131 keys); equal keys meet in the shuffle, the pairs are verified on all 64 bits, and
 repeated pairs go in a distinct. Nothing is capped: inside a key the comparison is exact whatever its size, and a key of
-more than 64 fingerprints hands on a spanning forest of its links, not the pairs.
+more than FEW fingerprints hands on a spanning forest of its links, not the pairs.
 
 Equal fingerprints are one node, so groups of copies cost one row. Null and empty texts have fingerprint zero and link
 like any other; repeated doc_ids are repeated rows; extra columns are ignored; an empty table gives no rows.
@@ -26,6 +26,8 @@ from .components import components
 
 RADIUS = 3
 SEED = 42
+#: Fingerprints of a key up to which it hands on its pairs: three and a half a fingerprint at most.
+FEW = 8
 BLOCKS = ((0, 21), (21, 42), (42, 64))
 
 
@@ -115,7 +117,7 @@ def _links(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     heads = np.flatnonzero(np.diff(key, prepend=~key[0]))
     sizes = np.diff(np.append(heads, len(key)))
     us, vs = [], []
-    small = sizes <= 64
+    small = sizes <= FEW
     for some, forest in ((small, False), (~small, True)):
         h, n = heads[some & (sizes > 1)], sizes[some & (sizes > 1)]
         for at, m in zip(h, n, strict=True) if forest else ():
@@ -168,7 +170,7 @@ def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(fps: DataFrame) -> DataFrame:
     """fps (fp long, distinct) -> (u, v), u < v: links that connect all fingerprints within the radius of one another;
-    all of them but for keys of over 64 fingerprints, which give a spanning forest."""
+    all of them but for keys of over FEW fingerprints, which give a spanning forest."""
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     variants = fps.select("fp").mapInArrow(_variants, "key long, rest int")
     found = variants.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet, "u long, v long")
@@ -194,17 +196,19 @@ def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
 def similar_texts(docs: DataFrame, width: int = shingle_join.WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, node, component_id): documents link if their sets of `width`-word shingles have a similarity of 0.8 or more.
 
-    Ball hashing comes first: texts whose fingerprints over the same shingles link are candidates, verified on the sets.
+    Ball hashing comes first: each text is a candidate of the least text of its component of fingerprints over the same
+    shingles, and verified on the sets, which connects groups of near copies by one pair a text.
     Pairs near 0.8 mostly differ in more than RADIUS bits; the exact join of shingle_join finds them, and tries no pair that
     is connected already. node is the text's hash."""
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
     printed = fingerprints(texts.select(F.struct("id", "node").alias("doc_id"), "text"), width, hashes=shingle_join.shingle_hashes)
     rows = stage(printed.select(F.col("doc_id.id").alias("doc_id"), F.col("doc_id.node").alias("node"), "fp"), "fingerprints")
     balls = stage(rows.groupBy("fp").agg(F.min("node").alias("least")), "distinct-fingerprints")
-    equal = rows.select("fp", "node").distinct().join(balls, "fp").where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
-    met = links(balls).join(balls.select(F.col("fp").alias("u"), F.col("least").alias("p")), "u").join(balls.select(F.col("fp").alias("v"), F.col("least").alias("q")), "v")
-    near = met.select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v"))
-    known = shingle_join.verified(stage(equal.unionAll(near), "ball-pairs"), texts.select("node", "text"), width)
+    met = components(links(balls)).select(F.col("node").alias("fp"), "root")
+    root = balls.select(F.col("fp").alias("root"), F.col("least").alias("first"))
+    near = balls.join(met, "fp", "left").withColumn("root", F.coalesce("root", "fp")).join(root, "root").select("fp", "first")
+    pairs = rows.select("fp", "node").distinct().join(near, "fp").where("node <> first").select(F.least("node", "first").alias("u"), F.greatest("node", "first").alias("v"))
+    known = shingle_join.verified(stage(pairs, "ball-pairs"), texts.select("node", "text"), width)
     edges = shingle_join.links(texts.select("node", "text"), width, known)
     return rows.join(_of_fingerprints(rows.select("doc_id", "node"), "node", edges), "node").select("doc_id", "node", F.col("component").alias("component_id"))
 
