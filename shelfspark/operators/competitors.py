@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfspark.functions.joins import join_small
 from shelfspark.functions.text import blank_to_null, parse_price
 
 
@@ -24,9 +25,9 @@ def competitors(members: DataFrame, n: int = 3) -> DataFrame:
     near = target.join(cand, ["cluster", "level"]).where("product_id <> competitor_id").select("cluster", "product_id", "competitor_id", "cpos", F.abs(F.col("p") - F.col("cp")).alias("distance"))
     # the first unpriced members stand at no distance, behind all others
     loose = rows.where("p is null").withColumn("__r", first(["cluster"])).where(F.col("__r") <= n + 1).select("cluster", F.col("product_id").alias("competitor_id"), F.col("member_pos").alias("cpos"))
-    after = priced.join(F.broadcast(loose), "cluster").select("cluster", "product_id", "competitor_id", "cpos", F.lit(None).cast("double").alias("distance"))
+    after = join_small(priced, loose, "cluster").select("cluster", "product_id", "competitor_id", "cpos", F.lit(None).cast("double").alias("distance"))
     head = rows.withColumn("__r", first(["cluster"])).where(F.col("__r") <= n + 1).select("cluster", F.col("product_id").alias("competitor_id"), F.col("member_pos").alias("cpos"))
-    lost = rows.where("p is null").join(F.broadcast(head), "cluster").where("product_id <> competitor_id").select("cluster", "product_id", "competitor_id", "cpos", F.lit(None).cast("double").alias("distance"))
+    lost = join_small(rows.where("p is null"), head, "cluster").where("product_id <> competitor_id").select("cluster", "product_id", "competitor_id", "cpos", F.lit(None).cast("double").alias("distance"))
     order = Window.partitionBy("cluster", "product_id").orderBy(F.col("distance").asc_nulls_last(), "cpos")
     return near.unionByName(after).unionByName(lost).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("cluster", "product_id", "rank", "competitor_id", "distance")
 

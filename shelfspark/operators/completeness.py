@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfspark.functions.joins import join_small
 from shelfspark.functions.text import blank_to_null, half_even, ordered_list
 
 
@@ -17,7 +18,7 @@ def attribute_presence(members: DataFrame, schema: DataFrame, applicability: Dat
     value = attributes.where(blank_to_null(F.col("value")).isNotNull()).groupBy("product_id").agg(F.collect_set("attr").alias("__has"))
     any_row = attributes.groupBy("product_id").agg(F.count("*").alias("__n"))
     rows = members.join(applicability.select("product_id", "applicable"), "product_id", "left").join(value, "product_id", "left").join(any_row, "product_id", "left").join(products.select("product_id", "spec_keys", "description"), "product_id", "left")
-    wide = rows.join(F.broadcast(schema), "cluster")
+    wide = join_small(rows, schema, "cluster")
     name = F.lower("attr")
     guess = F.exists(F.coalesce("spec_keys", F.array().cast("array<string>")), lambda k: F.lower(k).contains(name) | name.contains(F.lower(k))) | F.coalesce(F.lower("description").contains(name), F.lit(False))
     exact = F.coalesce(F.array_contains("__has", F.col("attr")), F.lit(False))

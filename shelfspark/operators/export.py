@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfspark.functions.joins import join_small
 from shelfspark.functions.text import blank_to_null, ordered_list, price_number
 
 #: Currency symbols and codes, longest symbol first (fixed values); SYMBOL_ORDER is the order of the parity option.
@@ -23,10 +24,10 @@ def currency_code(price: Column, parity: bool = False) -> Column:
     return F.coalesce(*[F.when(price.contains(s), CURRENCIES[s]) for s in symbols])
 
 
-def detect_currency(products: DataFrame, parity: bool = False) -> DataFrame:
-    """One row: the currency of the first price, by position, that has a symbol."""
+def detect_currency(products: DataFrame, parity: bool = False, keys: list[str] | None = None) -> DataFrame:
+    """One row (of each group of keys): the currency of the first price, by position, that has a symbol."""
     code = currency_code(F.col("price"), parity)
-    return products.select("position", code.alias("code")).where("code is not null").agg(F.min_by("code", "position").alias("currency"))
+    return products.select(*keys or [], "position", code.alias("code")).where("code is not null").groupBy(*keys or []).agg(F.min_by("code", "position").alias("currency"))
 
 
 def availability(specs: Column) -> Column:
@@ -43,7 +44,7 @@ def export_rows(members: DataFrame, products: DataFrame, personas: DataFrame, co
     """Member x cluster x picked persona x content; products (product_id, name, price, description, specs), personas one
     per cluster (title, narrative_seed, user_story), content (product_id, passage, knowledge columns)."""
     pairs = attributes.where(F.col("value").isNotNull()).groupBy("product_id").agg(ordered_list([F.col("ord")], F.struct("attr", "value")).alias("verified"))
-    rows = members.join(products, "product_id").join(F.broadcast(personas.select("cluster", "title", "narrative_seed", "user_story")), "cluster", "left")
+    rows = join_small(members.join(products, "product_id"), personas.select("cluster", "title", "narrative_seed", "user_story"), "cluster", "left")
     rows = rows.join(content, "product_id", "left").join(pairs, "product_id", "left")
     return rows.withColumn("verified", F.coalesce("verified", F.array().cast("array<struct<attr:string,value:string>>")))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfspark.functions.joins import join_small
 from shelfspark.functions.text import blank_to_null, fit_number, half_even, ordered_list, strip
 
 #: Operator names and their other spellings (fixed values).
@@ -46,7 +47,7 @@ def verdict(operator: Column, wanted: Column, options: Column, value: Column) ->
 
 def check_criterion(criteria: DataFrame, members: DataFrame, attributes: DataFrame) -> DataFrame:
     """criteria (cluster, persona_id, pos, attribute, operator, value, options) x members -> verdict rows."""
-    pairs = members.join(F.broadcast(criteria.withColumnRenamed("value", "wanted")), "cluster")
+    pairs = join_small(members, criteria.withColumnRenamed("value", "wanted"), "cluster")
     values = attributes.groupBy("product_id", F.col("attr").alias("attribute")).agg(F.first("value").alias("__v"))
     joined = pairs.join(values, ["product_id", "attribute"], "left")
     label = F.concat_ws(" ", "attribute", "operator", F.coalesce(F.array_join("options", ", "), "wanted"))

@@ -120,14 +120,18 @@ def spend_summary(calls: DataFrame) -> DataFrame:
 
 
 def within_budget(calls: DataFrame, cap: float, ranges: int = 256) -> DataFrame:
-    """Adds spent_before and allowed: earlier spend is below the cap. Calls (call_id, usd) lie in ranges of call_id; sums
-    of ranges give offsets, so no window covers all calls."""
-    bounds = calls.agg(F.min("call_id").alias("a"), F.max("call_id").alias("b")).first()
-    width = max(1, -(-((bounds["b"] or 0) - (bounds["a"] or 0) + 1) // ranges))
-    rows = calls.withColumn("__g", F.floor((F.col("call_id") - F.lit(bounds["a"] or 0)) / width).cast("int")).withColumn("__u", F.col("usd").cast("decimal(30,12)"))
+    """Adds spent_before and allowed: earlier spend is below the cap. Calls (call_id, usd) lie in ranges of call_id with
+    about as many calls each (256 and more); sums of ranges give offsets, so no window covers all calls. Calls of one id,
+    and those without an id, which come last, stand in the order of their cost."""
+    at = F.coalesce(F.col("call_id"), F.lit((1 << 63) - 1))
+    n = calls.count()
+    cuts = max(ranges, min(10_000, n // 500_000))
+    bounds = sorted(set(calls.agg(F.percentile_approx(at, F.array(*[F.lit(i / cuts) for i in range(1, cuts)]), F.lit(20 * cuts))).first()[0] or []))
+    edges = F.array(*[F.lit(b).cast("long") for b in bounds])
+    rows = calls.withColumn("__g", F.size(F.filter(edges, lambda e: e <= at))).withColumn("__u", F.col("usd").cast("decimal(30,12)"))
     before = Window.orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("__g").agg(F.sum("__u").alias("__s")).withColumn("__o", F.coalesce(F.sum("__s").over(before), F.lit(0)))
-    inside = Window.partitionBy("__g").orderBy("call_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("__g").orderBy(at, "__u").rowsBetween(Window.unboundedPreceding, -1)
     spent = (F.col("__o") + F.coalesce(F.sum("__u").over(inside), F.lit(0))).cast("double")
     return rows.join(F.broadcast(sums.select("__g", "__o")), "__g").withColumn("spent_before", spent).withColumn("allowed", F.col("spent_before") < cap).drop("__g", "__u", "__o")
 

@@ -57,9 +57,11 @@ def top_gaps(rows: DataFrame) -> DataFrame:
     return rows.withColumn("gaps", F.when(F.col("has_content"), F.transform(F.slice(ranked, 1, 5), lambda s: s["m"])).otherwise(few))
 
 
-def cluster_dashboard(members: DataFrame, completeness: DataFrame, readiness: DataFrame, personas: DataFrame, fits: DataFrame, missing: DataFrame) -> DataFrame:
-    """One row a cluster: members, completeness, readiness, the picked persona's fit, attributes missing somewhere."""
+def cluster_dashboard(members: DataFrame, completeness: DataFrame, readiness: DataFrame, personas: DataFrame, fits: DataFrame, missing: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """One row a cluster: members, completeness, readiness, the picked persona's fit, attributes missing somewhere, and the
+    normalization stats (cluster and any further columns) if they are given."""
     size = members.groupBy("cluster").agg(F.count("*").alias("members"))
     lacks = missing.where("missing > 0").groupBy("cluster").agg(F.array_sort(F.collect_list("attr")).alias("missing"))
     picked = personas.select("cluster", "persona_id", "title").join(fits.select("cluster", "persona_id", "fit", F.col("coverage").alias("fit_coverage")), ["cluster", "persona_id"], "left").drop("persona_id")
-    return size.join(completeness, "cluster", "left").join(readiness, "cluster", "left").join(picked, "cluster", "left").join(lacks, "cluster", "left")
+    out = size.join(completeness, "cluster", "left").join(readiness, "cluster", "left").join(picked, "cluster", "left").join(lacks, "cluster", "left")
+    return out if stats is None else out.join(stats, "cluster", "left")

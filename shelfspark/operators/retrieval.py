@@ -44,11 +44,14 @@ def pending_clusters(members: DataFrame, content: DataFrame, version: int) -> Da
 
 
 def content_signature(products: DataFrame, content: DataFrame) -> DataFrame:
-    """One hash of all values: per product, then per cluster, then over clusters."""
+    """One hash of all values: per product, per cluster and first four digits of those, per cluster, then over clusters. No
+    row holds more than a 65,536th of a cluster's hashes, or the hashes of 65,536 parts."""
     row = F.sha2(F.to_json(F.struct("product_id", "name", "price", "passage"), {"ignoreNullFields": "false"}), 256)
     each = products.join(content.select("product_id", "passage"), "product_id", "left").select("cluster", row.alias("h"))
-    clusters = each.groupBy("cluster").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
-    return clusters.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("cluster", F.lit(":"), "h"))), ""), 256).alias("signature"))
+    over = lambda x: F.sha2(F.array_join(F.array_sort(F.collect_list(x)), ""), 256).alias("h")
+    parts = each.groupBy("cluster", F.substring("h", 1, 4).alias("part")).agg(over("h"))
+    clusters = parts.groupBy("cluster").agg(over(F.concat("part", F.lit(":"), "h")))
+    return clusters.agg(over(F.concat("cluster", F.lit(":"), "h")).alias("signature"))
 
 
 def normalize_vectors(index: DataFrame, vec: str = "vec", text: str | None = None) -> DataFrame:

@@ -67,7 +67,8 @@ def a6_persona_rating(v):  # noqa: ANN001, ANN201
     return completeness.persona_rating(v.personas, v.presence()).select("cluster", "persona_id", "rating")
 
 
-@query("SELECT cluster, persona_id, CASE WHEN pos = 0 THEN 'size|brand' ELSE 'color|type' END AS covered, CASE WHEN pos = 0 THEN '' ELSE 'weight' END AS missing FROM personas")
+@query("""--CTE w AS (SELECT cluster, persona_id, s.attr, s.i FROM personas, LATERAL (SELECT unnest(supporting) AS attr, generate_subscripts(supporting, 1) AS i) s), t AS (SELECT DISTINCT cluster, attr FROM presence WHERE present)
+SELECT w.cluster, persona_id, coalesce(string_agg(w.attr, '|' ORDER BY i) FILTER (t.attr IS NOT NULL), '') AS covered, coalesce(string_agg(w.attr, '|' ORDER BY i) FILTER (t.attr IS NULL), '') AS missing FROM w LEFT JOIN t ON t.cluster = w.cluster AND t.attr = w.attr GROUP BY 1, 2""")
 def a7_persona_coverage(v):  # noqa: ANN001, ANN201
     return joined(completeness.persona_coverage(v.personas, v.presence()), "covered", "missing").select("cluster", "persona_id", "covered", "missing")
 

@@ -171,11 +171,17 @@ def q20_run_queries(v):  # noqa: ANN001, ANN201
     return R.run_queries(_queries(v), _both(v), facts, none, _rankings(v).limit(0)).select("query_id", "side", "key", "final_rank")
 
 
-@query("SELECT event_id AS query_id, 'goal' AS task, 'Not stated' AS context, CASE WHEN event_id % 2 = 0 THEN 'a · b' ELSE 'None' END AS hard, 'c' AS preferences, 'None' AS derived FROM events")
+@query("SELECT event_id AS query_id, CASE WHEN event_id % 3 = 0 THEN 'Not identified' ELSE event_type END AS task, CASE WHEN event_id % 5 = 0 THEN 'Not stated' ELSE 'for user ' || user_id END AS context, CASE WHEN event_id % 2 = 0 THEN CASE WHEN event_type = 'click' THEN 'click · b' ELSE event_type || ' · b · click' END ELSE 'None' END AS hard, 'v ' || trunc(value)::BIGINT AS preferences, CASE WHEN event_id % 7 = 0 THEN event_type ELSE 'None' END AS derived FROM events")
 def q21_intent_summary(v):  # noqa: ANN001, ANN201
     one = lambda r, s: f"named_struct('requirement', {r}, 'strength', '{s}', 'source_text', '')"
-    constraints = f"case when event_id % 2 = 0 then array({one(chr(39) + 'a' + chr(39), 'hard')}, {one(chr(39) + ' b ' + chr(39), 'hard')}, {one(chr(39) + 'a' + chr(39), 'hard')}, {one(chr(39) + 'c' + chr(39), 'preference')}) else array({one(chr(39) + 'c' + chr(39), 'soft')}) end as constraints"
-    rows = v.table("events").selectExpr("event_id as query_id", "named_struct('goal', 'goal', 'source_text', '') as task", "cast(array() as array<struct<value:string,source_text:string>>) as context", constraints, "cast(array() as array<struct<need:string,source_text:string>>) as derived_needs")
+    kind, likes = "event_type", one("concat('v ', cast(value as bigint))", "soft")
+    hard = ", ".join(one(x, "hard") for x in (kind, "' b '", f"concat({kind}, ' ')", "'click'"))
+    rows = v.table("events").selectExpr(
+        "event_id as query_id", f"named_struct('goal', case when event_id % 3 = 0 then '' when event_id % 3 = 1 then {kind} else 'goal' end, 'source_text', case when event_id % 3 = 2 then {kind} else '' end) as task",
+        "array(named_struct('value', '', 'source_text', case when event_id % 5 = 0 then ' ' else concat('for user ', user_id) end)) as context",
+        f"case when event_id % 2 = 0 then array({hard}, {likes}) else array({likes}, {likes}) end as constraints",
+        f"case when event_id % 7 = 0 then array(named_struct('need', {kind}, 'source_text', 'x')) else cast(array() as array<struct<need:string,source_text:string>>) end as derived_needs",
+    )
     return R.intent_summary(rows)
 
 
@@ -197,7 +203,9 @@ def q3_pending_clusters(v):  # noqa: ANN001, ANN201
     return R.pending_clusters(v.members, content, 3)
 
 
-@query(None)
+@query("""--CTE each AS (SELECT cluster, sha256('{"product_id":"' || product_id || '","name":"' || name || '","price":' || coalesce('"' || price || '"', 'null') || ',"passage":"' || description || '"}') AS h FROM cat),
+parts AS (SELECT cluster, left(h, 4) AS part, sha256(string_agg(h, '' ORDER BY h)) AS h FROM each GROUP BY 1, 2), clusters AS (SELECT cluster, sha256(string_agg(part || ':' || h, '' ORDER BY part)) AS h FROM parts GROUP BY 1)
+SELECT sha256(string_agg(cluster || ':' || h, '' ORDER BY cluster || ':' || h)) AS signature FROM clusters""")
 def q4_signature(v):  # noqa: ANN001, ANN201
     return R.content_signature(v.cat, v.cat.selectExpr("product_id", "description as passage"))
 

@@ -15,9 +15,10 @@ PRODUCT = "product_id string, name string, price string, description string, spe
 VISION_LIMIT = 80
 
 
-def read_csv_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text; the words that table readers take as missing become null."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
+def read_csv_catalog(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """All columns as text; the words that table readers take as missing become null. `lines`: no field holds a line end,
+    the splittable form."""
+    raw = spark.read.option("header", True).option("multiLine", not lines).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
     return raw.select(*[F.when(~F.col(f"`{c}`").isin(NA_WORDS), F.col(f"`{c}`")).alias(c) for c in raw.columns])
 
 
@@ -147,7 +148,11 @@ def route_pages(pages: DataFrame, text: str = "text") -> DataFrame:
 
 
 def default_extracted(df: DataFrame, mode: str) -> DataFrame:
+    """Extracted rows with their defaults, the mode, and the page that they come from as source_page (a page is stamped
+    over whatever the extraction said)."""
+    page = F.col("page" if "page" in df.columns else "source_page").cast("int")
     return df.withColumns({
+        "source_page": page,
         "price": F.nullif(F.col("price"), F.lit("")), "image_description": F.nullif(F.col("image_description"), F.lit("")), "description": F.coalesce("description", F.lit("")),
         "specs": F.coalesce(F.col("specs"), F.create_map().cast("map<string,string>")), "extraction_mode": F.lit(mode),
     })
