@@ -6,7 +6,7 @@ the corpus holds once is in no table: the one task that meets it segments it, on
 
 The table that all workers get holds the MOST_WORDS commonest chunks at most (about 20 bytes each), so its size does not
 grow with the corpus. If the corpus has more repeated chunks than that the table is not `complete`; callers that promise
-one segmentation a chunk then join the other chunks from Spark (see sentencepiece_table), others segment them when met.
+one segmentation a chunk then join the other chunks from Spark (see sentencepiece_table).
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ MOST_WORDS = 3_000_000
 #: Distinct chunks that a task counts before it hands its counts on.
 HELD = 300_000
 #: Chunks whose ids a worker keeps at hand.
-AT_HAND = 150_000
+AT_HAND = 400_000
 
 
 def _digests(keys: list[str]) -> np.ndarray:

@@ -143,5 +143,16 @@ b AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, failed, n_lines, n_shouts FROM b
 """
 
-QUERIES = {"op1_quality_rules": op1_quality_rules}
-ORACLES = {"op1_quality_rules": ORACLE_OP1}
+ORACLE_ABLATIONS = f"""
+SELECT r.rule, count(*) FILTER (failed & r.bit <> 0) AS failed, count(*) FILTER (failed & {POLICIES["full-1"].mask} = r.bit) AS failed_alone, count(*) AS documents
+FROM ({ORACLE_OP1}) AS x, (VALUES {", ".join(f"('{r}', {1 << bit})" for r, (bit, _) in RULES.items())}) AS r(rule, bit) GROUP BY r.rule
+"""
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the full policy rejects, and what it rejects alone."""
+    return ablations(ledger(documents(spark, sf_dir)), POLICIES["full-1"])
+
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "quality_ablations": quality_ablations}
+ORACLES = {"op1_quality_rules": ORACLE_OP1, "quality_ablations": ORACLE_ABLATIONS}

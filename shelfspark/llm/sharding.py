@@ -1,13 +1,14 @@
 """Uniform sharding with exact shard sizes by a hypergeometric communication matrix.
 
-Rows lie in source buckets (by a hash of the row). How many rows of each bucket go to each block of each shard is drawn
+Rows are numbered, which tells equal ones apart, and lie in source buckets by a hash of that number. How many rows of each bucket go to each block of each shard is drawn
 exactly, from the multivariate hypergeometric law, so that every shard gets its exact size; rows are permuted inside
 their bucket, dealt out by the drawn counts, and permuted again inside their block. The result is a uniform shuffle.
 Law `rows`: shard sizes differ by one row at most.
 
 DataFrame functions only. The matrix has at most 4,096 x (40 x 64) counts whatever the input and is all that the driver
 holds. A block is an even slice of a shard, so no window covers a whole shard. Null texts are empty; null ids, ties and
-repeated rows are dealt like any other row; extra columns are dropped; an empty table gives no rows.
+repeated rows are dealt like any other row; extra columns stay, but those called shard or slot are replaced; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, text_or_empty
+from .common import documents, stage, text_or_empty
 
 SHARDS = 40
 #: Rows of a bucket or block that are aimed at; their numbers are bounded.
@@ -34,13 +35,15 @@ def communication_matrix(counts: list[int], sizes: list[int], seed: int) -> np.n
 
 
 def shard(rows: DataFrame, keys: list[str], shards: int = SHARDS, seed: int = 7) -> DataFrame:
-    """Adds shard and slot (gapless from 0 in each shard) to rows; keys identify a row as far as can be. The first key
-    alone chooses the bucket (its counts need no other column), so it should be close to unique."""
+    """Adds shard and slot (gapless from 0 in each shard) to rows, which are written to a table with their numbers first;
+    keys come before the number wherever rows are ordered or hashed."""
+    rows = stage(rows.drop("shard", "slot").withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    keys = [*keys, "__row"]
     total = rows.count()
     buckets = min(MOST_BUCKETS, max(256, total // AIM))
     blocks = min(MOST_BLOCKS, max(8, total // (shards * AIM)))
     mixed = lambda k: F.xxhash64(F.lit(seed * 16 + k), *keys)
-    dealt = rows.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed * 16 + 1), keys[0]), F.lit(buckets)).cast("int"))
+    dealt = rows.withColumn("__bucket", F.pmod(mixed(1), F.lit(buckets)).cast("int"))
     found = {r[0]: r[1] for r in dealt.groupBy("__bucket").count().toLocalIterator()}
     counts = [found.get(i, 0) for i in range(buckets)]
     base, more = divmod(sum(counts), shards)
@@ -55,7 +58,7 @@ def shard(rows: DataFrame, keys: list[str], shards: int = SHARDS, seed: int = 7)
     second = Window.partitionBy("shard", "__block").orderBy(mixed(3), *keys)
     rows_of = F.lit(base).cast("long") + (F.col("shard") < more).cast("long")
     slot = F.call_function("div", rows_of * F.col("__block"), F.lit(blocks).cast("long")) + F.row_number().over(second) - 1
-    return placed.withColumn("slot", slot.cast("long")).drop("__bucket", "__rank", "__shards", "__blocks", "__block")
+    return placed.withColumn("slot", slot.cast("long")).drop("__row", "__bucket", "__rank", "__shards", "__blocks", "__block")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,10 +21,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chunk_table
 from .common import documents, each_batch, shared_folder, stage
 from .huffman import BLOCK, Codebook, code_lengths
-from .tokens import TokenizersTable, encoded, public_path
+from .tokens import encoded, public_path
 
 FILE = "byte_bpe_50k.json"
 #: Tokens of a segment, but for a longer last document.
@@ -38,13 +37,12 @@ def token_ids(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", t
     """(doc_id, n_tokens, ids binary): little-endian unsigned 16-bit ids with the end id behind them. If counted, with a
     column `counts`, null but for one further row a task (all else null) that says how often each id occurs in its rows."""
     end = np.array([end_id], "<u2").tobytes()
-    chunks = chunk_table.build(docs, TokenizersTable, path, text_col).for_tasks
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["doc_id", "n_tokens", "ids", *["counts"] * counted]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, of_ids = np.zeros(1 << 16, np.int64), None
-        for b, ids in encoded(batches, chunks):
+        for b, ids in encoded(batches, path):
             ids = [x + end for x in ids]
             columns, of_ids = [b.column(0), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], b.column(0).type
             if counted:

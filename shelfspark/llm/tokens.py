@@ -1,8 +1,8 @@
-"""Token ids of whole texts by a public tokenizer file, from a table of distinct chunks (see chunk_table).
+"""Token ids of whole texts by a public tokenizer file, each distinct chunk of a worker encoded once.
 
 A chunk is what lies between two single blanks: no pre-tokenizer or piece of the three vocabularies reaches over such a
-place, so ids of a text are the ids of its chunks in order (checked against whole texts in the tests). Null texts are
-empty. Ids are kept as little-endian unsigned 16-bit integers (all three vocabularies have fewer than 65,536 ids)."""
+place, so ids of a text are the ids of its chunks in order (checked against whole texts in the tests). The table of
+chunks is per worker and bounded (see WordTable). Null texts are empty. Ids are kept as little-endian unsigned 16-bit integers (all three vocabularies have fewer than 65,536 ids)."""
 
 from __future__ import annotations
 
@@ -18,8 +18,7 @@ from unicodedata import is_normalized
 import numpy as np
 import pyarrow as pa
 
-from . import chunk_table
-from .common import WordTable, each_batch, strings
+from .common import WordTable, each_batch, kept_in_worker, strings
 
 _ID = attrgetter("id")
 
@@ -80,7 +79,7 @@ class TokenizersTable(BlankSplit):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.runs = Tokenizer.from_file(path), WordTable(self._run, 100_000)
+        self.tokenizer, self.runs, self.table = Tokenizer.from_file(path), WordTable(self._run), WordTable(self.key)
         self.model = self.tokenizer.model
         spec = json.loads(Path(path).read_text())
         self.lower = spec["normalizer"] is not None  # the file that lower-cases and drops white space
@@ -90,9 +89,24 @@ class TokenizersTable(BlankSplit):
 
     def _run(self, run: str) -> bytes:
         """Ids of one pre-token."""
-        mapped = run.encode().decode("latin-1").translate(self.alphabet)
+        if run.isascii() and run[0] == " " and run[1:].isalpha():  # only the blank is mapped
+            mapped = "\u0120" + run[1:]
+        else:
+            mapped = run.encode().decode("latin-1").translate(self.alphabet)
         return array("H", map(_ID, self.model.tokenize(mapped))).tobytes()
 
+    def _core(self, key: str) -> str | None:
+        """The run of letters that a chunk begins with if only marks follow, else None."""
+        core = key if key.isalpha() else key.rstrip(_STOPS)
+        return core if core.isalpha() and (not self.lower or core.isascii()) else None
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        get, split = self.table.__getitem__, self.split
+        out = [b"".join(map(get, split(t))) for t in texts]
+        self.table.make_room()
+        self.runs.make_room()
+        return out
+
     def _plain(self, text: str) -> list[str] | None:
         """The pre-tokens of a chunk of the plain form, or None for any other chunk."""
         out: list[str] = []
@@ -113,9 +127,8 @@ class TokenizersTable(BlankSplit):
 
     def key(self, key: str) -> bytes:
         """Ids of a chunk by its key: letters with marks behind them at once, others by way of _plain or the library."""
-        self.runs.make_room()
-        core = key if key.isalpha() else key.rstrip(_STOPS)
-        if core.isalpha() and (not self.lower or core.isascii()):
+        core = self._core(key)
+        if core is not None:
             ids = self.runs[core.lower() if self.lower else " " + core]
             return ids if len(core) == len(key) else ids + self.runs[key[len(core):]]
         chunk = self.text_of(key)
@@ -125,8 +138,8 @@ class TokenizersTable(BlankSplit):
         return b"".join(map(self.runs.__getitem__, plain))
 
 
-def encoded(batches: Iterable[pa.RecordBatch], chunks: tuple, rows: int = 500) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Each batch with the ids of its texts; chunks: for_tasks of a chunk table."""
-    one = chunk_table.encoder(*chunks)
+def encoded(batches: Iterable[pa.RecordBatch], path: str, rows: int = 500) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Each batch with the ids of its texts, by one table per Python worker."""
+    one = kept_in_worker("tokens/table", path, lambda: TokenizersTable(path))
     for b in each_batch(batches, rows):
         yield b, one.encode(strings(b))

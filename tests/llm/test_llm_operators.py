@@ -76,6 +76,50 @@ def test_classifier(spark, sf_dir, odd, none):
     assert quality_classifier.keep_good(odd, labels, F.col("source"), F.col("lang")).columns == odd.columns
 
 
+def features_by_hand(text):
+    text = text or ""
+    words = [w for w in text.replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").replace("\t", " ").replace("\n", " ").split(" ") if w]
+    n, chars = max(len(words), 1), max(sum(map(len, words)), 1)
+    share = lambda signs, of: sum(c in signs for c in text) / of
+    return [1.0, min(share("#*$%&|<>", n), 2), share(quality_classifier.CAPITALS, chars), share("0123456789", chars), max(0.0, 1 - len(set(words)) / max(10.0, min(n, n**0.5 * 9))), np.log1p(len(words)) / 10, min(share("!", n), 2)]
+
+
+def test_classifier_against_plain_python(spark, some):
+    """Evidence, site posteriors and scores from loops over plain lists; one document ten thousand times among the labels."""
+    rows = [(int(i), t, s, g) for i, t, s, g in zip(some.doc_id, some.text, some.source, some.lang, strict=True)] + [(None, None, None, "en"), (3, "a B 1! " * 30, "src1", None)]
+    docs = spark.createDataFrame([(i, t, g, s, 0) for i, t, s, g in rows], KIND)
+    marks = [(i, int(i % 3 > 0)) for i, *_ in rows if i is not None]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    again = docs.unionByName(docs.where("doc_id = 5").crossJoin(spark.range(10_000)).drop("id"))
+    weights = quality_classifier.fit(again, labels)
+    one = {(i, t) for i, t, *_ in rows if i is not None}
+    x = np.array([features_by_hand(t) for i, t in sorted(one, key=str)])
+    y = np.array([max(q for j, q in marks if j == i) for i, _ in sorted(one, key=str)], float)
+    assert np.allclose(weights, quality_classifier.fit_weights(x, y), atol=1e-6)
+    raw = [float(np.clip(np.dot(features_by_hand(t), weights), -12, 12)) for _, t, *_ in rows]
+    p = [1 / (1 + np.exp(-r)) for r in raw]
+    site = [(s or "", g or "") for _, _, s, g in rows]
+    total = {k: (sum(a == k for a in site), sum(b for a, b in zip(site, p, strict=True) if a == k)) for k in site}
+    centre = sum(p) / len(p)
+
+    def strength(groups):  # (n, sum, centre)
+        n = sum(g[0] for g in groups)
+        spread = sum(g[0] * (g[1] / g[0] - g[2]) ** 2 for g in groups) / n
+        between = max(spread - sum(g[2] * (1 - g[2]) for g in groups) / n, 1e-4)
+        return max(min(sum(g[0] * g[2] * (1 - g[2]) for g in groups) / n / between - 1, 10_000.0), 1.0)
+
+    hosts = {h: tuple(map(sum, zip(*(v for k, v in total.items() if k[0] == h), strict=True))) for h, _ in total}
+    k = strength([(*v, centre) for v in hosts.values()])
+    rate = {h: (s + k * centre) / (n + k) for h, (n, s) in hosts.items()}
+    k = strength([(*v, rate[h]) for (h, _), v in total.items()])
+    final = {a: min(max((s + k * rate[a[0]]) / (n + k), 1e-3), 1 - 1e-3) for a, (n, s) in total.items()}
+    want = sorted(1 / (1 + np.exp(-(r - np.log(centre / (1 - centre)) + np.log(final[a] / (1 - final[a]))))) for r, a in zip(raw, site, strict=True))
+    got = sorted(r["score"] for r in quality_classifier.classify(docs, spark.createDataFrame(marks * 40, "doc_id long, quality int"), F.col("source"), F.col("lang")).collect())
+    assert np.allclose(got, want, atol=1e-6)
+    kept = quality_classifier.keep_good(docs, labels, F.col("source"), F.col("lang"))
+    assert kept.count() == sum(s >= quality_classifier.THRESHOLD for s in want) and kept.columns == docs.columns
+
+
 def test_sparse_sites_shrink(spark):
     rows = [("big", "p", 0.9)] * 200 + [("poor", "p", 0.1)] * 200 + [("tiny", "p", 0.0)]
     centre, sites = quality_classifier.site_posteriors(spark.createDataFrame(rows, "host string, path string, p double"))
@@ -128,6 +172,28 @@ def test_stray_quote_quotes_nothing():
         assert s.score(text) == (0.35, 0.0, 1, 1), text
 
 
+def test_one_document_many_times(spark):
+    """A labelled document that stands 3,000 times in the table, and one id with many texts, change neither size nor lexicon."""
+    draw = random.Random(5)
+    words = ["".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    rows = [(i, " ".join([*(draw.choice(words) for _ in range(40)), "grobian" if i % 4 == 0 else "other"])) for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    docs = docs_of(spark, rows)
+    more = docs.unionByName(docs.where("doc_id in (4, 5)").crossJoin(spark.range(3000)).drop("id")).unionByName(docs.where("doc_id = 7").crossJoin(spark.range(50)).withColumn("text", F.concat("text", F.col("id").cast("string"))).drop("id"))
+    assert toxicity.sample(more, labels).count() == 250
+    assert toxicity.fit(more, labels).terms == toxicity.fit(docs, labels).terms == ["grobian"]
+
+
+def test_no_cap_on_terms(spark):
+    """A lexicon of 1,500 terms is learned whole, with terms of more than 30 letters."""
+    terms = ["zz" + "".join("abcdefghij"[int(c)] for c in f"{i:05d}") + "q" * (30 * (i % 9 == 0)) for i in range(1500)]
+    draw = random.Random(7)
+    rows = [(i, " ".join(draw.sample(terms, 120))) for i in range(360)] + [(1000 + i, " ".join("".join(draw.choice("klmnop") for _ in range(5)) for _ in range(60))) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i < 1000)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs_of(spark, rows), labels)
+    assert toxicity.Scorer(model.terms).score(" ".join(terms))[2] == 1500
+
+
 def test_misspelled_insults(spark):
     """One misspelled insult is enough, also with digits and marks inside; near words of clean rows are not."""
     draw = random.Random(4)
@@ -184,6 +250,23 @@ def documents_like(spark, n):
     return spark.range(n).select(F.col("id").alias("doc_id"))
 
 
+def test_repeated_and_null_rows_are_dealt(spark):
+    rows = spark.createDataFrame([(None, "x", 1)] * 500 + [(7, "y", 2)] * 500, "doc_id long, shard string, __own int")
+    got = sharding.shard(rows, ["doc_id"], 4).toPandas()
+    assert sorted(got.groupby("shard").size()) == [250] * 4 and set(got.columns) == {"doc_id", "shard", "slot", "__own"}
+    assert all(sorted(g.slot) == list(range(250)) and 60 < g.doc_id.isna().sum() < 190 for _, g in got.groupby("shard"))
+
+
+def test_matrix_follows_the_hypergeometric_law():
+    from math import comb
+
+    seen = Counter(int(sharding.communication_matrix([6, 4], [5, 5], s)[0, 0]) for s in range(6000))
+    for k in range(1, 6):
+        p = comb(5, k) * comb(5, 6 - k) / comb(10, 6)
+        assert abs(seen[k] / 6000 - p) < 4 * (p * (1 - p) / 6000) ** 0.5
+    assert sum(seen[k] for k in range(1, 6)) == 6000
+
+
 def test_communication_matrix():
     m = sharding.communication_matrix([10, 0, 5], [4, 4, 7], 1)
     assert m.sum(1).tolist() == [10, 0, 5] and m.sum(0).tolist() == [4, 4, 7]
@@ -242,7 +325,7 @@ def test_chunk_table_equals_whole_texts(name, some):
     from tokenizers import Tokenizer
 
     path = tokens.public_path(name)
-    whole, chunks = Tokenizer.from_file(path), chunk_table.Encoder(tokens.TokenizersTable(path), chunk_table.Table.empty(), 50)
+    whole, chunks = Tokenizer.from_file(path), tokens.TokenizersTable(path)
     texts = odd_texts() + some.text.tolist()
     assert all(np.frombuffer(a, "<u2").tolist() == whole.encode(t, add_special_tokens=False).ids for a, t in zip(chunks.encode(texts), texts, strict=True))
 
