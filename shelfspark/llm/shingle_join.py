@@ -4,8 +4,9 @@ Two sets that are that similar share one of the first n - ceil(0.8 n) + 1 shingl
 (prefix filter), and the first shingle that they share stands early enough in both to leave room for the overlap they need
 (position filter). The order puts shingles that are common in a sample last, and is by hash otherwise; the sample changes
 the work, never the result. Round one verifies each text of a key against the key's least one, which joins large groups
-of near copies with a row a text; round two verifies all pairs of a key that are still in different components. Nothing
-is capped: a key costs the square of its different components, not of its texts.
+of near copies with a row a text. The next rounds verify each text of a key against those next to it, so that texts which
+are similar to some of their group only meet by a few pairs a text; the last round verifies all pairs of a key that are
+still in different components. Nothing is capped: a key costs the square of its different components, not of its texts.
 
 Texts are nodes by their 64-bit hash, shingles by theirs; the similarity is counted from the whole texts of a pair.
 """
@@ -13,6 +14,7 @@ Texts are nodes by their 64-bit hash, shingles by theirs; the similarity is coun
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,9 @@ SAMPLE, COMMON_FROM, MOST_COMMON = 4, 3, 2_000_000
 MOST_NODES = 1_000_000
 #: Pairs handed on at a time.
 PAIRS = 500_000
+#: Texts of a key, in the order of their hashes, that a text is verified against in the rounds before the last. They change
+#: the work, never the result.
+BESIDE = (8, 32)
 
 
 def shingle_hashes(text: str, width: int = WIDTH) -> np.ndarray:
@@ -121,6 +126,22 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["key", "node", "size", "pos", "least", "fits"])
 
 
+def _beside(most: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (key, node, root, size, pos) sorted by key and node -> pairs of a key, at most `most` places apart, of different
+    roots that can be similar."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, node, root, size, pos in _runs(batches):
+            for lag in range(1, most + 1):
+                at = np.flatnonzero(key[lag:] == key[:-lag])
+                if not len(at):
+                    break
+                at = at[(root[at] != root[at + lag]) & _fits(size[at], pos[at], size[at + lag], pos[at + lag])]
+                yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[at + lag])], ["u", "v"])
+
+    return run
+
+
 def _across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, root, node, size, pos) sorted by key and root -> pairs of a key of different roots that can be similar."""
 
@@ -204,11 +225,20 @@ def links(texts: DataFrame, width: int = WIDTH, known: DataFrame | None = None)
         placed = tried.join(at.select(F.col("node").alias("u"), F.col("root").alias("p")), "u", "left").join(at.select(F.col("node").alias("v"), F.col("root").alias("q")), "v", "left")
         tried = placed.where(~F.coalesce(F.col("p") == F.col("q"), F.lit(False))).select("u", "v")
     tried = stage(tried, "star-pairs")
-    stars = verified(tried, texts, width)
-    stars = stars if known is None else stars.unionAll(known.select("u", "v"))
-    placed = shared.join(components(stars), "node", "left").select("key", F.coalesce("root", "node").alias("root"), "node", "size", "pos")
-    rest = dealt(placed).sortWithinPartitions("key", "root").mapInArrow(_across, "u long, v long").distinct()
-    more = stage(rest.join(tried, ["u", "v"], "left_anti"), "pairs-across")
-    release(shared)
-    release(tried)
-    return stars.unionAll(verified(more, texts, width))
+    found = verified(tried, texts, width)
+    found = found if known is None else found.unionAll(known.select("u", "v"))
+    rounds = [tried]
+    for beside in (*BESIDE, None):
+        placed = shared.join(components(found), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "size", "pos")
+        if beside:
+            rest = dealt(placed).sortWithinPartitions("key", "node").mapInArrow(_beside(beside), "u long, v long")
+        else:
+            rest = dealt(placed.select("key", "root", "node", "size", "pos")).sortWithinPartitions("key", "root").mapInArrow(_across, "u long, v long")
+        done = reduce(DataFrame.unionAll, rounds)
+        more = stage(rest.distinct().join(done, ["u", "v"], "left_anti"), "pairs-across" if beside is None else "pairs-beside")
+        rounds.append(more)
+        if not more.isEmpty():
+            found = found.unionAll(verified(more, texts, width))
+    for used in (shared, *rounds):
+        release(used)
+    return found
