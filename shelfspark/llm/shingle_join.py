@@ -7,6 +7,8 @@ the work, never the result. Round one verifies each text of a key against the ke
 of near copies with a row a text. The next rounds verify each text of a key against those next to it, so that texts which
 are similar to some of their group only meet by a few pairs a text; the last round verifies all pairs of a key that are
 still in different components. Nothing is capped: a key costs the square of its different components, not of its texts.
+A pair is handed on only if bitmaps of the two sets allow the similarity (each shingle turns one of BITS bits, so sets differ
+in at least as many shingles as their bitmaps in bits): those tries stay inside the task.
 
 Texts are nodes by their 64-bit hash, shingles by theirs; the similarity is counted from the whole texts of a pair.
 """
@@ -31,6 +33,9 @@ LEAST = (4, 5)
 SAMPLE, COMMON_FROM, MOST_COMMON = 4, 3, 2_000_000
 #: Nodes whose list may be broadcast (8 bytes each).
 MOST_NODES = 1_000_000
+#: Bits of the bitmap of a set, and its columns of 64 bits.
+BITS = 512
+MARKS = [f"b{i}" for i in range(BITS // 64)]
 #: Pairs handed on at a time.
 PAIRS = 500_000
 #: Texts of a key, in the order of their hashes, that a text is verified against in the rounds before the last. They change
@@ -113,6 +118,18 @@ def _fits(size: np.ndarray, pos: np.ndarray, other_size: np.ndarray, other_pos:
     return (LEAST[0] + LEAST[1]) * room >= LEAST[0] * (size + other_size)
 
 
+def bitmap(each: np.ndarray) -> np.ndarray:
+    """BITS // 64 words: a bit is 1 if an odd number of the set's shingles fall on it."""
+    odd = np.bincount((each >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def _allowed(size: np.ndarray, marks: np.ndarray, other_size: np.ndarray, other_marks: np.ndarray) -> np.ndarray:
+    """Whether sets of these bitmaps can be similar enough: similar sets differ in few shingles."""
+    apart = np.bitwise_count((marks ^ other_marks).view(np.uint64)).sum(axis=1, dtype=np.int64)
+    return (LEAST[0] + LEAST[1]) * apart <= (LEAST[1] - LEAST[0]) * (size.astype(np.int64) + np.asarray(other_size, np.int64))
+
+
 def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key and node -> one row a node of the keys of two nodes and more, with the key's least node and
     whether the two can be similar."""
@@ -127,41 +144,46 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _beside(most: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (key, node, root, size, pos) sorted by key and node -> pairs of a key, at most `most` places apart, of different
+    """Rows (key, node, root, size, pos, MARKS) sorted by key and node -> pairs of a key, at most `most` places apart, of different
     roots that can be similar."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, root, size, pos in _runs(batches):
+        for key, node, root, size, pos, *marks in _runs(batches):
+            marks = np.stack(marks, axis=1)
             for lag in range(1, most + 1):
                 at = np.flatnonzero(key[lag:] == key[:-lag])
                 if not len(at):
                     break
                 at = at[(root[at] != root[at + lag]) & _fits(size[at], pos[at], size[at + lag], pos[at + lag])]
+                at = at[_allowed(size[at], marks[at], size[at + lag], marks[at + lag])]
                 yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[at + lag])], ["u", "v"])
 
     return run
 
 
 def _across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, root, node, size, pos) sorted by key and root -> pairs of a key of different roots that can be similar."""
+    """Rows (key, root, node, size, pos, MARKS) sorted by key and root -> pairs of a key of different roots that can be
+    similar."""
 
     def out(us: list, vs: list) -> pa.RecordBatch:
         u, v = np.concatenate(us), np.concatenate(vs)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
 
     us, vs, held = [], [], 0
-    for key, root, node, size, pos in _runs(batches):
+    for key, root, node, size, pos, *marks in _runs(batches):
+        marks = np.stack(marks, axis=1)
         heads = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
         for at, end in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True):
             if root[at] == root[end - 1]:
                 continue
             after = at + np.searchsorted(root[at:end], root[at:end], "right")
             for i in range(at, end):
-                rest = slice(after[i - at], end)
-                fit = np.flatnonzero(_fits(size[rest], pos[rest], size[i], pos[i]))
+                rest = np.arange(after[i - at], end)
+                rest = rest[_fits(size[rest], pos[rest], size[i], pos[i])]
+                fit = rest[_allowed(size[rest], marks[rest], size[i], marks[i])]
                 if len(fit):
                     us.append(np.full(len(fit), node[i]))
-                    vs.append(node[after[i - at] + fit])
+                    vs.append(node[fit])
                     held += len(fit)
                     if held >= PAIRS:
                         yield out(us, vs)
@@ -200,6 +222,19 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFram
     return good
 
 
+def bitmaps(texts: DataFrame, nodes: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(node, MARKS): the bitmap of each of the nodes, once."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in each_batch(batches, 500):
+            marks = np.stack([bitmap(shingle_set(t, width)) for t in strings(b)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("node"), *map(pa.array, marks.T.copy())], ["node", *MARKS])
+
+    own = join_small(texts.select("node", "text"), nodes.select("node").distinct(), ["node"], "left_semi", MOST_NODES)
+    found = own.mapInArrow(run, "node long, " + ", ".join(f"{m} long" for m in MARKS))
+    return found.groupBy("node").agg(*(F.first(m).alias(m) for m in MARKS))
+
+
 def links(texts: DataFrame, width: int = WIDTH, known: DataFrame | None = None) -> DataFrame:
     """texts (node long, text), equal nodes having equal texts -> (u, v), u < v: similar pairs that connect all similar
     pairs. known (u, v): pairs that have been verified; what they connect is not tried again."""
@@ -227,18 +262,19 @@ def links(texts: DataFrame, width: int = WIDTH, known: DataFrame | None = None)
     tried = stage(tried, "star-pairs")
     found = verified(tried, texts, width)
     found = found if known is None else found.unionAll(known.select("u", "v"))
+    marked = stage(bitmaps(texts, shared, width), "bitmaps")
     rounds = [tried]
     for beside in (*BESIDE, None):
-        placed = shared.join(components(found), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "size", "pos")
+        placed = shared.join(components(found), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "size", "pos").join(marked, "node").select("key", "node", "root", "size", "pos", *MARKS)
         if beside:
             rest = dealt(placed).sortWithinPartitions("key", "node").mapInArrow(_beside(beside), "u long, v long")
         else:
-            rest = dealt(placed.select("key", "root", "node", "size", "pos")).sortWithinPartitions("key", "root").mapInArrow(_across, "u long, v long")
+            rest = dealt(placed.select("key", "root", "node", "size", "pos", *MARKS)).sortWithinPartitions("key", "root").mapInArrow(_across, "u long, v long")
         done = reduce(DataFrame.unionAll, rounds)
         more = stage(rest.distinct().join(done, ["u", "v"], "left_anti"), "pairs-across" if beside is None else "pairs-beside")
         rounds.append(more)
         if not more.isEmpty():
             found = found.unionAll(verified(more, texts, width))
-    for used in (shared, *rounds):
+    for used in (shared, marked, *rounds):
         release(used)
     return found

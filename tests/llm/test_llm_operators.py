@@ -687,3 +687,49 @@ def test_keep_one_by_row(spark):
     for groups in (simhash.similar_texts, simhash.near_duplicates):
         got = [(r["doc_id"], r["text"]) for r in simhash.keep_one(docs_of(spark, rows), groups).collect()]
         assert sorted(got, key=str) == sorted([(None, c), (None, d), (5, a), (3, b), (9, e), (4, None)], key=str)
+
+
+def test_bitmaps_allow_every_similar_pair():
+    from shelfspark.llm import shingle_join as sj
+
+    rng = np.random.default_rng(7)
+    refused = 0
+    for _ in range(400):
+        n = int(rng.integers(1, 600))
+        whole = np.unique(rng.integers(0, 1 << 64, n + 1, dtype=np.uint64, endpoint=False))
+        a, b = (whole[rng.random(len(whole)) < rng.uniform(0.6, 1)] for _ in range(2))
+        marks = [sj.bitmap(x).view(np.int64)[None, :] for x in (a, b)]  # signed, as Spark hands them over
+        ok = bool(sj._allowed(np.array([len(a)]), marks[0], np.array([len(b)]), marks[1])[0])
+        assert ok or not sj.similar(a, b)
+        refused += not ok
+    assert refused > 50
+
+
+def test_similar_pairs_of_a_hot_group(spark):
+    """Texts that share a passage and lie on both sides of the threshold, more of them than the rounds before the last
+    try: the components are those of all pairs."""
+    from shelfspark.llm import components, shingle_join as sj
+
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(150):
+        words = list(base)
+        for at in rng.choice(np.arange(20, 60), int(rng.integers(1, 4)), replace=False):
+            words[at] = f"x{int(rng.integers(0, 30))}"
+        texts.append(" ".join(words))
+    texts = sorted(set(texts))
+    sets = [sj.shingle_set(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and sj.similar(sets[i], sets[j]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    assert 1 < len(set(root)) < len(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    links = sj.links(df)
+    pairs = [(r["u"], r["v"]) for r in links.collect()]
+    assert all(u < v and sj.similar(sets[u], sets[v]) for u, v in pairs)
+    got = {r["node"]: r["root"] for r in components.components(links).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == root
