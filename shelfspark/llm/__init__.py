@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("quality_rules", "sentencepiece_table", "token_files", "simhash", "sharding", "weighted_minhash", "packing", "toxicity", "quality_classifier", "html_extract")
+_MODULES = ("quality_rules", "sentencepiece_table", "token_files", "simhash", "sharding", "weighted_minhash", "packing", "toxicity", "quality_classifier", "html_extract", "conversation_repair", "merkle", "decontamination")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
