@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions.text import blank_to_null, canonical, constraint_number, ordered_list
+from shelfspark.operators import vector_index
+from shelfspark.tables import Work
 
 CANDIDATES, SHOWN = 20, 5
 #: Fixed word lists.
@@ -61,58 +59,14 @@ def normalize_vectors(index: DataFrame, vec: str = "vec", text: str | None = Non
     return rows.withColumn("__n", norm).withColumn(vec, F.transform(vec, lambda x: F.when(F.col("__n") == 0, x.cast("double")).otherwise(x.cast("double") / F.col("__n")).cast("float"))).drop("__n")
 
 
-#: Queries of one broadcast block: the block's size is bounded, more queries make more blocks.
-QUERY_BLOCK = 4_096
-
-
-def search(queries: DataFrame, index: DataFrame, k: int = CANDIDATES) -> DataFrame:
+def search(queries: DataFrame, index: DataFrame, k: int = CANDIDATES, lists: int | None = None, visits: list[dict] | None = None) -> DataFrame:
     """queries (query_id, vec), index (side, key, vec), unit vectors -> (query_id, side, key, score, rank), ties by key.
 
-    Queries go out in blocks of at most QUERY_BLOCK; every task keeps its k best rows per query and side, so only
-    tasks x queries x k rows are shuffled, whatever the size of the index."""
-    rows = queries.select("query_id", "vec").orderBy("query_id").toLocalIterator()
-    found, block = None, []
-    for r in [*rows, None]:
-        if r is not None:
-            block.append(r)
-        if block and (r is None or len(block) == QUERY_BLOCK):
-            part = _search_block(block, queries, index, k)
-            found, block = part if found is None else found.unionByName(part), []
-    if found is None:
-        found = index.limit(0).select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), "side", "key", F.lit(0.0).alias("score"))
-    order = Window.partitionBy("query_id", "side").orderBy(F.col("score").desc(), "key")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def _search_block(block: list, queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    ids = [r["query_id"] for r in block]
-    q = np.array([r["vec"] for r in block], np.float32)
-    sent = index.sparkSession.sparkContext.broadcast((ids, q))
-    id_kind = pa.string() if queries.schema["query_id"].dataType.simpleString() == "string" else pa.int64()
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = sent.value
-        best: dict[tuple[int, str], list] = {}
-        keys = None
-        for b in batches:
-            keys = b.column(1).type
-            sides, names = b.column(0).to_pylist(), b.column(1).to_pylist()
-            flat = b.column(2)
-            x = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1).astype(np.float32) if len(flat) else np.zeros((0, q.shape[1]), np.float32)
-            scores = np.round((x.astype(np.float64) @ q.T.astype(np.float64)), 4)
-            for side in set(sides):
-                own = np.array([i for i, s in enumerate(sides) if s == side])
-                for j in range(len(ids)):
-                    s = scores[own, j]
-                    top = own[s >= np.partition(s, -k)[-k]] if len(s) > k else own
-                    held = best.get((j, side), []) + [(-scores[i, j], names[i]) for i in top]
-                    best[j, side] = sorted(held)[:k]
-        out = [(ids[j], side, key, -s) for (j, side), rows in best.items() for s, key in rows]
-        columns = list(zip(*out, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (id_kind, pa.string(), keys or pa.string(), pa.float64()), strict=True)], ["query_id", "side", "key", "score"])
-
-    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, side string, key {index.schema['key'].dataType.simpleString()}, score double"
-    return index.select("side", "key", "vec").mapInArrow(run, kinds)
+    The rows of a full scan, found in an index of lists that is pruned by bounds (vector_index); visits gets what each round
+    read."""
+    with Work(index.sparkSession, "search") as work:
+        built = vector_index.build(work, index, lists)
+        return work.result(vector_index.top_k(work, queries, built, k, visits))
 
 
 def sanitize_constraints(constraints: DataFrame, queries: DataFrame) -> DataFrame:
@@ -285,16 +239,16 @@ def rank_movement(final: DataFrame, before: str = "before", after: str = "after"
 
 def run_queries(queries: DataFrame, index: DataFrame, facts: DataFrame, constraints: DataFrame, rankings: DataFrame, k: int = CANDIDATES, limit: int = SHOWN) -> DataFrame:
     """queries (query_id, query, vec), index (side, key, vec, text), ... -> final rows of all queries and both sides."""
-    hits = search(queries, index, k)
-    told = facts.groupBy("key").agg(F.array_join(ordered_list([F.col("ord")], F.concat_ws(" ", "attr", "value")), " ").alias("__f"))
-    hits = hits.join(index.select("side", "key", "text"), ["side", "key"]).join(told, "key", "left").withColumn("evidence", F.concat_ws(" ", "__f", "text")).drop("__f", "text").persist()  # at most k rows a query and side, read three times
-    clean = sanitize_constraints(constraints, queries)
-    checks = hard_checks(hits, clean, facts)
-    gated = gate_candidates(evidence_gaps(queries, hits), checks)
-    ranked = apply_ranking(gated, rankings, limit)
-    done = reconcile(ranked, checks).select("query_id", "side", "key", "score", "pos", "recommend", "reason", "failed", "unanswered")
-    rest = fallback_ranking(gated, ranked, limit).select(*done.columns)
-    return final_ranks(done.unionByName(rest))
+    with Work(index.sparkSession, "queries") as work:
+        told = facts.groupBy("key").agg(F.array_join(ordered_list([F.col("ord")], F.concat_ws(" ", "attr", "value")), " ").alias("__f"))
+        hits = search(queries, index, k).join(index.select("side", "key", "text"), ["side", "key"]).join(told, "key", "left")
+        hits = work.table(hits.withColumn("evidence", F.concat_ws(" ", "__f", "text")).drop("__f", "text"), "hits")
+        checks = work.table(hard_checks(hits, sanitize_constraints(constraints, queries), facts), "checks")
+        gated = work.table(gate_candidates(evidence_gaps(queries, hits), checks), "gated")
+        ranked = work.table(apply_ranking(gated, rankings, limit), "ranked")
+        done = reconcile(ranked, checks).select("query_id", "side", "key", "score", "pos", "recommend", "reason", "failed", "unanswered")
+        rest = fallback_ranking(gated, ranked, limit).select(*done.columns)
+        return work.result(final_ranks(done.unionByName(rest)))
 
 
 def intent_summary(intents: DataFrame) -> DataFrame:
