@@ -1,8 +1,8 @@
-"""The three batch jobs, from paths and tables of model answers to written results.
+"""The batch jobs, from paths and tables of model answers to written results.
 
 Answers of models arrive as tables (see operators.model_io for the requests that they answer), so each job is one Spark
-plan a result and can be run again after lost executors. Results are written as Parquet folders under `out`, work orders
-and the flat export as CSV besides."""
+plan a result and can be run again after lost executors. Results are versions under `out` (see versions): Parquet tables, and
+work orders and exports as CSV, JSON and JSON-LD besides."""
 
 from __future__ import annotations
 
@@ -11,8 +11,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.operators import claims, clusters, competitors, completeness, export, fit, gaps, identity, normalize, passages, readiness, retrieval
+from shelfspark.functions.ranks import positions
+from shelfspark.operators import clusters, competitors, completeness, content, export, fit, gaps, identity, normalize, passages, readiness, retrieval
 from shelfspark.sources import catalog
+from shelfspark.tables import Work
+from shelfspark.versions import Version, latest
 
 
 @dataclass
@@ -21,8 +24,8 @@ class Answers:
 
     labels (cluster_pos, cluster, item_pos, index text); mapping (source, final, pos); schema (cluster, attr, attr_pos);
     applicability (product_id, attrs); candidates (product_id, cluster, attr, value, ord); personas (cluster, persona_id,
-    pos, title, narrative_seed, supporting); criteria (cluster, persona_id, pos, attribute, operator, value, options,
-    rationale)."""
+    pos, title, narrative_seed, supporting, and perhaps selected); criteria (cluster, persona_id, pos, attribute, operator,
+    value, options, rationale); attempts (cluster, batch, attempt, ok) of the normalize requests, if known."""
 
     labels: DataFrame
     mapping: DataFrame
@@ -31,64 +34,107 @@ class Answers:
     candidates: DataFrame
     personas: DataFrame
     criteria: DataFrame
+    attempts: DataFrame | None = None
 
 
-def load(spark: SparkSession, path: str, format: str | None = None) -> DataFrame:
-    """Products of a catalog file with positions and unique ids."""
-    rows = catalog.load_catalog(spark, path, format)
-    placed = rows if "position" in rows.columns else clusters.positions(rows.withColumn("__at", F.monotonically_increasing_id()), [F.col("__at")]).drop("__at")
+def load(spark: SparkSession, path: str, format: str | None = None, lines: bool = False) -> DataFrame:
+    """Products of a catalog file with positions and unique ids. lines: no field holds a line end, so a CSV file can be split."""
+    rows = catalog.load_catalog(spark, path, format, lines)
+    placed = rows if "position" in rows.columns else positions(rows.withColumn("__file", F.input_file_name()).withColumn("__at", F.monotonically_increasing_id()), [F.col("__file"), F.col("__at")]).drop("__at", "__file")
     return identity.ensure_product_ids(placed)
 
 
-def _kept(df: DataFrame, out: str, name: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(f"{out}/{name}")
-    return df.sparkSession.read.parquet(f"{out}/{name}")
-
-
-def audit(spark: SparkSession, path: str, given: Answers, out: str, format: str | None = None) -> dict[str, DataFrame]:
-    """Read, identify, cluster, normalize, measure completeness and fit, and write the work orders."""
-    done = {"products": _kept(load(spark, path, format), out, "products")}
-    products = done["products"]
-    members = done["members"] = _kept(clusters.merge_labels(clusters.validate_membership(given.labels, products), given.mapping), out, "members")
-    schema = done["schema"] = _kept(normalize.clean_schema(given.schema), out, "schema")
-    applies = normalize.validate_applicability(given.applicability, schema, members)
+def audit(spark: SparkSession, path: str, given: Answers, out: str, format: str | None = None, lines: bool = False) -> dict[str, DataFrame]:
+    """Read, identify, cluster, normalize, measure completeness, coverage and fit, and write the work orders."""
+    done = Version(spark, out)
+    products = done.table(load(spark, path, format, lines), "products")
+    members = done.table(clusters.merge_labels(clusters.validate_membership(given.labels, products), given.mapping), "members")
+    schema = done.table(normalize.clean_schema(given.schema), "schema")
+    applies = done.table(normalize.validate_applicability(given.applicability, schema, members), "applicability")
     specs = products.select("product_id", F.posexplode("specs").alias("ord", "key", "value"))
-    checked = done["candidates"] = _kept(normalize.verify_attributes(given.candidates, normalize.raw_text(products, specs)), out, "candidates")
-    kept = checked.where("verdict = 'kept'")
-    attributes = done["attributes"] = _kept(kept.select("product_id", "attr", "value", "ord"), out, "attributes")
+    checked = done.table(normalize.verify_attributes(given.candidates, normalize.raw_text(products, specs)), "candidates")
+    attributes = done.table(checked.where("verdict = 'kept'").select("product_id", "attr", "value", "ord"), "attributes")
+    tries = normalize.batch_status(given.attempts) if given.attempts is not None else spark.createDataFrame([], "cluster string, batch long, ok boolean")
+    done.table(normalize.normalization_stats(members, checked.select("product_id", "verdict"), applies, tries, schema), "stats")
+
     named = products.select("product_id", F.map_keys("specs").alias("spec_keys"), "description")
-    presence = done["presence"] = _kept(completeness.attribute_presence(members, schema, applies, attributes, named, fallback=False), out, "presence")
-    done["persona_ratings"] = _kept(completeness.persona_rating(given.personas, presence), out, "persona_ratings")
-    done["verdicts"] = _kept(fit.check_criterion(given.criteria, members, attributes), out, "verdicts")
+    presence = done.table(completeness.attribute_presence(members, schema, applies, attributes, named, fallback=False), "presence")
+    per_product = done.table(completeness.product_completeness(presence), "completeness")
+    done.table(completeness.missing_counts(presence), "missing")
+    done.table(completeness.cluster_completeness(per_product), "cluster_completeness")
+    rated = completeness.persona_coverage(completeness.persona_rating(given.personas, presence), presence)
+    rated = done.table(rated if "selected" in rated.columns else rated.withColumn("selected", F.lit(False)), "personas")
+    done.table(completeness.pick_persona(rated), "picked")
+
+    criteria = done.table(fit.clean_criteria(given.criteria.drop("cluster"), given.personas, schema), "criteria")
+    verdicts = done.table(fit.check_criterion(criteria, members, attributes), "verdicts")
+    fits = done.table(fit.product_fit(verdicts), "product_fit")
+    done.table(fit.cluster_fit(fits), "cluster_fit")
+
     names = products.select("product_id", "name")
-    done["by_attribute"] = _kept(gaps.attribute_requests(presence, names, gaps.attribute_reasons(given.personas, given.criteria.drop("cluster"))), out, "by_attribute")
-    done["by_product"] = _kept(gaps.product_requests(presence, names), out, "by_product")
-    done["headline"] = _kept(gaps.gap_headline(done["by_attribute"], done["by_product"], members), out, "headline")
-    export.write_requests(done["by_attribute"], done["by_product"], f"{out}/requests")
-    return done
+    by_attribute = done.table(gaps.attribute_requests(presence, names, gaps.attribute_reasons(given.personas, criteria.drop("cluster"))), "by_attribute")
+    by_product = done.table(gaps.product_requests(presence, names), "by_product")
+    done.table(gaps.gap_headline(by_attribute, by_product, members), "headline")
+    export.write_requests(by_attribute, by_product, f"{done.folder}/requests")
+    for name, rows in (("by_attribute", by_attribute), ("by_product", by_product)):
+        done.add(f"requests/{name}", "csv", rows)
+    return done.commit()
+
+
+def publish(spark: SparkSession, audited: str, generated: DataFrame, approvals: DataFrame, rejections: DataFrame, stories: DataFrame, out: str) -> dict[str, DataFrame]:
+    """Gate generated content, export what is left, and score it.
+
+    audited: the folder of an audit; generated: content as a model gave it (see operators.content); approvals, rejections: a
+    reviewer's answers; stories (cluster, user_story). Every export and every score is made of the rebuilt content."""
+    of = latest(spark, audited)
+    products, members, attributes = of["products"], of["members"], of["attributes"]
+    done = Version(spark, out)
+    near = done.table(competitors.competitors(members.join(products.select("product_id", "price"), "product_id")), "competitors")
+    named = near.join(products.select(F.col("product_id").alias("competitor_id"), F.col("name").alias("competitor_name")), "competitor_id")
+    with Work(spark, "publish") as work:
+        told = done.table(content.gate_content(work, generated, competitors.verified_attributes(products, attributes), named, approvals, rejections), "content")
+    spoken = done.table(passages.render_passage(told.withColumnRenamed("derived_insights", "insights")).join(told.select("product_id", *export.KNOWLEDGE), "product_id"), "passages")
+    personas = of["picked"].join(stories.select("cluster", "user_story"), "cluster", "left")
+    rows = done.table(export.export_rows(members, products.select("product_id", "name", "price", "description", "specs"), personas, spoken, attributes), "export_rows")
+    export.write_csv(rows, f"{done.folder}/csv")
+    export.write_json(rows, f"{done.folder}/json")
+    done.add("csv", "csv", export.csv_rows(rows))
+    done.add("json", "json", export.json_rows(rows))
+    currency = export.detect_currency(products).first()
+    done.table(export.jsonld_nodes(rows, currency["currency"] if currency else None), "jsonld")
+
+    has = members.select("cluster", "product_id").join(of["completeness"].select("product_id", "pct", "missing"), "product_id", "left")  # nothing is expected in a cluster without a schema
+    has = has.select("cluster", "product_id", F.coalesce("pct", F.lit(100.0)).alias("completeness"), F.coalesce("missing", F.array().cast("array<string>")).alias("missing"))
+    parts = content.score_inputs(has, told)
+    scores = done.table(readiness.top_gaps(readiness.readiness_score(readiness.score_components(parts))), "readiness")
+    of_clusters = done.table(readiness.cluster_readiness(scores), "cluster_readiness")
+    done.table(readiness.catalog_readiness(of_clusters), "catalog_readiness")
+    done.table(readiness.cluster_dashboard(members, of["cluster_completeness"], of_clusters, of["picked"], of["cluster_fit"], of["missing"], of["stats"]), "dashboard")
+    return done.commit()
+
+
+def index(spark: SparkSession, audited: str, published: str, out: str, schema_version: int = competitors.SCHEMA_VERSION) -> dict[str, DataFrame]:
+    """Texts to embed of both sides, how much of the catalog has content, and the clusters that lack content of this version."""
+    of, told = latest(spark, audited), latest(spark, published)
+    products = of["products"].join(of["members"].select("product_id", "cluster"), "product_id")
+    specs = products.select("product_id", F.posexplode("specs").alias("ord", "key", "value"))
+    done = Version(spark, out)
+    passage = told["passages"].select("product_id", "passage")
+    raw, optimized = passages.raw_index_text(products, specs), passages.optimized_index_text(products, of["attributes"], passage)
+    done.table(retrieval.index_entries(products, passage, raw, optimized), "entries")
+    has = passage.where(F.trim("passage") != "")
+    done.table(retrieval.content_coverage(products, has), "coverage")
+    done.table(retrieval.pending_clusters(of["members"], told["content"], schema_version), "pending")
+    facts = competitors.verified_attributes(products, of["attributes"]).select(F.col("product_id").alias("key"), "attr", F.col("value").cast("string").alias("value"), "ord")
+    done.table(facts, "facts")
+    return done.commit()
 
 
 def evaluate(spark: SparkSession, queries: DataFrame, index: DataFrame, facts: DataFrame, constraints: DataFrame, rankings: DataFrame, out: str) -> dict[str, DataFrame]:
-    """Search both sides for all queries, check, gate and rank, and compare the sides. Tables as run_queries takes them;
-    index vectors need not be of unit length."""
-    unit = retrieval.normalize_vectors(index)
-    final = _kept(retrieval.run_queries(queries, unit, facts, constraints, rankings), out, "final_ranks")
-    return {"final_ranks": final, "movement": _kept(retrieval.rank_movement(final), out, "movement")}
-
-
-def publish(spark: SparkSession, audited: str, proposed: DataFrame, content: DataFrame, personas: DataFrame, out: str) -> dict[str, DataFrame]:
-    """Content check and export. audited: the folder of an audit; proposed: claims as validate_evidence takes them; content
-    (product_id and the lists that render_passage takes); personas: the picked one of each cluster."""
-    of = lambda name: spark.read.parquet(f"{audited}/{name}")
-    products, members, attributes = of("products"), of("members"), of("attributes")
-    near = _kept(competitors.competitors(members.join(products.select("product_id", "price"), "product_id")), out, "competitors")
-    checked = _kept(claims.validate_evidence(proposed, competitors.verified_attributes(products, attributes)), out, "claims")
-    told = passages.render_passage(content).select("product_id", "passage")
-    flags = checked.where("message is not null").groupBy("product_id").agg(F.array_sort(F.collect_list("message")).alias("unsupported_claims"))
-    rows = export.export_rows(members, products.select("product_id", "name", "price", "description", "specs"), personas, told.join(flags, "product_id", "left"), attributes)
-    rows = _kept(rows, out, "export_rows")
-    done = {"competitors": near, "claims": checked, "csv": export.csv_rows(rows)}
-    done["csv"].write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{out}/csv")
-    currency = export.detect_currency(products).first()
-    done["jsonld"] = _kept(export.jsonld_nodes(rows, currency["currency"] if currency else None), out, "jsonld")
-    return done
+    """Search both sides for all queries, check, gate and rank, and compare the sides. Tables as run_queries takes them; index:
+    the entries of the index job with a vector each (side, key, text, vec), not of unit length perhaps; blank texts go."""
+    done = Version(spark, out)
+    unit = retrieval.normalize_vectors(index, text="text")
+    final = done.table(retrieval.run_queries(queries, unit, facts, constraints, rankings), "final_ranks")
+    done.table(retrieval.rank_movement(final), "movement")
+    return done.commit()

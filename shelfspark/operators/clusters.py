@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfspark.functions.ranks import positions, ranks  # noqa: F401
 from shelfspark.functions.text import blank_to_null
 
 BATCH, LABEL_BATCH = 10, 20
@@ -15,8 +14,9 @@ UNCATEGORIZED = "Uncategorized"
 
 def assign_batches(df: DataFrame, size: int, position: str = "position", by: str | None = None) -> DataFrame:
     """Batch number: of the position itself, or of the rank by position within `by`."""
-    at = F.col(position) if by is None else F.row_number().over(Window.partitionBy(by).orderBy(position)) - 1
-    return df.withColumn("batch", F.floor(at / size).cast("long"))
+    if by is None:
+        return df.withColumn("batch", F.floor(F.col(position) / size).cast("long"))
+    return ranks(df, by, [position], "__rank").withColumn("batch", F.floor(F.col("__rank") / size).cast("long")).drop("__rank")
 
 
 def globalize_indices(labels: DataFrame, size: int = LABEL_BATCH) -> DataFrame:
@@ -67,16 +67,3 @@ def cluster_by_embedding(index: DataFrame, k: int, seed: int, vec: str = "vec")
     rows = index.withColumn("__v", array_to_vector(vec))
     model = BisectingKMeans(k=k, seed=seed, distanceMeasure="cosine", featuresCol="__v", predictionCol="cluster").fit(rows)
     return model.transform(rows).drop("__v")
-
-
-def positions(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
-    """Gapless positions without a window over all rows: ranges of the order, then offsets of the ranges."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id() - (F.spark_partition_id().cast("long") * F.lit(int(math.pow(2, 33)))))
-    kept = parts.persist()
-    sizes = {r["__part"]: r["n"] for r in kept.groupBy("__part").agg(F.count("*").alias("n")).collect()}
-    before, at = [], 0
-    for p in range(max(sizes, default=0) + 1):
-        before.append(at)
-        at += sizes.get(p, 0)
-    return kept.withColumn(name, F.col("__i") + F.get(F.array(*[F.lit(b).cast("long") for b in before]), F.col("__part"))).drop("__part", "__i")

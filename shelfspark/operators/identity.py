@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfspark.functions.ranks import ranks
 from shelfspark.functions.text import blank_to_null
 
 #: Spec keys that may hold a source id, best first (fixed values).
@@ -31,7 +32,7 @@ def ensure_product_ids(products: DataFrame, base: Column | None = None) -> DataF
     counts = rows.groupBy("__base").agg(F.count("*").alias("__n"))
     marked = rows.join(counts, "__base")
     single = marked.where("__n = 1").withColumn("product_id", F.col("__base"))
-    ranked = marked.where("__n > 1").withColumn("__k", F.row_number().over(Window.partitionBy("__base").orderBy("position")))
+    ranked = ranks(marked.where("__n > 1"), "__base", ["position"], "__k").withColumn("__k", F.col("__k") + 1)
     taken = counts.select(F.col("__base").alias("__name"))
     stem = F.regexp_extract("__name", r"^(.*)-(\d+)$", 1)
     blocked = taken.where(stem != "").select(stem.alias("__base"), F.regexp_extract("__name", r"-(\d+)$", 1).cast("long").alias("__m")).where("__m >= 2").groupBy("__base").agg(F.array_sort(F.collect_set("__m")).alias("__blocked"))

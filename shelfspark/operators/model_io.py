@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfspark.functions.ranks import ranks
 from shelfspark.functions.text import ordered_list
 
 #: USD per million tokens in and out (fixed values).
@@ -42,8 +43,7 @@ def schema_requests(members: DataFrame, products: DataFrame, sample: int = 8, cu
 
 def normalize_requests(members: DataFrame, products: DataFrame, schema: DataFrame, size: int = 10, cut: int = 400) -> DataFrame:
     """(cluster, batch, n, attributes, prompt) of batches of `size` members."""
-    rank = F.row_number().over(Window.partitionBy("cluster").orderBy("member_pos")) - 1
-    rows = members.withColumn("__i", rank).withColumn("batch", F.floor(F.col("__i") / size).cast("long")).join(products, "product_id")
+    rows = ranks(members, "cluster", ["member_pos"], "__i").withColumn("batch", F.floor(F.col("__i") / size).cast("long")).join(products, "product_id")
     line = F.concat(F.pmod("__i", F.lit(size)).cast("string"), F.lit(": "), F.coalesce("name", F.lit("Unnamed product")), F.lit(" | description: "), F.substring(F.coalesce("description", F.lit("")), 1, cut), F.lit(" | raw: "), _specs())
     keys, prompt = _listing(["cluster", "batch"], F.col("__i"), line, "\n")
     names = schema.groupBy("cluster").agg(F.array_join(ordered_list([F.col("attr_pos")], F.col("attr")), ", ").alias("attributes"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfspark.functions import text as T
-from shelfspark.operators import claims, competitors, export, model_io, passages, summary
+from shelfspark.operators import claims, competitors, completeness, content, export, model_io, passages, readiness, summary
+from shelfspark.tables import Work
 
 from .views import Views, with_views
 
@@ -85,6 +86,65 @@ def g7_unsupported(v):  # noqa: ANN001, ANN201
     return claims.unsupported_claims(given, out).select("product_id", F.array_join("unsupported_claims", "|").alias("messages"))
 
 
+def _content(v):  # noqa: ANN001, ANN202
+    """Content of a product as a model gives it: an insight and an exclusion as in _claims, a comparison with the nearest
+    product, a message of its own for a third, and persona labels; null lists among them."""
+    one, near = _claims(v), _comparisons(v)
+    of = lambda field, a, b: one.where(F.col("field") == field).select("product_id", F.array(F.struct(F.col("text1").alias(a), F.col("text2").alias(b), "evidence")).alias(field))
+    against = near[0].select("product_id", F.array(F.struct(F.col("competitor").alias("against"), "axis", F.col("own_value").alias("target_value"), F.col("other_value").alias("competitor_value"), "direction")).alias("comparisons"))
+    kind = lambda a, b: f"cast(null as array<struct<{a}:string,{b}:string,evidence:array<struct<attribute:string,value:string>>>>)"
+    rest = v.cat.selectExpr(
+        "product_id", "case when k % 3 = 0 then array('Came with a message') end as unsupported_claims", kind("shopper_question", "answer") + " as query_angles", kind("scenario", "why_it_fits") + " as use_cases",
+        "transform(slice(sequence(1, 9), 1, int(k % 6)), i -> named_struct('label', concat('Label ', i), 'fit', case when i = 2 and k % 2 = 0 then 'poor' else 'good' end)) as personas",
+    )
+    rows = rest.join(of("derived_insights", "claim", "reasoning"), "product_id").join(of("not_for", "exclusion", "reason"), "product_id").join(against, "product_id", "left")
+    ids = v.cat.selectExpr("product_id", "k", "explode(array('derived_insights:0', 'not_for:0')) as claim_id")
+    return rows, near[1].withColumn("rank", F.lit(1)), ids.where("k % 3 = 0").drop("k"), ids.where("k % 3 = 1").selectExpr("product_id", "claim_id", "'too vague' as reason")
+
+
+def _rebuilt(v):  # noqa: ANN001, ANN202
+    rows, near, yes, no = _content(v)
+    with Work(v.spark, "content") as work:
+        return work.result(content.gate_content(work, rows, competitors.verified_attributes(v.cat, v.attributes), near, yes, no))
+
+
+CONTENT_SQL = f"""{CLAIM_SQL}, bare AS (SELECT product_id FROM cat WHERE product_id NOT IN (SELECT product_id FROM attributes)),
+p AS (SELECT cluster, product_id, name, position, p_size, CASE WHEN price IS NOT NULL THEN regexp_extract(price, '[0-9][0-9.]*')::DOUBLE END AS p FROM cat),
+near AS (SELECT a.product_id, a.position AS k, a.p_size, b.product_id AS cid, b.name AS cname, b.p_size AS csize, row_number() OVER (PARTITION BY a.product_id ORDER BY CASE WHEN a.p IS NOT NULL THEN abs(a.p - b.p) END NULLS LAST, b.position) AS r FROM p a JOIN p b ON a.cluster = b.cluster AND a.product_id <> b.product_id),
+cm AS (SELECT product_id, k, CASE WHEN k % 4 = 3 THEN 'nobody' ELSE upper(cname) END AS against, CASE WHEN k % 4 = 3 THEN 'competitor was not supplied' WHEN k % 5 = 0 OR substr(cid, 2)::INT % 5 = 0 THEN 'comparison attribute was not verified for both products' WHEN k % 4 = 1 THEN 'comparison values did not match the verified attributes' WHEN k % 4 = 2 THEN 'comparison direction could not be verified' END AS reason,
+  'Verified size: this product is ' || p_size || '; ' || cname || ' is ' || csize || '.' AS tradeoff FROM near WHERE r = 1 AND product_id NOT IN (SELECT product_id FROM bare)),
+live AS (SELECT *, CASE field WHEN 'not_for' THEN 2 ELSE 0 END AS f FROM checked WHERE product_id NOT IN (SELECT product_id FROM bare)),
+msgs AS (SELECT product_id, 0 AS gate, 0 AS f, 'No agent content was generated because this product has no verified normalized attributes.' AS m FROM bare
+  UNION ALL SELECT product_id, 0, 0, 'Came with a message' FROM cat WHERE k % 3 = 0 AND product_id NOT IN (SELECT product_id FROM bare)
+  UNION ALL SELECT product_id, 1, f, CASE field WHEN 'not_for' THEN 'Exclusion' ELSE 'Derived insight' END || ' ''' || t || ''' was removed: ' || reason || '.' FROM live WHERE reason IS NOT NULL
+  UNION ALL SELECT product_id, 2, f, 'Derived statement ''' || t || ''' was removed: ' || CASE WHEN k % 3 = 1 THEN 'too vague' ELSE 'semantic support was not established' END || '.' FROM live WHERE reason IS NULL AND k % 3 <> 0
+  UNION ALL SELECT product_id, 3, 0, 'Comparison against ' || against || ' on  Size  was removed: ' || reason || '.' FROM cm WHERE reason IS NOT NULL),
+m AS (SELECT product_id, string_agg(m, '|' ORDER BY gate, f) AS messages, count(*) AS n_messages FROM msgs GROUP BY 1),
+built AS (SELECT c.product_id, c.k, c.cluster, coalesce(i.t, '') AS insights, coalesce(i.ev, '') AS insight_evidence, coalesce(x.t, '') AS exclusions, coalesce(cm.tradeoff, '') AS tradeoffs, coalesce(m.messages, '') AS messages, coalesce(m.n_messages, 0) AS n_messages,
+  (i.t IS NOT NULL)::INT AS n_i, (x.t IS NOT NULL)::INT AS n_x, (cm.tradeoff IS NOT NULL)::INT AS n_c, c.product_id IN (SELECT product_id FROM bare) AS is_bare
+  FROM cat c LEFT JOIN (SELECT * FROM live WHERE field = 'derived_insights' AND reason IS NULL AND k % 3 = 0) i ON i.product_id = c.product_id LEFT JOIN (SELECT * FROM live WHERE field = 'not_for' AND reason IS NULL AND k % 3 = 0) x ON x.product_id = c.product_id
+  LEFT JOIN (SELECT * FROM cm WHERE reason IS NULL) cm ON cm.product_id = c.product_id LEFT JOIN m ON m.product_id = c.product_id)"""
+
+
+@query(f"--CTE {CONTENT_SQL} SELECT product_id, insights, insight_evidence, exclusions, tradeoffs, messages FROM built")
+def g8_rebuilt_content(v):  # noqa: ANN001, ANN201
+    """Content after the evidence, review and comparison gates: what is left in order, and what went as messages."""
+    some = lambda f, x: F.array_join(F.transform(f, x), "|")
+    return _rebuilt(v).select(
+        "product_id", some("derived_insights", lambda i: i["claim"]).alias("insights"), some("derived_insights", lambda i: F.array_join(F.transform(i["evidence"], lambda e: F.concat(e["attribute"], F.lit(": "), e["value"])), ", ")).alias("insight_evidence"),
+        some("not_for", lambda i: i["exclusion"]).alias("exclusions"), some("comparisons", lambda c: c["tradeoff"]).alias("tradeoffs"), F.array_join("unsupported_claims", "|").alias("messages"),
+    )
+
+
+@query(f"""--CTE {CONTENT_SQL}, parts AS (SELECT b.product_id, round_even(m.pct / 100, 4) AS c0, CASE WHEN is_bare THEN 0 ELSE round_even(least(b.k % 6, 4) / 4.0 * CASE WHEN b.k % 2 = 0 AND b.k % 6 >= 2 THEN 1.0 ELSE 0.7 END, 4) END AS c1,
+  round_even(least(n_x, 2) / 2.0, 4) AS c2, round_even(least(n_c, 3) / 3.0, 4) AS c3, CASE WHEN n_i + n_x + n_c + n_messages = 0 THEN 0.5 ELSE round_even((n_i + n_x + n_c) / (n_i + n_x + n_c + n_messages)::DOUBLE, 4) END AS c4 FROM built b JOIN comp m USING (product_id))
+SELECT product_id, round_even(round(100 * (c0 * 0.25 + c1 * 0.20 + c2 * 0.15 + c3 * 0.15 + c4 * 0.25)::DOUBLE, 6), 1) AS readiness FROM parts""")
+def r7_readiness_of_rebuilt_content(v):  # noqa: ANN001, ANN201
+    """Readiness of products on the content that passed the gates."""
+    pct = completeness.product_completeness(v.presence()).select("cluster", "product_id", F.col("pct").alias("completeness"), "missing")
+    return readiness.readiness_score(readiness.score_components(content.score_inputs(pct, _rebuilt(v)))).select("product_id", "readiness")
+
+
 @query("SELECT product_id, name || chr(10) || 'Price: ' || coalesce(price, 'not stated') || chr(10) || description || chr(10) || 'size: ' || p_size || '; brand: ' || p_brand || '; type: ' || p_type AS text FROM cat")
 def t1_raw_index_text(v):  # noqa: ANN001, ANN201
     return passages.raw_index_text(v.cat, v.specs)

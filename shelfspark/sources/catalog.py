@@ -37,13 +37,13 @@ def json_items(text: DataFrame, col: str = "t") -> DataFrame:
     return items.where(F.trim("item").startswith("{"))
 
 
-def load_catalog(spark: SparkSession, path: str, format: str | None = None) -> DataFrame:
-    """Products of a CSV or JSON catalog."""
+def load_catalog(spark: SparkSession, path: str, format: str | None = None, lines: bool = False) -> DataFrame:
+    """Products of a CSV or JSON catalog. lines: one record a line, the splittable form (that of `.jsonl`)."""
     kind = format or path.rsplit(".", 1)[-1].lower()
     if kind == "csv":
-        return products_from_table(read_csv_catalog(spark, path))
+        return products_from_table(read_csv_catalog(spark, path, lines))
     if kind in ("json", "jsonl"):
-        return products_from_items(read_json_catalog(spark, path, lines=kind == "jsonl"))
+        return products_from_items(read_json_catalog(spark, path, lines=lines or kind == "jsonl"))
     raise ValueError(f"unsupported catalog format: {kind}")
 
 

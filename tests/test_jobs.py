@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfspark import jobs
@@ -39,22 +40,108 @@ def test_audit_and_publish(spark, tmp_path):
     assert got["weight"] == (3, 1, 33.3, "Runner B", "Marathoner: light shoes tire less") and got["color"][:4] == (3, 1, 33.3, "Runner C")
     assert sorted((r["product_id"], r["missing_attributes"]) for r in done["by_product"].collect()) == [("R-1-2", "weight"), ("R-3", "color")]
     assert done["headline"].first()["products"] == 4
-    written = spark.read.option("header", True).csv(f"{tmp_path}/out/requests/by_product")
+    written = spark.read.option("header", True).csv(f"{tmp_path}/out/version=1/requests/by_product")
     assert sorted(r["product_id"] for r in written.collect()) == ["R-1-2", "R-3"]
-
-    kind = "product_id string, field string, idx int, text1 string, text2 string, evidence array<struct<attribute:string,value:string>>"
-    proposed = spark.createDataFrame([("R-1", "derived_insights", 0, "light", "because", [("Weight", "200 g")]), ("R-3", "derived_insights", 0, "red", "because", [("color", "red")])], kind)
-    content = spark.createDataFrame([("R-1", [("light", "weighs little", [("weight", "200 g")])], None, None, [("giants", "too small")], None)], "product_id string, insights array<struct<claim:string,reasoning:string,evidence:array<struct<attribute:string,value:string>>>>, use_cases array<struct<scenario:string,why_it_fits:string>>, query_angles array<struct<shopper_question:string,answer:string>>, not_for array<struct<exclusion:string,reason:string>>, comparisons array<struct<against:string,direction:string,axis:string,tradeoff:string>>")
-    personas = answers(spark).personas.withColumn("user_story", F.lit("as a runner"))
-    sent = jobs.publish(spark, f"{tmp_path}/out", proposed, content, personas, f"{tmp_path}/pub")
-    assert {(r["product_id"], r["kept"]) for r in sent["claims"].collect()} == {("R-1", True), ("R-3", False)}
+    fits = {r["product_id"]: (r["fit"], r["qualifies"]) for r in done["product_fit"].collect()}
+    assert fits == {"R-1": (100.0, True), "R-1-2": (0.0, False), "R-3": (0.0, False)}
+    stats = {r["cluster"]: r for r in done["stats"].collect()}
+    assert (stats["Running"]["total"], stats["Running"]["with_values"], stats["Running"]["rejected"]) == (3, 3, 1)
+    picked = done["picked"].first()
+    assert (picked["persona_id"], picked["rating"], picked["covered"]) == ("p1", 66.7, ["color", "weight"])
+
+    stories = spark.createDataFrame([("Running", "as a runner")], "cluster string, user_story string")
+    sent = jobs.publish(spark, f"{tmp_path}/out", *generated(spark), stories, f"{tmp_path}/pub")
+    told = {r["product_id"]: r for r in sent["content"].collect()}
+    assert [c["claim"] for c in told["R-1"]["derived_insights"]] == ["light enough to race", "race day shoe"]
+    assert told["R-1"]["derived_insights"][0]["evidence"][0].asDict() == {"attribute": "weight", "value": "200 g"}
+    assert [c["tradeoff"] for c in told["R-1"]["comparisons"]] == ["Verified color: this product is red; Runner B is blue."]
+    assert told["R-1"]["unsupported_claims"] == ["Derived insight 'weighs nothing' was removed: an evidence key or value did not match verified attributes.", "Derived statement 'for giants' was removed: not entailed.", "Comparison against Runner Z on color was removed: competitor was not supplied."]
+    assert told["B-1"]["unsupported_claims"] == ["No agent content was generated because this product has no verified normalized attributes."] and not told["B-1"]["derived_insights"]
     nodes = {r["product_id"]: json.loads(r["node"]) for r in sent["jsonld"].collect()}
     assert nodes["R-1"]["offers"]["priceCurrency"] == "SGD" and nodes["R-1"]["additionalProperty"][1] == {"@type": "PropertyValue", "name": "weight", "value": "200 g"}
-    assert "light" in nodes["R-1"]["description"] and nodes["R-3"]["description"] == "Trail runner" and "offers" not in nodes["R-3"]
-    rows = {r["product_id"]: r for r in spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{tmp_path}/pub/csv").collect()}
+    assert "light enough" in nodes["R-1"]["description"] and nodes["R-3"]["description"] == "Trail runner" and "offers" not in nodes["R-3"]
+    rows = {r["product_id"]: r for r in spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{tmp_path}/pub/version=1/csv").collect()}
     assert rows["R-1"]["persona"] == "Marathoner" and rows["B-1"]["verified_attributes"] in (None, "")
     near = {(r["product_id"], r["rank"]): r["competitor_id"] for r in sent["competitors"].collect()}
     assert near["R-1", 1] == "R-1-2"
+    # nothing that a gate refused is in an export, but in the list of what was refused
+    records = [json.loads(line) for f in (tmp_path / "pub/version=1/json").glob("*.json") for line in f.read_text().splitlines()]
+    for r in records:
+        r["knowledge_layer"].pop("unsupported_claims")
+    exported = json.dumps(records) + json.dumps(nodes) + "".join(f.read_text() for f in (tmp_path / "pub/version=1/csv").glob("*.csv"))
+    assert "race day shoe" in exported and not any(x in exported for x in ("weighs nothing", "for giants", "Runner Z", "out of nowhere"))
+    ready = {r["product_id"]: (r["c_grounding"], r["c_not_for"], r["readiness"]) for r in sent["readiness"].collect()}
+    assert ready["R-1"][:2] == (0.5, 0.0) and ready["B-1"][0] == 0.0 and ready["R-1"][2] > ready["B-1"][2]
+    board = {r["cluster"]: r for r in sent["dashboard"].collect()}
+    assert (board["Running"]["members"], board["Running"]["rejected"], board["Running"]["title"]) == (3, 1, "Marathoner")
+
+    seen = jobs.index(spark, f"{tmp_path}/out", f"{tmp_path}/pub", f"{tmp_path}/index")
+    assert sorted((r["side"], r["key"]) for r in seen["entries"].collect()) == [("after", "R-1"), ("before", "R-1")]
+    assert tuple(seen["coverage"].first()) == (1, 4)
+    assert sorted(r["cluster"] for r in seen["pending"].collect()) == ["Running"]  # two runners have no content at all
+
+
+def generated(spark):
+    """Content of R-1 with one good insight of each kind and one refused by each gate; of B-1, which has no verified fact."""
+    cite = "array<struct<attribute:string,value:string>>"
+    kind = f"product_id string, personas array<struct<label:string,fit:string>>, derived_insights array<struct<claim:string,reasoning:string,evidence:{cite}>>, query_angles array<struct<shopper_question:string,answer:string,evidence:{cite}>>, not_for array<struct<exclusion:string,reason:string,evidence:{cite}>>, use_cases array<struct<scenario:string,why_it_fits:string,evidence:{cite}>>, comparisons array<struct<against:string,axis:string,target_value:string,competitor_value:string,direction:string>>, unsupported_claims array<string>"
+    weight, price = [("Weight", "200 G")], [("catalog price", "S$ 100.00")]
+    rows = [
+        ("R-1", [("racer", "good")], [("light enough to race", "weighs little", weight), ("weighs nothing", "so light", [("weight", "0 g")]), ("race day shoe", "price and weight", weight + price)], None, [("for giants", "too small", weight)], [], [("runner b", "color", "red", "blue", "different"), ("Runner Z", "color", "red", "blue", "different")], None),
+        ("B-1", [("walker", "good")], [("out of nowhere", "no fact", price)], None, None, None, None, ["kept no more"]),
+    ]
+    yes = spark.createDataFrame([("R-1", "derived_insights:0"), ("R-1", "derived_insights:1")], "product_id string, claim_id string")
+    no = spark.createDataFrame([("R-1", "not_for:0", "not entailed")], "product_id string, claim_id string, reason string")
+    return spark.createDataFrame(rows, kind), yes, no
+
+
+def test_a_job_that_dies_leaves_the_last_version(spark, tmp_path, monkeypatch):
+    from shelfspark import versions
+
+    (tmp_path / "shop.csv").write_text(CATALOG)
+    out = f"{tmp_path}/out"
+    assert versions.latest(spark, out) == {}
+    jobs.audit(spark, f"{tmp_path}/shop.csv", answers(spark), out)
+    (tmp_path / "shop.csv").write_text(CATALOG + "Boot C,C-9,10,New boot,black,1 kg\n")
+    with monkeypatch.context() as broken:
+        broken.setattr(jobs.fit, "product_fit", lambda verdicts: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            jobs.audit(spark, f"{tmp_path}/shop.csv", answers(spark), out)
+    assert versions.latest(spark, out)["products"].count() == 4
+    jobs.audit(spark, f"{tmp_path}/shop.csv", answers(spark), out)
+    now = versions.latest(spark, out)
+    assert now["products"].count() == 5 and now["headline"].first()["products"] == 5
+
+
+def test_positions_of_several_files(spark, tmp_path):
+    for i in range(4):
+        (tmp_path / f"part-{i}.csv").write_text("name,price\n" + "".join(f"item {i} {j},1\n" for j in range(5)))
+    for lines in (True, False):
+        rows = jobs.load(spark, str(tmp_path), "csv", lines).collect()
+        assert [r["name"] for r in sorted(rows, key=lambda r: r["position"])] == [f"item {i} {j}" for i in range(4) for j in range(5)]
+        assert sorted(r["position"] for r in rows) == list(range(20))
+
+
+def test_ranks_inside_a_large_group(spark, monkeypatch):
+    from shelfspark.functions import ranks as R
+    from shelfspark.operators import identity, model_io
+
+    rows = [("hot" if i % 3 == 0 else None if i % 7 == 0 else f"c{i % 5}", f"p{i}", 1000 - i) for i in range(600)]
+    df = spark.createDataFrame(rows, "cluster string, product_id string, member_pos long").repartition(5)
+    plain = {(r["product_id"], r["r"]) for r in R.ranks(df, "cluster", ["member_pos"], "r").collect()}
+    monkeypatch.setattr(R, "WINDOW_ROWS", 50)  # now "hot" is ranked by ranges
+    split = R.ranks(df, "cluster", ["member_pos"], "r")
+    assert {(r["product_id"], r["r"]) for r in split.collect()} == plain
+    hot = [r for r in split.withColumn("part", F.spark_partition_id()).where("cluster = 'hot'").collect()]
+    assert len({r["part"] for r in hot}) > 1 and sorted(r["r"] for r in hot) == list(range(200))
+    batches = clusters.assign_batches(df, 10, "member_pos", by="cluster").where("cluster = 'hot'").groupBy("batch").count().collect()
+    assert sorted((r["batch"], r["count"]) for r in batches) == [(b, 10) for b in range(20)]
+    products = df.select("product_id", F.col("product_id").alias("name"), F.lit("d").alias("description"), F.create_map(F.lit("k"), F.lit("v")).alias("specs"))
+    asked = model_io.normalize_requests(df.where("cluster is not null"), products, spark.createDataFrame([("hot", "a", 0)], "cluster string, attr string, attr_pos int"))
+    assert asked.where("cluster = 'hot'").agg(F.sum("n")).first()[0] == 200
+    same = spark.createDataFrame([(None if i % 2 else "", i, "n", "d", {"sku": "S" if i % 3 else f"T{i}"}) for i in range(300)], "product_id string, position long, name string, description string, specs map<string,string>")
+    ids = [r["product_id"] for r in sorted(identity.ensure_product_ids(same).collect(), key=lambda r: r["position"]) if r["specs"]["sku"] == "S"]
+    assert ids == ["S", *(f"S-{k}" for k in range(2, 201))]
 
 
 def test_evaluate(spark, tmp_path):
