@@ -5,12 +5,14 @@ length, share of link text); parent and child are tied by a 2 x 2 potential for
 go up the tree and down again (all pages of a batch together, level by level) and give the marginal probability of
 content for each element; text of elements above one half is kept, block by block.
 
-What a page's markup says by its own words (a tag like nav, a class like comments) is a strong potential that no number of
-children can outvote; tags like p and lengths are weak ones, so such an element mostly follows its parent. The potentials
-are trained from labelled pages: pages whose url names a document, where a text of LEAST_LABEL characters or more is
-content if it is a whole line of that document, and is not if the document does not contain it; other texts are not
-labelled. Counts of at most MOST_PAGES pages, least hashes of page_id first, move prior potentials, by MOST_MOVE at most:
-the labelled pages have few layouts, and what they lack must not be unlearned.
+What a page's markup says by its own words (a tag like nav, a class like comments) is strong evidence; names that may tell of
+the text itself (side-effects, share-price, alert) are weak, and so are tags like p, lengths and link shares: such an
+element mostly follows its parent. Below an element that speaks against content, tags and lengths say nothing for it.
+The potentials are trained from labelled pages: pages whose url names a document, where a text of LEAST_LABEL characters or
+more is content if it is a whole line of that document, and is not if the document does not contain it; other texts are not
+labelled. Of at most MOST_PAGES pages, least hashes of page_id first, all pages of one layout (its tags and hints) count
+for each feature as one. Counts meet pseudo-counts of the prior, from the hint alone to the hint with its place and length
+to the whole feature, so what the labelled layouts lack keeps its prior, and what many of them hold is learned.
 
 Null or empty html, and pages without content, give an empty text. Malformed markup is read as browsers do in the common
 cases: unclosed and misnested elements, stray tags and bare `&` and `<`. Repeated pages are rows of their own.
@@ -28,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, each_batch, kept_in_worker, least_by_hash, stage, strings, table
+from .common import documents, each_batch, kept_in_worker, least_by_hash, release, stage, strings, table
 
 MOST_PAGES = 2_000
-#: Characters of a text that can be labelled, and how far counts move a potential (log odds).
-LEAST_LABEL, MOST_MOVE = 25, 1.0
+#: Characters of a text that can be labelled, and the layouts that a prior weighs as much as.
+LEAST_LABEL, STRENGTH = 25, 2.0
 #: Fixed word lists after the HTML standard and common class names.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 RAW = frozenset("script style noscript template textarea title iframe svg select option button".split())
@@ -43,17 +45,21 @@ HINTS = {
     "chrome": "nav navbar navigation menu header masthead footer foot sidebar side aside complementary contentinfo breadcrumb breadcrumbs toolbar topbar pagination pager search login signup".split(),
     "notice": "cookie cookies consent notice banner alert gdpr popup modal overlay newsletter subscribe subscription promo promotion".split(),
     "advert": "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors dfp adsense".split(),
-    "comment": "comment comments commentlist reply replies disqus respond discussion".split(),
+    "comment": "comment comments commentlist reply replies disqus respond".split(),
     "related": "related recommended recommendations share sharing social tags tagcloud widget meta byline".split(),
     "content": "article content post entry main story body text".split(),
 }
-_HINT_OF = {w: k for k, ws in HINTS.items() for w in ws}
+#: Words of these kinds that name parts of a text as well, and what stands beside a word in the name of a box.
+UNSURE = {"alert": "notice", "discussion": "comment", "side": "chrome", "promotion": "notice", "search": "chrome", "tags": "related", "share": "related", "sharing": "related", "meta": "related"}
+BESIDE = frozenset("slot box container wrapper wrap area section list item block bar buttons button links link icons icon posts post articles stories panel form unit top bottom left right main site page global inner outer primary secondary col column row group content text body html fixed sticky footer header title thread entry default module zone pane field input".split())
+_HINT_OF = {w: k for k, ws in HINTS.items() for w in ws} | UNSURE
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 #: A class token with one of these words tells of a state or a layout, not of what the element holds.
 STATES = frozenset("has with without no not is open opened closed enabled disabled allowed count show hide active category tag format status type page template layout style theme color bg".split())
 #: First headings of the parts of a page that are not its article.
-HEADINGS = {"comment": re.compile(r"(?:\d+ )?(?:comments?|responses?|repl(?:y|ies)|discussion|kommentare?|commentaires?|comentarios?|leave a (?:comment|reply))(?: \(?\d+\)?)?:?", re.I), "related": re.compile(r"(?:related|recommended|more) (?:posts?|articles?|stories|reading|for you|from .{1,40})|read (?:more|next)|you may also like|share this", re.I)}
+HEADINGS = {"comment": re.compile(r"(?:\d+ )?(?:comments?|responses?|repl(?:y|ies)|discussion (?=\(?\d)|kommentare?|commentaires?|comentarios?|leave a (?:comment|reply))(?: \(?\d+\)?)?:?", re.I), "related": re.compile(r"(?:related|recommended|more) (?:posts?|articles?|stories|reading|for you|from .{1,40})|read (?:more|next)|you may also like|share this", re.I)}
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -64,7 +70,9 @@ class Page:
     def __init__(self, text: str):
         self.parent, self.tag, self.hint, self.blocks = [-1], ["#root"], [""], []  # blocks: [owner, [pieces]]
         self.links = [0]
+        self.own, self.anchored = [0], [False]  # the block that an element's text belongs to; inside a link of that block
         stack, at, block = [0], 0, None
+        self.opened: dict[str, int] = {}
         for m in _TAG.finditer(text):
             if m.start() < at:
                 continue
@@ -75,14 +83,17 @@ class Page:
             if not tag:
                 continue
             if m[1]:
-                if tag in ("p", "br") and tag not in (self.tag[i] for i in stack):
+                if not self.opened.get(tag) and tag not in ("p", "br"):
+                    block = block if tag in INLINE else None
+                    continue
+                if tag in ("p", "br") and not self.opened.get(tag):
                     block = None if tag == "p" else self._text(stack, " ", block)
                     continue
                 if tag not in INLINE:
                     block = None
                 for k in range(len(stack) - 1, 0, -1):
                     if self.tag[stack[k]] == tag:
-                        del stack[k:]
+                        self._cut(stack, k)
                         break
                     if self.tag[stack[k]] in ("body", "html", "td", "th", "table") and tag in INLINE:
                         break
@@ -104,30 +115,44 @@ class Page:
             self.tag.append(tag)
             self.hint.append(self._hint(tag, m[3]) if m[3] else "")
             self.links.append(0)
+            self.own.append(self.own[stack[-1]] if tag in INLINE else node)
+            self.anchored.append(tag == "a" or self.anchored[stack[-1]] if tag in INLINE else False)
+            self.opened[tag] = self.opened.get(tag, 0) + 1
             stack.append(node)
         if at < len(text):
             self._text(stack, text[at:], block)
 
+    def _cut(self, stack: list[int], k: int) -> None:
+        for i in stack[k:]:
+            self.opened[self.tag[i]] -= 1
+        del stack[k:]
+
     @staticmethod
     def _hint(tag: str, attributes: str) -> str:
-        """What class, id and role say. Tokens are read one by one: one that is a word of HINTS as a whole counts first;
-        in a compound one any word that speaks against content does, unless a whole token or the tag speaks for it."""
+        """What class, id and role say; with a `?` if it may tell of the text itself. Tokens are read one by one: one that is
+        a word of HINTS as a whole counts first; in a compound one a word that speaks against content does, surely if
+        what stands beside it names a box. An id of a heading is its text."""
         if tag in ("html", "body"):
             return ""
         whole, compound = [], []
         for a in _ATTRIBUTE.finditer(attributes):
-            for token in (a[1] or a[2] or a[3] or "").split():
+            if a[1].lower() == "id" and tag in _HEADINGS:
+                continue
+            for token in (a[2] or a[3] or a[4] or "").split():
                 words = [w.lower() for w in _WORD.findall(token)]
                 if not words or not STATES.isdisjoint(words):
                     continue
-                kinds = [k for w in words if (k := _HINT_OF.get(w))]
-                against = [k for k in kinds if k != "content"]
-                if kinds:
-                    (whole if len(words) == 1 else compound).append((against or kinds)[0])
-        against = next((k for k in whole if k != "content"), "")
-        if against or whole or tag in ("article", "main"):
-            return against or "content" * bool(whole)
-        return next((k for k in compound if k != "content"), "") or "content" * bool(compound)
+                kinds = [(k, w) for w in words if (k := _HINT_OF.get(w))]
+                if not kinds:
+                    continue
+                kind, word = next((x for x in kinds if x[0] != "content"), kinds[0])
+                sure = kind == "content" or len(words) > 1 and all(w in _HINT_OF or w in BESIDE for w in words) or len(words) == 1 and word not in UNSURE
+                sure = sure and not (len(words) > 1 and word == "alert")
+                (whole if len(words) == 1 else compound).append(kind if sure else kind + "?")
+        against = lambda kinds: next((k for k in sorted(kinds, key=lambda k: k.endswith("?")) if k != "content"), "")
+        if against(whole) or whole or tag in ("article", "main"):
+            return against(whole) or "content" * bool(whole)
+        return against(compound) or "content" * bool(compound)
 
     def _close(self, stack: list[int], tag: str) -> None:
         """Closes what a new block element ends: an open paragraph (with inline elements in it), list items and cells."""
@@ -136,22 +161,22 @@ class Page:
         while inline > 1 and self.tag[stack[inline - 1]] in INLINE:
             inline -= 1
         if inline > 1 and tag in CLOSES_P and self.tag[stack[inline - 1]] == "p":
-            del stack[inline - 1 :]
+            self._cut(stack, inline - 1)
         for k in range(len(stack) - 1, 0, -1):
             if self.tag[stack[k]] in ends:
-                del stack[k:]
+                self._cut(stack, k)
                 break
             if self.tag[stack[k]] in ("ul", "ol", "dl", "table", "article", "div", "section", "body"):
                 break
 
     def _text(self, stack: list[int], text: str, block: list | None) -> list | None:
-        owner = next((i for i in reversed(stack) if self.tag[i] not in INLINE), 0)
+        owner = self.own[stack[-1]]
         if block is None or block[0] != owner:
             if not text.strip():
                 return None
             block = [owner, []]
             self.blocks.append(block)
-        if any(self.tag[i] == "a" for i in stack[stack.index(owner) + 1 :]):
+        if self.anchored[stack[-1]]:
             self.links[owner] += len(text)
         block[1].append(text)
         return block
@@ -163,7 +188,7 @@ def clean(pieces: list[str]) -> str:
 
 
 def node_keys(page: Page) -> list[tuple[str, str]]:
-    """(feature key, edge kind) of every element."""
+    """(feature key, edge kind) of every element: tag, hint, length, share of links and place; tag, hint and place."""
     n = len(page.parent)
     length, hint, article = [0] * n, list(page.hint), [False] * n
     first: dict[int, int] = {}  # first children
@@ -173,64 +198,94 @@ def node_keys(page: Page) -> list[tuple[str, str]]:
     for owner, pieces in page.blocks:
         length[owner] += sum(map(len, pieces))
         up = page.parent[owner]
-        if page.tag[owner] in ("h1", "h2", "h3", "h4", "h5", "h6") and first.get(up) == owner and not hint[up] and page.tag[up] in ("div", "section"):
+        if page.tag[owner] in _HEADINGS and first.get(up) == owner and not hint[up].rstrip("?") and page.tag[up] in ("div", "section"):
             title = clean(pieces)
             hint[up] = next((k for k, x in HEADINGS.items() if x.fullmatch(title)), "")
+    whole, linked = list(length), list(page.links)
+    for i in range(n - 1, 0, -1):
+        whole[page.parent[i]] += whole[i]
+        linked[page.parent[i]] += linked[i]
     bounded = any(t in ("article", "main") and h in ("", "content") for t, h in zip(page.tag, hint, strict=True))
-    out = []
-    for i, (tag, h, size, linked) in enumerate(zip(page.tag, hint, length, page.links, strict=True)):
+    out, place = [], [""] * n
+    for i, (tag, h, size) in enumerate(zip(page.tag, hint, length, strict=True)):
+        up = page.parent[i]
+        if i:
+            before = page.tag[up]
+            sure = _against(hint[up]) or before in CHROME and not (before == "header" and article[up])
+            place[i] = "under" if place[up] == "under" or sure else "in" if place[up] == "in" or before in ("article", "main") else ""
         kind = "none" if size == 0 else "short" if size < 40 else "some" if size < 160 else "long"
         if tag in ("#root", "html", "body") and bounded:
             tag += "+"  # a page that says where its article is
         elif tag == "header" and article[i]:
             tag = "article-header"
-        out.append((f"{tag}|{h}|{kind}|{'links' if size and 2 * linked > size else ''}", f"{tag}|{h}"))
+        links = "links" if (2 * page.links[i] > size if size else 2 * linked[i] > whole[i] > 0) else ""
+        top = "top" if i and page.tag[up] in ("#root", "html", "body") else place[i]
+        out.append((f"{tag}|{h}|{kind}|{links}|{place[i]}", f"{tag}|{h}|{top}"))
     return out
 
 
-def _prior(tag: str, hint: str, size: str, links: str) -> float:
-    """Prior log odds of content. Strong ones stand for any number of weak ones."""
-    if hint not in ("", "content") or tag in CHROME:
-        return -40.0
-    odds = 2.0 if hint == "content" else 0.0
-    odds += 6.0 if tag in ("article", "main") else -3.0 if tag.endswith("+") else 0.5 if tag in ("p", "h1", "h2", "h3", "h4", "blockquote", "pre", "figcaption") else 0.0
-    odds += {"none": 0.0, "short": -0.2, "some": 0.3, "long": 0.8}[size]
-    return odds - (1.5 if links else 0.0)
+def _against(hint: str) -> bool:
+    return hint not in ("", "content") and not hint.endswith("?")
 
 
-def _prior_tie(tag: str, hint: str) -> float:
-    """Prior log ratio with which a child takes its parent's side; a child of another nature is less tied."""
-    if tag in CHROME or hint not in ("", "content") or tag in ("article", "main"):
+def _prior(tag: str, hint: str, size: str, links: str, place: str) -> float:
+    """Prior log odds of content."""
+    if _against(hint) or tag in CHROME:
+        return -8.0
+    if place == "under":
+        return -1.5
+    odds = 2.0 if hint == "content" else -1.0 if hint else 0.0
+    odds += 6.0 if tag in ("article", "main") else -3.0 if tag.endswith("+") else 0.5 if tag in ("p", *_HEADINGS, "blockquote", "pre", "figcaption") else 0.0
+    odds += {"none": 0.0, "short": -0.2 if place else -0.8, "some": 0.3, "long": 0.8}[size]
+    return odds - ((0.5 if place else 2.5) if links else 0.0)
+
+
+def _prior_tie(tag: str, hint: str, place: str) -> float:
+    """Prior log ratio with which a child takes its parent's side; a child of another nature, or of the whole page, is less tied."""
+    if tag in CHROME or _against(hint) or tag in ("article", "main"):
         return 0.5
-    return 2.0 if hint == "content" else 4.0
+    return 1.0 if place == "top" else 2.0 if hint == "content" else 4.0
+
+
+def _coarser(key: str) -> list[str]:
+    """The features that a feature backs off to, coarsest first, and the feature itself."""
+    parts = key.split("|")
+    if len(parts) == 3:  # an edge
+        return [f"*|{parts[1]}|{parts[2]}", key]
+    _, hint, size, links, place = parts
+    return [f"*|{hint}|*|*|{place}", f"*|{hint}|{size}|{links}|{place}", key]
 
 
 class Model:
-    """unary: key -> (content, other) counts. tie: edge kind -> [same, different] counts for parent content and not."""
+    """unary: key -> (content, other) layouts. tie: edge kind -> [same, different] layouts for parent content and not. Both hold
+    the coarser keys as well."""
 
-    def __init__(self, unary: dict[str, list[float]], tie: dict[str, list[float]], strength: float = 4.0):
+    def __init__(self, unary: dict[str, list[float]], tie: dict[str, list[float]], strength: float = STRENGTH):
         self.unary, self.tie, self.strength = unary, tie, strength
         self._u: dict[str, float] = {}
         self._t: dict[str, np.ndarray] = {}
 
-    def _moved(self, prior: float, yes: float, no: float) -> float:
-        """Log odds of a prior moved by counts, MOST_MOVE at most."""
-        p = 1 / (1 + np.exp(-np.clip(prior, -30, 30)))
-        new = np.log((yes + self.strength * p) / (no + self.strength * (1 - p)))
-        return float(prior + np.clip(new - np.clip(prior, -30, 30), -MOST_MOVE, MOST_MOVE))
+    def _learned(self, prior: float, counts: list[tuple[float, float]]) -> float:
+        """Log odds after the counts (yes, no) of ever finer features, each starting from what the one before says."""
+        odds = float(prior)
+        for yes, no in counts:
+            p = 1 / (1 + np.exp(-np.clip(odds, -8, 8)))
+            moved = np.log((yes + self.strength * p) / (no + self.strength * (1 - p)))
+            odds += float(moved - np.log(p / (1 - p)))
+        return odds
 
     def odds(self, key: str) -> float:
         """Log odds of content."""
         if key not in self._u:
-            self._u[key] = self._moved(_prior(*key.split("|")), *self.unary.get(key, (0, 0)))
+            self._u[key] = self._learned(_prior(*key.split("|")), [tuple(self.unary.get(k, (0, 0))) for k in _coarser(key)])
         return self._u[key]
 
     def tied(self, kind: str) -> np.ndarray:
         """psi[parent state, child state]."""
         if kind not in self._t:
             prior = _prior_tie(*kind.split("|"))
-            n = self.tie.get(kind, (0, 0, 0, 0))  # parent not: child not, child is; parent is: child not, child is
-            same = np.array([self._moved(prior, n[0], n[1]), self._moved(prior, n[3], n[2])])
+            n = [self.tie.get(k, (0, 0, 0, 0)) for k in _coarser(kind)]  # parent not: child not, child is; parent is: child not, child is
+            same = np.array([self._learned(prior, [(x[0], x[1]) for x in n]), self._learned(prior, [(x[3], x[2]) for x in n])])
             q = 1 / (1 + np.exp(-same))
             self._t[kind] = np.array([[q[0], 1 - q[0]], [1 - q[1], q[1]]])
         return self._t[kind]
@@ -275,53 +330,76 @@ class Model:
         return json.dumps([self.unary, self.tie, self.strength])
 
 
-def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Labelled pages (html, document text) -> counts (kind, key, slot). An element's label is that of its own text; an
-    element without labelled text of its own takes the majority of what is below it."""
+def page_counts(raw: str, text: str) -> tuple[int, dict[tuple[str, str, int], int]]:
+    """A labelled page -> its layout (a hash of its tags and hints) and counts (kind, key, slot) of all features, coarser ones too.
+    An element's label is that of its own text; one without labelled text of its own takes the majority of what is
+    below it. The page as a whole (html, body) has none."""
+    import xxhash
+
+    page, whole, lines = Page(raw), _SPACE.sub(" ", text), {_SPACE.sub(" ", x).strip() for x in text.split("\n")}
+    n = len(page.parent)
+    yes, no = [0] * n, [0] * n
+    for owner, pieces in page.blocks:
+        t = clean(pieces)
+        if len(t) >= LEAST_LABEL:
+            yes[owner] += len(t) * (t in lines)
+            no[owner] += len(t) * (t not in whole)
+    for i in range(n - 1, 0, -1):
+        yes[page.parent[i]] += yes[i]
+        no[page.parent[i]] += no[i]
+    label = [y > x for y, x in zip(yes, no, strict=True)]
     rows: dict[tuple[str, str, int], int] = {}
+    keys = node_keys(page)
+    for i, (key, edge) in enumerate(keys):
+        if (yes[i] or no[i]) and page.tag[i] not in ("#root", "html", "body"):
+            for k in _coarser(key):
+                rows["unary", k, int(label[i])] = rows.get(("unary", k, int(label[i])), 0) + 1
+            for k in _coarser(edge) if page.tag[page.parent[i]] not in ("#root", "html", "body") else ():
+                slot = 2 * label[page.parent[i]] + label[i]
+                rows["tie", k, slot] = rows.get(("tie", k, slot), 0) + 1
+    return xxhash.xxh64_intdigest(" ".join(sorted({e for _, e in keys}))) >> 1, rows
+
+
+def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows: dict[tuple[str, str, int, int], int] = {}
     for b in each_batch(batches, 100):
         for raw, text in zip(strings(b, "html"), strings(b, "text"), strict=True):
-            page, whole, lines = Page(raw), _SPACE.sub(" ", text), {_SPACE.sub(" ", x).strip() for x in text.split("\n")}
-            n = len(page.parent)
-            yes, no = [0] * n, [0] * n
-            for owner, pieces in page.blocks:
-                t = clean(pieces)
-                if len(t) >= LEAST_LABEL:
-                    yes[owner] += len(t) * (t in lines)
-                    no[owner] += len(t) * (t not in whole)
-            for i in range(n - 1, 0, -1):
-                yes[page.parent[i]] += yes[i]
-                no[page.parent[i]] += no[i]
-            label = [y > x for y, x in zip(yes, no, strict=True)]
-            for i, (key, edge) in enumerate(node_keys(page)):
-                if yes[i] or no[i]:
-                    rows["unary", key, int(label[i])] = rows.get(("unary", key, int(label[i])), 0) + 1
-                    if i:
-                        slot = 2 * label[page.parent[i]] + label[i]
-                        rows["tie", edge, slot] = rows.get(("tie", edge, slot), 0) + 1
-    names = ["kind", "key", "slot", "n"]
-    columns = list(zip(*((*k, v) for k, v in rows.items()), strict=True)) or [[]] * 4
-    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], names)
+            layout, found = page_counts(raw, text)
+            for k, v in found.items():
+                rows[*k, layout] = rows.get((*k, layout), 0) + v
+    names = ["kind", "key", "slot", "layout", "n"]
+    columns = list(zip(*((*k, v) for k, v in rows.items()), strict=True)) or [[]] * 5
+    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names)
+
+
+def model_of(rows: Iterable[tuple[str, str, int, float]]) -> Model:
+    """(kind, key, slot, layouts) -> the model."""
+    unary: dict[str, list[float]] = {}
+    tie: dict[str, list[float]] = {}
+    for kind, key, slot, n in rows:
+        if kind == "unary":
+            unary.setdefault(key, [0, 0])[1 - slot] += n
+        else:
+            tie.setdefault(key, [0, 0, 0, 0])[slot] += n
+    return Model(unary, tie)
 
 
 def fit(pages: DataFrame, docs: DataFrame) -> Model:
     """pages (page_id, url, html) whose url path holds a document's number, docs (doc_id, text) -> the model. Potentials
     are counts of at most MOST_PAGES pages, chosen before any html is read (of one page_id or doc_id one row counts); the
-    counts sent to the driver are one row per feature key."""
+    counts sent to the driver are one row per feature key. Of a layout each feature has weight one, shared by its labels."""
     number = F.try_to_number(F.regexp_extract("url", "/([0-9]{1,12})(?:[/?#]|$)", 1), F.lit("999999999999")).cast("long")
     named = pages.where("html is not null and page_id is not null").select("page_id", number.alias("doc_id")).where("doc_id is not null")
     some = stage(least_by_hash(named, "page_id", MOST_PAGES).dropDuplicates(["page_id"]), "labelled-pages")
     chosen = pages.where("html is not null").select("page_id", "html").join(F.broadcast(some), "page_id").dropDuplicates(["page_id"])
     texts = docs.select("doc_id", "text").join(F.broadcast(some.select("doc_id").distinct()), "doc_id").dropDuplicates(["doc_id"])
-    found = chosen.join(texts, "doc_id").select("html", "text").mapInArrow(_counts, "kind string, key string, slot int, n long").groupBy("kind", "key", "slot").agg(F.sum("n").alias("n"))
-    unary: dict[str, list[float]] = {}
-    tie: dict[str, list[float]] = {}
-    for r in found.collect():
-        if r["kind"] == "unary":
-            unary.setdefault(r["key"], [0, 0])[1 - r["slot"]] += r["n"]
-        else:
-            tie.setdefault(r["key"], [0, 0, 0, 0])[r["slot"]] += r["n"]
-    return Model(unary, tie)
+    found = chosen.join(texts, "doc_id").select("html", "text").mapInArrow(_counts, "kind string, key string, slot int, layout long, n long")
+    each = found.groupBy("kind", "key", "layout", "slot").agg(F.sum("n").alias("n"))
+    of = each.groupBy("kind", "key", "layout").agg(F.sum("n").alias("all"), F.collect_list(F.struct("slot", "n")).alias("slots"))
+    shares = of.select("kind", "key", "all", F.explode("slots").alias("s")).groupBy("kind", "key", "s.slot").agg(F.sum(F.col("s.n") / F.col("all")).alias("n"))
+    model = model_of((r["kind"], r["key"], r["slot"], r["n"]) for r in shares.collect())
+    release(some)
+    return model
 
 
 def extract(pages: DataFrame, model: Model, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

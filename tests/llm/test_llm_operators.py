@@ -406,6 +406,23 @@ LAYOUTS = {
 }
 
 
+SAID = "The text of the paragraph goes on for quite a while and says what it has to say. "
+LAYOUTS |= {
+    # names of parts of a text that are names of page parts elsewhere
+    f"<body><article><h1>Paper</h1><section id='methods'><h2>Methods</h2><p>{SAID}</p></section><section id='discussion'><h2>Discussion</h2><p>{SAID * 2}</p></section></article></body>": f"Paper\n\nMethods\n\n{SAID.strip()}\n\nDiscussion\n\n{(SAID * 2).strip()}",
+    f"<body><article><h1>Paper</h1><p>{SAID}</p><section><h2>Discussion</h2><p>{SAID * 2}</p></section></article></body>": f"Paper\n\n{SAID.strip()}\n\nDiscussion\n\n{(SAID * 2).strip()}",
+    f"<article><p>{SAID}</p><section class='side-effects'><h2>Side effects</h2><p>Headache and nausea.</p></section></article>": f"{SAID.strip()}\n\nSide effects\n\nHeadache and nausea.",
+    f"<article><p>{SAID}</p><p class='alert alert-info'>Take care with this step.</p><p>More.</p></article>": f"{SAID.strip()}\n\nTake care with this step.\n\nMore.",
+    f"<article><p>{SAID}</p><p class='share-price'>It closed at 12.</p></article>": f"{SAID.strip()}\n\nIt closed at 12.",
+    f"<article><p>{SAID}</p><table class='comment-table'><tr><td>a</td><td>note</td></tr></table></article>": f"{SAID.strip()}\n\na\n\nnote",
+    f"<main><h2 id='search'>Search</h2><p>{SAID}</p><h2 id='comments'>Comments on the law</h2><p>{SAID}</p></main>": f"Search\n\n{SAID.strip()}\n\nComments on the law\n\n{SAID.strip()}",
+    # no names at all: a site name, a menu of links and an imprint around the text
+    f"<body><div>My Site</div><ul><li><a href=/>Home</a><li><a href=/b>Blog</a></ul><div><h1>Title of the page</h1><p>{SAID * 2}</p><p>{SAID * 3}</p></div><div>Imprint</div></body>": f"Title of the page\n\n{(SAID * 2).strip()}\n\n{(SAID * 3).strip()}",
+    # an aside of many paragraphs
+    f"<body><article><p>Short.</p></article><aside>{f'<p>{SAID}</p>' * 20}</aside></body>": "Short.",
+}
+
+
 @pytest.fixture(scope="module")
 def trained(spark, sf_dir):
     return html_extract.fit(table(spark, sf_dir, "pages"), documents(spark, sf_dir))
@@ -417,6 +434,39 @@ def test_html_layouts(trained, page):
         assert model.texts([html_extract.Page(page)]) == [LAYOUTS[page]]
 
 
+def made_layouts(draw):
+    """(html, document) of sites of different make: a box without a telling name holds long text that is not of the article,
+    and figures' captions are of the article."""
+    for k in range(16):
+        frame, box = ("div", "section", "span", "main")[k % 4], ("center", "fieldset")[k // 4 % 2]
+        own = [f"{draw.random()} " + SAID * draw.randrange(1, 4) for _ in range(3)]
+        other = f"{draw.random()} " + "Words that stand on every page of the site and belong to none of its texts. " * 2
+        caption = f"{draw.random()} a view of it that is long enough"
+        parts = [f"<p>{own[0]}</p>", f"<{box}>{other}</{box}>", f"<figure><figcaption>{caption}</figcaption></figure>", f"<p>{own[1]}</p>", f"<p>{own[2]}</p>"]
+        yield f"<body><{frame} class='x{k} {('', 'content', 'story', 'entry')[k // 4]}'>{''.join(parts)}</{frame}></body>", "\n".join([own[0], caption, own[1], own[2]])
+
+
+def test_training_helps_on_layouts_that_were_not_seen():
+    made = list(made_layouts(random.Random(4)))
+    learned, left = made[:8], made[8:]  # other hints, the same boxes
+    each = {}
+    for raw, text in learned:
+        layout, found = html_extract.page_counts(raw, text)
+        for (kind, key, slot), n in found.items():
+            each.setdefault((kind, key, layout), {})[slot] = n
+    model = html_extract.model_of((kind, key, slot, n / sum(slots.values())) for (kind, key, _), slots in each.items() for slot, n in slots.items())
+    right = lambda m: sum(got == "\n\n".join(x.strip() for x in text.split("\n")) for (_, text), got in zip(left, m.texts([html_extract.Page(raw) for raw, _ in left]), strict=True))
+    assert right(html_extract.Model({}, {})) == 0 and right(model) == len(left)
+
+
+def test_deep_markup_is_read_in_one_go():
+    import time
+
+    began = time.process_time()
+    page = html_extract.Page("<b>" * 20_000 + "x" + "<i>y</i>" * 20_000 + "</u></p>" * 20_000)
+    assert time.process_time() - began < 5 and html_extract.clean(page.blocks[0][1]).startswith("xyy")
+
+
 def test_messages_equal_enumeration():
     page = html_extract.Page("<body><article><p>some text of the article</p><p>more</p></article><nav>menu</nav></body>")
     model = html_extract.Model({}, {})
