@@ -4,9 +4,10 @@ The lexicon is learned from labelled documents: whole words, and stems of 4 to 8
 label 1 (a lower bound of their log odds, copies of one text weighing as one). A word meets the lexicon by walking the
 trie together with an automaton of at most one edit (terms of five letters and more; shorter terms and stems exactly);
 the product is determinised as words ask for it. Chunks are walked whole as well, with the digits and marks inside them
-("idi0t"). A hit by one edit counts like an exact one, but less if labelled clean rows hold the word, or if they hold
-many rare words that are as near to its term. A hit counts less where its window of words quotes or reports, more where
-it addresses someone; the sum of a document goes through a logistic curve fitted on the same rows.
+("idi0t"). A hit by one edit counts by what labelled rows without exact hits show of words near to its term: like an exact one if
+no clean row holds such a word, less the more clean rows do against toxic ones; of the near hits of one term the strongest counts,
+once a document. A hit counts less where its window of words quotes or reports, more where it addresses someone; the sum
+of a document goes through a logistic curve fitted on the same rows.
 
 Only text is an input of a score. Null and empty texts get the score of a document without hits; repeated rows get equal
 scores; extra columns are dropped; without any labelled row the lexicon is empty and all scores are one low constant. Of
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, each_batch, kept_in_worker, least_by_hash, stage, strings, table
+from .common import documents, each_batch, kept_in_worker, least_by_hash, release, stage, strings, table
 
 #: Bounds of the labelled sample that the lexicon and the curve are learned from: rows of label 1 and of label 0.
 MOST_TOXIC, MOST_CLEAN = 4_000, 6_000
@@ -142,14 +143,14 @@ def quotations(text: str) -> set[int]:
 class Scorer:
     """Sums of hits of texts. Words seen before are looked up, not walked; that memory is bounded."""
 
-    def __init__(self, terms: list[str], seen: dict[str, float] | None = None, rare: dict[str, float] | None = None):
-        """seen: clean rows that hold a word near to a term; rare: for a term, the words near to it that one clean row holds."""
-        self.seen, self.rare = seen or {}, rare or {}
+    def __init__(self, terms: list[str], seen: dict[str, float] | None = None, around: dict[str, float] | None = None):
+        """seen: clean rows that hold a word near to a term; around: the weight of near hits of a term, if labelled rows tell."""
+        self.seen, self.around = seen or {}, around or {}
         whole = [t for t in terms if not t.endswith("*")]
         self.exact = LevenshteinTrie(whole, 0, [t[:-1] for t in terms if t.endswith("*")])
         self.near = LevenshteinTrie([t for t in whole if len(t) >= 5], 1)
         self.known: set[str] = set()
-        self.hits: dict[str, tuple[int, float]] = {}
+        self.hits: dict[str, tuple[str, float]] = {}
 
     def near_hits(self, chunk: str) -> list[tuple[str, str]] | None:
         """(word, term) of the words of a chunk that are one edit from a term; None if one of them is in the lexicon."""
@@ -162,12 +163,12 @@ class Scorer:
                 words.append(whole)
         return [(w, hit[0]) for w in words if len(w) >= 4 and (hit := self.near.find(w))]
 
-    def weigh(self, chunk: str) -> tuple[int, float] | None:
-        """(edits between a word of the chunk and the lexicon, weight); None for no hit."""
+    def weigh(self, chunk: str) -> tuple[str, float] | None:
+        """(the term that a word of the chunk is near to, or nothing for a word of the lexicon; weight); None for no hit."""
         near = self.near_hits(chunk)
         if near is None:
-            return 0, 1.0
-        return (1, max(1 / (1 + self.seen.get(w, 0.0) + self.rare.get(t, 0.0)) for w, t in near)) if near else None
+            return "", 1.0
+        return max(((t, self.around.get(t, 1.0) / (1 + self.seen.get(w, 0.0))) for w, t in near), key=lambda x: (x[1], x[0])) if near else None
 
     def score(self, text: str) -> tuple[float, float, int, int]:
         """(sum of exact hits, sum of near hits, hits, hits in quotation)."""
@@ -186,7 +187,8 @@ class Scorer:
                     self.hits[w] = hit
         if self.hits.keys().isdisjoint(every):
             return 0.0, 0.0, 0, 0
-        total, n, quoted, inside = [0.0, 0.0], 0, 0, quotations(text)
+        total, n, quoted, inside = 0.0, 0, 0, quotations(text)
+        near: dict[str, float] = {}
         for i, w in enumerate(words):
             if w in self.hits:
                 v = 1.0
@@ -197,9 +199,12 @@ class Scorer:
                     v *= 0.35
                 elif not ADDRESS.isdisjoint(around):
                     v *= 1.25
-                edits, weight = self.hits[w]
-                total[edits] += v * weight
-        return *total, n, quoted
+                term, weight = self.hits[w]
+                if term:
+                    near[term] = max(near.get(term, 0.0), v * weight)
+                else:
+                    total += v
+        return total, sum(near.values()), n, quoted
 
 
 def _terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,9 +242,9 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(keys[0].unionAll(keys[1])), "row", "left_semi")
 
 
-def learn_terms(rows: DataFrame) -> tuple[list[str], DataFrame]:
-    """The lexicon, and rows (row, w) of the weights that make copies count as one. A term is in at least 1.2 percent of
-    the weighted rows of label 1, so the lexicon has at most about 83 times the words of an average one of them."""
+def learn_terms(rows: DataFrame) -> tuple[dict[str, float], DataFrame]:
+    """The lexicon with the lower bound of each term's log odds, and rows (row, w) of the weights that make copies count as
+    one. The bound alone decides, however small the share of rows with a term; it asks for several."""
     each = stage(rows.mapInArrow(_terms, "row long, toxic int, keys array<long>, terms array<string>, examples array<string>"), "terms")
     weighted = each
     for i in range(3):  # copies of a text share keys; the counts are at most as many as the sample has rows
@@ -252,42 +257,52 @@ def learn_terms(rows: DataFrame) -> tuple[list[str], DataFrame]:
     pairs = weighted.select("toxic", "w", F.explode(F.arrays_zip("terms", "examples")).alias("x")).select("toxic", "w", F.col("x.terms").alias("term"), F.col("x.examples").alias("example"))
     counted = pairs.groupBy("term").agg(F.sum(F.col("w") * F.col("toxic")).alias("a"), F.sum(F.col("w") * (1 - F.col("toxic"))).alias("b"), F.approx_count_distinct("example").alias("endings"))
     odds = F.log((F.col("a") + 0.5) / (p + 1)) - F.log((F.col("b") + 0.5) / (n + 1)) - F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    good = counted.where((F.col("a") >= max(3.0, 0.012 * p)) & (odds >= 2.4) & (F.col("b") <= 0.02 * F.col("a")) & (~F.col("term").endswith("*") | (F.col("endings") >= 4)))
-    best = [r["term"] for r in good.orderBy(odds.desc(), F.length("term").desc(), "term").collect()]
+    good = counted.where((F.col("a") >= 3.0) & (odds >= 2.4) & (F.col("b") <= 0.02 * F.col("a")) & (~F.col("term").endswith("*") | (F.col("endings") >= 4)))
+    found = {r["term"]: r["odds"] for r in good.withColumn("odds", odds).orderBy(F.desc("odds"), F.length("term").desc(), "term").collect()}
+    best = list(found)
     kept: list[str] = []
     for s in (t[:-1] for t in best if t.endswith("*")):  # of stems that begin one another, the one of best odds
         if not any(s.startswith(k) or k.startswith(s) for k in kept):
             kept.append(s)
-    return [t for t in best if not t.endswith("*") and not any(t.startswith(k) for k in kept)] + [k + "*" for k in kept], weights
+    chosen = [t for t in best if not t.endswith("*") and not any(t.startswith(k) for k in kept)] + [k + "*" for k in kept]
+    return {t: found[t] for t in chosen}, weights
 
 
 def _scorer(spec: str) -> Scorer:
     return kept_in_worker("toxicity/scorer", spec, lambda: Scorer(*json.loads(spec)))
 
 
-def learn_near(rows: DataFrame, weights: DataFrame, terms: list[str]) -> tuple[dict[str, float], dict[str, float]]:
-    """(seen, rare) of Scorer, from rows (row, text, toxic) of label 0: a count grouped by word and term."""
-    spec = json.dumps([terms])
+def learn_near(rows: DataFrame, weights: DataFrame, odds: dict[str, float]) -> tuple[dict[str, float], dict[str, float]]:
+    """(seen, around) of Scorer, from labelled rows (row, text, toxic) that hold no word of the lexicon, where near hits decide:
+    counts grouped by word and by term. Words that several clean rows hold speak for themselves; by what is left, near
+    hits of a term weigh (toxic rows with one + 1) / (clean rows with one + 1),
+    one at most, times the odds of the term against those of the surest one."""
+    spec = json.dumps([list(odds)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in each_batch(batches, 200):
             scorer = _scorer(spec)
-            near = [sorted({x for w in set(t.lower().split()) for x in scorer.near_hits(w) or ()}) for t in strings(b)]
-            ids = b.column("row").take(pa.array([i for i, x in enumerate(near) for _ in x], pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array([h[k] for x in near for h in x], pa.string()) for k in (0, 1))], ["row", "word", "term"])
-
-    found = rows.where("toxic = 0").select("row", "text").mapInArrow(run, "row long, word string, term string")
-    counted = found.join(F.broadcast(weights), "row").groupBy("word", "term").agg(F.sum("w").alias("n")).collect()
-    seen, rare = {r["word"]: r["n"] for r in counted}, {}
-    for r in counted:
-        if r["n"] <= 1:
-            rare[r["term"]] = rare.get(r["term"], 0.0) + 1.0
-    return seen, rare
-
-
-def hit_sums(docs: DataFrame, terms: list[str], seen: dict[str, float] | None = None, rare: dict[str, float] | None = None) -> DataFrame:
+            every = [[scorer.near_hits(w) for w in set(t.lower().split())] for t in strings(b)]
+            near = [[] if any(x is None for x in hits) else sorted({x for own in hits for x in own}) for hits in every]
+            take = pa.array([i for i, x in enumerate(near) for _ in x], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("row").take(take), b.column("toxic").take(take), *(pa.array([h[k] for x in near for h in x], pa.string()) for k in (0, 1))], ["row", "toxic", "word", "term"])
+
+    found = stage(rows.select("row", "text", "toxic").mapInArrow(run, "row long, toxic int, word string, term string").join(F.broadcast(weights), "row"), "near")
+    of_words = stage(found.where("toxic = 0").select("row", "word", "w").distinct().groupBy("word").agg(F.sum("w").alias("n")), "near-words")
+    by_kind = lambda y: F.sum(F.when(F.col("toxic") == y, F.col("w")).otherwise(0.0))
+    common = of_words.where("n > 2").select("word")  # told apart by themselves
+    of_terms = found.join(common, "word", "left_anti").select("row", "term", "toxic", "w").distinct().groupBy("term").agg(by_kind(1).alias("a"), by_kind(0).alias("b"))
+    seen = {r["word"]: r["n"] for r in of_words.collect()}
+    shares = {r["term"]: min(1.0, (r["a"] + 1) / (r["b"] + 1)) for r in of_terms.collect()}
+    around = {t: shares.get(t, 1.0) * x / max(odds.values()) for t, x in odds.items()}
+    release(found)
+    release(of_words)
+    return seen, around
+
+
+def hit_sums(docs: DataFrame, terms: list[str], seen: dict[str, float] | None = None, around: dict[str, float] | None = None) -> DataFrame:
     """(doc_id, hits, near, n_hits, n_quoted) of each whole text."""
-    spec = json.dumps([terms, seen, rare])
+    spec = json.dumps([terms, seen, around])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in each_batch(batches, 1000):
@@ -314,8 +329,8 @@ def fit_curve(hits: np.ndarray, marks: np.ndarray, weights: np.ndarray, ridge: f
 
 
 class Model:
-    def __init__(self, terms: list[str], curve: tuple[float, float], seen: dict[str, float] | None = None, rare: dict[str, float] | None = None):
-        self.terms, self.curve, self.seen, self.rare = terms, curve, seen or {}, rare or {}
+    def __init__(self, terms: list[str], curve: tuple[float, float], seen: dict[str, float] | None = None, around: dict[str, float] | None = None):
+        self.terms, self.curve, self.seen, self.around = terms, curve, seen or {}, around or {}
 
     def score(self, hits: Column, near: Column) -> Column:
         return 1 / (1 + F.exp(-(F.lit(self.curve[0]) + F.lit(self.curve[1]) * F.log1p(hits + near))))
@@ -326,24 +341,25 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rows = stage(sample(docs, labels), "toxicity-rows")
     if rows.agg(F.max("toxic")).first()[0] != 1:
         return Model([], (-3.0, 8.0))
-    terms, weights = learn_terms(rows)
+    odds, weights = learn_terms(rows)
+    terms = list(odds)
     weights = stage(weights, "toxicity-weights")
-    seen, rare = learn_near(rows, weights, terms)
-    sums = hit_sums(rows.withColumnRenamed("row", "doc_id"), terms, seen, rare).withColumnRenamed("doc_id", "row")
+    seen, around = learn_near(rows, weights, odds)
+    sums = hit_sums(rows.withColumnRenamed("row", "doc_id"), terms, seen, around).withColumnRenamed("doc_id", "row")
     found = sums.join(F.broadcast(rows.select("row", "toxic")), "row").join(F.broadcast(weights), "row").select("hits", "near", "toxic", "w").collect()
     x = np.array([(r["hits"] + r["near"], r["toxic"], r["w"]) for r in found], float).reshape(-1, 3)
-    return Model(terms, fit_curve(*x.T), seen, rare)
+    return Model(terms, fit_curve(*x.T), seen, around)
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, predicted, n_hits, n_quoted)."""
-    return hit_sums(docs, model.terms, model.seen, model.rare).withColumn("score", model.score(F.col("hits"), F.col("near"))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return hit_sums(docs, model.terms, model.seen, model.around).withColumn("score", model.score(F.col("hits"), F.col("near"))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """docs, all columns and rows as they are, without the documents whose score reaches the threshold. Rows pass through
     whole: no join, no shuffle."""
-    spec, (start, slope) = json.dumps([model.terms, model.seen, model.rare]), model.curve
+    spec, (start, slope) = json.dumps([model.terms, model.seen, model.around]), model.curve
     limit = math.log(THRESHOLD / (1 - THRESHOLD))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -194,6 +194,17 @@ def test_no_cap_on_terms(spark):
     assert toxicity.Scorer(model.terms).score(" ".join(terms))[2] == 1500
 
 
+def test_a_rare_insult_is_learned(spark):
+    """One in half a percent of the toxic rows; words that are as rare but of either label are not."""
+    draw = random.Random(9)
+    word = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    rare = [word() for _ in range(50)]
+    say = lambda more: " ".join([*(word() for _ in range(6)), draw.choice(rare), *more])
+    rows = [(k, say(["vile"] if k >= 20 else ["zonkerish"]), 1) for k in range(4000)] + [(4000 + k, say([]), 0) for k in range(6000)]
+    odds, _ = toxicity.learn_terms(spark.createDataFrame(rows, "row long, text string, toxic int"))
+    assert "vile" in odds and "zonkerish" in odds and not set(rare) & set(odds)
+
+
 def test_misspelled_insults(spark):
     """One misspelled insult is enough, also with digits and marks inside; near words of clean rows are not."""
     draw = random.Random(4)
