@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -34,10 +35,25 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[0]
 
 
-def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+_scratch: list[str] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that stage() writes inside the block are deleted at its end, but for those it is told to keep."""
+    folder = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    _scratch.append(folder)
+    try:
+        yield
+    finally:
+        _scratch.remove(folder)
+        _delete(spark, folder)
+
+
+def stage(df: DataFrame, name: str, codec: str = "zstd", keep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and lost executors lose nothing of it."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark) if keep or not _scratch else _scratch[-1]}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
@@ -46,9 +62,12 @@ def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 def release(df: DataFrame) -> None:
     """Delete the table that stage() wrote for df: nothing may read it any more, neither df nor what was made from it."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._staged_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df._staged_at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,11 +124,16 @@ def each_batch(batches: Iterable[pa.RecordBatch], rows: int = 2000, most: int =
 _held: dict[str, tuple] = {}
 
 
+def let_go(operator: str) -> None:
+    """Drops what other operators keep in this Python worker."""
+    if any(s.split("/")[0] != operator for s in _held):
+        _held.clear()
+
+
 def kept_in_worker(slot: str, key: object, make: Callable[[], object]) -> object:
     """What a Python worker keeps from task to task (workers are reused): one thing a slot, made anew for another key.
     Slots are named operator/thing; when another operator starts, the things of the one before are let go."""
-    if any(s.split("/")[0] != slot.split("/")[0] for s in _held):
-        _held.clear()
+    let_go(slot.split("/")[0])
     if slot not in _held or _held[slot][0] != key:
         _held.pop(slot, None)
         _held[slot] = key, make()

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingle_join
-from .common import documents, each_batch, join_small, stage, strings
+from .common import documents, each_batch, join_small, let_go, stage, strings
 from .components import components
 
 RADIUS = 3
@@ -56,6 +56,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
     """(doc_id, fp long): the SimHash of each whole text over `width`-word shingles, repeats included."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go("simhash")
         for b in each_batch(batches, 100, 1 << 20):
             each = [hashes(t, width) for t in strings(b)]
             sizes = np.array([len(x) for x in each], np.int64)

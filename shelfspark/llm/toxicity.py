@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, each_batch, kept_in_worker, least_by_hash, release, stage, strings, table
+from .common import documents, each_batch, kept_in_worker, least_by_hash, let_go, release, stage, strings, table
 
 #: Bounds of the labelled sample that the lexicon and the curve are learned from: rows of label 1 and of label 0.
 MOST_TOXIC, MOST_CLEAN = 4_000, 6_000
@@ -212,6 +212,7 @@ def _terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     (near copies share most of them)."""
     import xxhash
 
+    let_go("toxicity")
     for b in each_batch(batches, 200):
         out: list[list] = [[], [], []]
         for text in strings(b):

@@ -205,6 +205,14 @@ def test_a_rare_insult_is_learned(spark):
     assert "vile" in odds and "zonkerish" in odds and not set(rare) & set(odds)
 
 
+def test_shards_do_not_depend_on_partitions(spark):
+    rows = [(k if k < 900 else 5 if k < 950 else None, f"t{k % 7}") for k in range(1000)]  # repeated ids, ids that are missing
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("__row", "__bucket", "shard")})
+    found = [sorted((repr(r["doc_id"]), r["text"], r["shard"], r["slot"]) for r in sharding.shard(df.repartition(n), ["doc_id", "text"]).collect()) for n in (1, 7)]
+    assert found[0] == found[1] and len(found[0]) == 1000
+    assert sorted({(s, k) for _, _, s, k in found[0]}) == [(s, k) for s in range(40) for k in range(25)]
+
+
 def test_misspelled_insults(spark):
     """One misspelled insult is enough, also with digits and marks inside; near words of clean rows are not."""
     draw = random.Random(4)
