@@ -88,7 +88,7 @@ def _common(texts: DataFrame, width: int) -> np.ndarray:
 
     some = texts.where(F.pmod("node", F.lit(SAMPLE)) == 0).dropDuplicates(["node"]).select("text").mapInArrow(run, "key long")
     often = some.groupBy("key").count().where(F.col("count") >= COMMON_FROM).orderBy(F.desc("count"), "key").limit(MOST_COMMON)
-    return np.sort(np.array([r["key"] for r in often.collect()], np.int64).view(np.uint64))
+    return np.sort(often.select("key").toArrow().column(0).to_numpy().view(np.uint64))
 
 
 def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -192,31 +192,44 @@ def _across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(us, vs)
 
 
+#: Pairs of one text that a task verifies against it.
+PER_CENTRE = 2_000
+
+
 def verified(pairs: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The pairs (u, v), each given once in a table, that are similar, counted from their texts; as a table."""
+    """The pairs (u, v), each given once in a table, that are similar, counted from their texts; as a table.
+
+    The text of u is sent once for PER_CENTRE pairs, in front of the texts that are compared with it."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
-        held = 0
+        held, own = 0, np.zeros(0, np.uint64)
         for b in each_batch(batches, 100):
-            u, v = b.column("u").to_pylist(), b.column("v").to_pylist()
-            good = []
-            for i, j, a, c in zip(u, v, strings(b, "a"), strings(b, "b"), strict=True):
-                for node, text in ((i, a), (j, c)):
-                    if node not in sets:
-                        if held > 2_000_000:
-                            sets, held = {k: sets[k] for k in (i, j) if k in sets}, 0
-                        sets[node] = shingle_set(text, width)
-                        held += len(sets[node])
-                good.append(similar(sets[i], sets[j]))
-            yield b.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
-
+            us, vs = [], []
+            for u, v, text in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strings(b), strict=True):
+                node = u if v is None else v
+                if node not in sets:
+                    if held > 2_000_000:
+                        sets, held = {}, 0
+                    sets[node] = shingle_set(text, width)
+                    held += len(sets[node])
+                if v is None:
+                    own = sets[node]
+                elif similar(own, sets[node]):
+                    us.append(u)
+                    vs.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ends = stage(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "candidates")
     own = join_small(texts, ends, ["node"], "left_semi", MOST_NODES).groupBy("node").agg(F.first("text").alias("text"))
     own = stage(own, "candidate-texts")
-    first = pairs.join(own.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
-    both = first.join(own.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b")
-    good = stage(both.mapInArrow(run, "u long, v long"), "links")
+    parts = pairs.groupBy("u").agg(F.ceil(F.count("*") / PER_CENTRE).alias("parts"))
+    part = F.pmod(F.xxhash64("v"), F.col("parts")).alias("part")
+    others = pairs.join(parts, "u").select("u", part, "v").join(own.select(F.col("node").alias("v"), "text"), "v").select("u", "part", "v", "text")
+    centres = parts.select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(own.select(F.col("node").alias("u"), "text"), "u").select("u", "part", F.lit(None).cast("long").alias("v"), "text")
+    dealt = others.unionByName(centres).repartition(n, "u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first())
+    good = stage(dealt.select("u", "v", "text").mapInArrow(run, "u long, v long"), "links")
     for used in (ends, own):
         release(used)
     return good

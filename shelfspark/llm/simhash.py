@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingle_join
-from .common import documents, each_batch, join_small, let_go, stage, strings
+from .common import documents, each_batch, join_small, let_go, release, stage, strings
 from .components import components
 
 RADIUS = 3
@@ -200,9 +200,18 @@ def similar_texts(docs: DataFrame, width: int = shingle_join.WIDTH, id_col: str
     Ball hashing comes first: each text is a candidate of the least text of its component of fingerprints over the same
     shingles, and verified on the sets, which connects groups of near copies by one pair a text.
     Pairs near 0.8 mostly differ in more than RADIUS bits; the exact join of shingle_join finds them, and tries no pair that
-    is connected already. node is the text's hash."""
+    is connected already. node is the text's hash; where different texts have one (told by length and crc32), the others of
+    a node stay alone."""
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
+    told = texts.select("node", F.struct(F.length("text").alias("n"), F.crc32(F.col("text").cast("binary")).alias("crc")).alias("other"))
+    shared = stage(told.groupBy("node").agg(F.min("other").alias("own"), F.max("other").alias("last")).where("own <> last").select("node", "own"), "shared-hashes")
+    if not shared.isEmpty():
+        marked = join_small(texts.withColumn("other", F.struct(F.length("text").alias("n"), F.crc32(F.col("text").cast("binary")).alias("crc"))), shared, ["node"])
+        alone = F.coalesce(F.col("other") != F.col("own"), F.lit(False))
+        first = similar_texts(marked.where(~alone).select("id", "text"), width, "id")
+        return first.unionByName(marked.where(alone).select(F.col("id").alias("doc_id"), "node", F.col("id").alias("component_id")))
     printed = fingerprints(texts.select(F.struct("id", "node").alias("doc_id"), "text"), width, hashes=shingle_join.shingle_hashes)
+    release(shared)
     rows = stage(printed.select(F.col("doc_id.id").alias("doc_id"), F.col("doc_id.node").alias("node"), "fp"), "fingerprints")
     balls = stage(rows.groupBy("fp").agg(F.min("node").alias("least")), "distinct-fingerprints")
     met = components(links(balls)).select(F.col("node").alias("fp"), "root")

@@ -15,22 +15,27 @@ def score_by_hand(text, model, seen_chunks):
     def weigh(chunk):
         words = [chunk] if chunk.isalpha() else toxicity._LETTERS.findall(chunk)
         if any(w in whole or w.startswith(stems) for w in words if stems or w in whole):
-            return 1.0
+            return 1.0, ""
         trimmed = toxicity._TRIM.sub("", chunk)
         near = []
         for w in {*words, *([trimmed] if words else [])}:
             close = [(e, t) for t in whole if len(t) >= 5 and abs(len(t) - len(w)) <= 1 and (e := edits(w, t)) <= 1] if len(w) >= 4 else []
-            near += [1 / (1 + model.seen.get(w, 0) + model.rare.get(min(close)[1], 0))] if close else []
-        return max(near, default=0.0)
+            near += [(model.around.get(min(close)[1], 1.0) / (1 + model.seen.get(w, 0)), min(close)[1])] if close else []
+        return max(near, default=None)
 
-    words, total, inside = text.lower().split(), 0.0, toxicity.quotations(text)
+    words, total, near, inside = text.lower().split(), 0.0, {}, toxicity.quotations(text)
     for i, w in enumerate(words):
         if w not in seen_chunks:
             seen_chunks[w] = weigh(w)
         if seen_chunks[w]:
+            weight, term = seen_chunks[w]
             quoted = i in inside or len(toxicity._QUOTES.findall(w)) >= 2 or toxicity.REPORTING & set(words[max(0, i - 6) : i])
-            total += seen_chunks[w] * (0.35 if quoted else 1.25 if toxicity.ADDRESS & set(words[max(0, i - 6) : i + 7]) else 1.0)
-    return 1 / (1 + math.exp(-(model.curve[0] + model.curve[1] * math.log1p(total))))
+            weight *= 0.35 if quoted else 1.25 if toxicity.ADDRESS & set(words[max(0, i - 6) : i + 7]) else 1.0
+            if term:
+                near[term] = max(near.get(term, 0.0), weight)
+            else:
+                total += weight
+    return 1 / (1 + math.exp(-(model.curve[0] + model.curve[1] * math.log1p(total + sum(near.values())))))
 
 
 def test_stages(spark, sf_dir, tmp_path):
