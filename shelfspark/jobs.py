@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.functions.ranks import positions
-from shelfspark.operators import clusters, competitors, completeness, content, export, fit, gaps, identity, normalize, passages, readiness, retrieval
+from shelfspark.operators import clusters, competitors, completeness, content, export, fit, gaps, identity, normalize, passages, readiness, retrieval, signature
 from shelfspark.sources import catalog
 from shelfspark.tables import Work
 from shelfspark.versions import Version, latest
@@ -72,7 +72,9 @@ def audit(spark: SparkSession, path: str, given: Answers, out: str, format: str
     done.table(fit.cluster_fit(fits), "cluster_fit")
 
     names = products.select("product_id", "name")
-    by_attribute = done.table(gaps.attribute_requests(presence, names, gaps.attribute_reasons(given.personas, criteria.drop("cluster"))), "by_attribute")
+    by_attribute = done.table(gaps.attribute_requests(presence, names, gaps.attribute_reasons(given.personas, criteria.drop("cluster")), gaps.NAMES), "by_attribute")
+    done.table(gaps.missing_names(presence, names), "by_attribute_names")
+    done.table(clusters.member_chunks(members), "member_chunks")
     by_product = done.table(gaps.product_requests(presence, names), "by_product")
     done.table(gaps.gap_headline(by_attribute, by_product, members), "headline")
     export.write_requests(by_attribute, by_product, f"{done.folder}/requests")
@@ -113,15 +115,35 @@ def publish(spark: SparkSession, audited: str, generated: DataFrame, approvals:
     return done.commit()
 
 
-def index(spark: SparkSession, audited: str, published: str, out: str, schema_version: int = competitors.SCHEMA_VERSION) -> dict[str, DataFrame]:
-    """Texts to embed of both sides, how much of the catalog has content, and the clusters that lack content of this version."""
-    of, told = latest(spark, audited), latest(spark, published)
-    products = of["products"].join(of["members"].select("product_id", "cluster"), "product_id")
+def index(spark: SparkSession, audited: str, published: str, out: str, schema_version: int = competitors.SCHEMA_VERSION, seen: dict[str, int] | None = None) -> dict[str, DataFrame]:
+    """Texts to embed of both sides, how much of the catalog has content, and the clusters that lack content of this version.
+
+    Only products that changed since the version before (see signature) get new texts, and are listed in `changed`, so that
+    only they need new vectors; the entries of the others are taken over. seen: what was compared."""
+    of, told, before = latest(spark, audited), latest(spark, published), latest(spark, out)
+    members = of["members"].select("product_id", "cluster")
+    products = of["products"].join(members, "product_id")
+    passage = told["passages"].select("product_id", "passage")
     specs = products.select("product_id", F.posexplode("specs").alias("ord", "key", "value"))
     done = Version(spark, out)
-    passage = told["passages"].select("product_id", "passage")
-    raw, optimized = passages.raw_index_text(products, specs), passages.optimized_index_text(products, of["attributes"], passage)
-    done.table(retrieval.index_entries(products, passage, raw, optimized), "entries")
+    with Work(spark, "index") as work:
+        listed = of["attributes"].groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("ord", "attr", "value"))).alias("attributes"))
+        whole = products.join(listed, "product_id", "left").join(passage, "product_id", "left")
+        values = [F.col(c) for c in ("product_id", "position", "name", "price", "description", "attributes", "passage")] + [F.map_entries("specs").alias("specs")]
+        now = signature.tree(work, whole, values)
+        now.write(f"{done.folder}/tree")
+        nothing = signature.Tree(*(getattr(now, level).limit(0) for level in ("clusters", "parts", "leaves")))
+        was = signature.Tree(*(before[f"tree/{level}"] for level in ("clusters", "parts", "leaves"))) if "tree/leaves" in before else nothing
+        changed = done.table(signature.changes(work, was, now, seen)[1], "changed")
+    for level in ("clusters", "parts", "leaves"):
+        done.add(f"tree/{level}", "parquet", spark.read.parquet(f"{done.folder}/tree/{level}"))
+    ids = changed.select("product_id").distinct()
+    some = lambda df: df.join(ids, "product_id", "left_semi")
+    raw = passages.raw_index_text(some(products), some(specs))
+    optimized = passages.optimized_index_text(some(products), some(of["attributes"]), some(passage))
+    entries = retrieval.index_entries(some(products), some(passage), raw, optimized)
+    kept = before["entries"].join(ids.withColumnRenamed("product_id", "key"), "key", "left_anti").select(*entries.columns) if "entries" in before else entries.limit(0)
+    done.table(entries.unionByName(kept), "entries")
     has = passage.where(F.trim("passage") != "")
     done.table(retrieval.content_coverage(products, has), "coverage")
     done.table(retrieval.pending_clusters(of["members"], told["content"], schema_version), "pending")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions.joins import join_small
+from shelfspark.functions.ranks import ranks
 from shelfspark.functions.text import blank_to_null, parse_price
 
 
@@ -14,10 +15,11 @@ def competitors(members: DataFrame, n: int = 3) -> DataFrame:
 
     Exact and close to linear: the n nearest of a product lie in its own price group or in the n next distinct prices on
     either side, and of each price only the first n + 1 members can be among them. Prices are ranked over distinct
-    prices, so a hot cluster costs its distinct prices, not its rows. Products without a price come last, in order."""
+    prices, by ranges where a cluster has very many, so a hot cluster costs its distinct prices, not its rows, and no task
+    holds them all. Products without a price come last, in order, where a cluster has too few with one."""
     rows = members.select("cluster", "product_id", "member_pos", parse_price(F.col("price")).alias("p"))
     priced = rows.where("p is not null")
-    grid = priced.select("cluster", "p").distinct().withColumn("level", F.dense_rank().over(Window.partitionBy("cluster").orderBy("p")))
+    grid = ranks(priced.select("cluster", "p").distinct(), "cluster", ["p"], "level")
     first = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy("member_pos"))
     cand = priced.withColumn("__r", first(["cluster", "p"])).where(F.col("__r") <= n + 1).join(grid, ["cluster", "p"])
     cand = cand.select("cluster", "level", F.col("product_id").alias("competitor_id"), F.col("member_pos").alias("cpos"), F.col("p").alias("cp"))
@@ -25,7 +27,8 @@ def competitors(members: DataFrame, n: int = 3) -> DataFrame:
     near = target.join(cand, ["cluster", "level"]).where("product_id <> competitor_id").select("cluster", "product_id", "competitor_id", "cpos", F.abs(F.col("p") - F.col("cp")).alias("distance"))
     # the first unpriced members stand at no distance, behind all others
     loose = rows.where("p is null").withColumn("__r", first(["cluster"])).where(F.col("__r") <= n + 1).select("cluster", F.col("product_id").alias("competitor_id"), F.col("member_pos").alias("cpos"))
-    after = join_small(priced, loose, "cluster").select("cluster", "product_id", "competitor_id", "cpos", F.lit(None).cast("double").alias("distance"))
+    few = priced.groupBy("cluster").count().where(F.col("count") <= n).select("cluster")
+    after = join_small(priced.join(few, "cluster", "left_semi"), loose, "cluster").select("cluster", "product_id", "competitor_id", "cpos", F.lit(None).cast("double").alias("distance"))
     head = rows.withColumn("__r", first(["cluster"])).where(F.col("__r") <= n + 1).select("cluster", F.col("product_id").alias("competitor_id"), F.col("member_pos").alias("cpos"))
     lost = join_small(rows.where("p is null"), head, "cluster").where("product_id <> competitor_id").select("cluster", "product_id", "competitor_id", "cpos", F.lit(None).cast("double").alias("distance"))
     order = Window.partitionBy("cluster", "product_id").orderBy(F.col("distance").asc_nulls_last(), "cpos")

@@ -97,5 +97,7 @@ def jsonld_nodes(rows: DataFrame, currency: str | None = None) -> DataFrame:
 
 
 def write_requests(by_attribute: DataFrame, by_product: DataFrame, path: str) -> None:
-    for name, df in (("by_attribute", by_attribute), ("by_product", by_product)):
+    """Both work orders, the largest gaps first."""
+    worst = F.col("missing").desc()
+    for name, df in (("by_attribute", by_attribute.orderBy(worst, "cluster", "attr")), ("by_product", by_product.orderBy(worst, "cluster", "name", "product_id"))):
         df.write.option("header", True).option("escape", '"').csv(f"{path}/{name}")

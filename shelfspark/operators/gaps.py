@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfspark.functions.ranks import chunks
 from shelfspark.functions.text import blank_to_null, half_even, ordered_list
 
+#: Names of a row of a work order; the others follow in rows of missing_names.
+NAMES = 1_000
 #: Fixed text where no criterion gives a reason.
 DEFAULT_REASON = "Expected for this category by buyers and shopping agents"
 
@@ -19,18 +22,25 @@ def attribute_reasons(personas: DataFrame, criteria: DataFrame) -> DataFrame:
     return first.groupBy("cluster", "attr").agg(F.array_join(ordered_list([F.col("at")], F.col("line")), " | ").alias("reason"))
 
 
-def attribute_requests(presence: DataFrame, names: DataFrame, reasons: DataFrame | None = None) -> DataFrame:
+def missing_names(presence: DataFrame, names: DataFrame, size: int = NAMES) -> DataFrame:
+    """(cluster, attr, chunk, n, missing_products): names of the products that lack an attribute, by member position, `size` to
+    a row. Joined in the order of chunk they are the whole list, whatever its length."""
+    rows = presence.where("applies and not present").join(names, "product_id").select("cluster", "attr", "member_pos", "product_id", "name")
+    return chunks(rows, ["cluster", "attr"], ["member_pos", "product_id"], "name", ", ", size).withColumnRenamed("text", "missing_products")
+
+
+def attribute_requests(presence: DataFrame, names: DataFrame, reasons: DataFrame | None = None, first: int | None = None) -> DataFrame:
     """Per cluster and attribute with a gap: products it applies to, missing count and percentage, the reason and product
-    names. presence without the fallback; names (product_id, name)."""
+    names. presence without the fallback; names (product_id, name). first: names of the first so many products only, for
+    rows of bounded size (missing_names has all); by default all names."""
     rows = presence.where("applies").join(names, "product_id")
     lacks = ~F.col("present")
-    of = rows.groupBy("cluster", "attr").agg(
-        F.count("*").alias("applicable"), F.count_if(lacks).alias("missing"),
-        F.array_join(ordered_list([F.col("member_pos")], F.when(lacks, F.col("name"))), ", ").alias("missing_products"),
-    ).where("missing > 0")
+    listed = [] if first is not None else [F.array_join(ordered_list([F.col("member_pos")], F.when(lacks, F.col("name"))), ", ").alias("missing_products")]
+    of = rows.groupBy("cluster", "attr").agg(F.count("*").alias("applicable"), F.count_if(lacks).alias("missing"), *listed).where("missing > 0")
+    if first is not None:
+        of = of.join(missing_names(presence, names, first).where("chunk = 0").select("cluster", "attr", "missing_products"), ["cluster", "attr"], "left")
     told = of.join(reasons, ["cluster", "attr"], "left") if reasons is not None else of.withColumn("reason", F.lit(None).cast("string"))
-    out = told.select("cluster", "attr", "applicable", "missing", half_even(100.0 * F.col("missing") / F.col("applicable"), 1).alias("missing_pct"), F.coalesce("reason", F.lit(DEFAULT_REASON)).alias("reason"), "missing_products")
-    return out.orderBy(F.col("missing").desc(), "cluster", "attr")
+    return told.select("cluster", "attr", "applicable", "missing", half_even(100.0 * F.col("missing") / F.col("applicable"), 1).alias("missing_pct"), F.coalesce("reason", F.lit(DEFAULT_REASON)).alias("reason"), F.coalesce("missing_products", F.lit("")).alias("missing_products"))
 
 
 def product_requests(presence: DataFrame, names: DataFrame) -> DataFrame:
@@ -38,8 +48,7 @@ def product_requests(presence: DataFrame, names: DataFrame) -> DataFrame:
         F.count("*").alias("applicable"), F.count_if(~F.col("present")).alias("missing"),
         F.array_join(ordered_list([F.col("attr_pos")], F.when(~F.col("present"), F.col("attr"))), ", ").alias("missing_attributes"),
     ).where("missing > 0")
-    out = rows.join(names, "product_id").select("cluster", "product_id", "name", "applicable", "missing", half_even(100.0 * F.col("missing") / F.col("applicable"), 1).alias("missing_pct"), "missing_attributes")
-    return out.orderBy(F.col("missing").desc(), "cluster", "name", "product_id")
+    return rows.join(names, "product_id").select("cluster", "product_id", "name", "applicable", "missing", half_even(100.0 * F.col("missing") / F.col("applicable"), 1).alias("missing_pct"), "missing_attributes")
 
 
 def gap_headline(by_attribute: DataFrame, by_product: DataFrame, members: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfspark.operators import competitors, completeness, fit, gaps, readiness, summary
+from shelfspark.operators import competitors, completeness, export, fit, gaps, normalize, readiness, summary
+from shelfspark.tables import Work
 
 from .views import Views, with_views
 
@@ -135,6 +136,22 @@ def d2_attribute_requests(v):  # noqa: ANN001, ANN201
     return gaps.attribute_requests(v.presence(), _names(v), gaps.attribute_reasons(v.personas, v.criteria))
 
 
+@query("--CTE r AS (SELECT p.cluster, p.attr, c.name, row_number() OVER (PARTITION BY p.cluster, p.attr ORDER BY member_pos) - 1 AS r FROM presence p JOIN cat c USING (product_id) WHERE applies AND NOT present) SELECT cluster, attr, r // 50 AS chunk, count(*) AS n, string_agg(name, ', ' ORDER BY r) AS missing_products FROM r GROUP BY cluster, attr, r // 50")
+def d5_missing_names(v):  # noqa: ANN001, ANN201
+    """The names behind the attribute work order, 50 to a row."""
+    return gaps.missing_names(v.presence(), _names(v), 50)
+
+
+@query(f"--CTE {PRODUCT_REQUEST_SQL} SELECT cluster, product_id, name, applicable::VARCHAR AS applicable, missing::VARCHAR AS missing, missing_attributes FROM preq")
+def e8_written_requests(v):  # noqa: ANN001, ANN201
+    """The product work order as it is read back from its CSV files."""
+    p = v.presence()
+    with Work(v.spark, "requests") as work:
+        export.write_requests(gaps.attribute_requests(p, _names(v), first=gaps.NAMES), gaps.product_requests(p, _names(v)), f"{work.folder}/requests")
+        found = v.spark.read.option("header", True).option("escape", '"').csv(f"{work.folder}/requests/by_product")
+        return work.result(found.select("cluster", "product_id", "name", "applicable", "missing", "missing_attributes"))
+
+
 @query(f"--CTE {PRODUCT_REQUEST_SQL} SELECT * FROM preq")
 def d3_product_requests(v):  # noqa: ANN001, ANN201
     return gaps.product_requests(v.presence(), _names(v))
@@ -216,17 +233,19 @@ def r5_top_gaps(v):  # noqa: ANN001, ANN201
     return joined(readiness.top_gaps(_scores(v)), "gaps").select("product_id", "gaps")
 
 
-@query(f"--CTE {READY_SQL}, {FIT_SQL} SELECT c.cluster, c.members, x.completeness, r.readiness, 'Small space owner' AS title, f.fit, l.missing FROM (SELECT cluster, count(*) AS members FROM members GROUP BY 1) c JOIN (SELECT cluster, round_even(sum(pct::DECIMAL(10,1))::DOUBLE / count(*), 1) AS completeness FROM comp GROUP BY 1) x USING (cluster) JOIN cscores r USING (cluster) JOIN (SELECT cluster, round_even(100.0 * count(*) FILTER (qualifies)::DOUBLE / count(*), 1) AS fit FROM fits WHERE persona_id LIKE '%compact' GROUP BY 1) f USING (cluster) JOIN (SELECT cluster, string_agg(DISTINCT attr, '|' ORDER BY attr) AS missing FROM presence WHERE applies AND NOT present GROUP BY 1) l USING (cluster)")
+@query(f"--CTE {READY_SQL}, {FIT_SQL} SELECT c.cluster, c.members, x.completeness, r.readiness, 'Small space owner' AS title, f.fit, l.missing, 4 AS schema_size, c.members AS total, st.with_values, st.rejected, 0 AS failed_batches, false AS applicability FROM (SELECT cluster, count(*) AS members FROM members GROUP BY 1) c JOIN (SELECT cluster, round_even(sum(pct::DECIMAL(10,1))::DOUBLE / count(*), 1) AS completeness FROM comp GROUP BY 1) x USING (cluster) JOIN cscores r USING (cluster) JOIN (SELECT cluster, round_even(100.0 * count(*) FILTER (qualifies)::DOUBLE / count(*), 1) AS fit FROM fits WHERE persona_id LIKE '%compact' GROUP BY 1) f USING (cluster) JOIN (SELECT cluster, string_agg(DISTINCT attr, '|' ORDER BY attr) AS missing FROM presence WHERE applies AND NOT present GROUP BY 1) l USING (cluster) JOIN (SELECT m.cluster, count(DISTINCT CASE WHEN a.ord <> 3 THEN a.product_id END) AS with_values, count(*) FILTER (a.ord = 3) AS rejected FROM attributes a JOIN members m USING (product_id) GROUP BY 1) st USING (cluster)")
 def r6_dashboard(v):  # noqa: ANN001, ANN201
     p = v.presence()
     picked = v.personas.where("pos = 0")
-    board = readiness.cluster_dashboard(v.members, completeness.cluster_completeness(completeness.product_completeness(p)), readiness.cluster_readiness(_scores(v)), picked, fit.cluster_fit(_fits(v)), completeness.missing_counts(p))
+    values = v.attributes.select("product_id", F.when(F.col("ord") == 3, "rejected").otherwise("kept").alias("verdict"))
+    stats = normalize.normalization_stats(v.members, values, v.applicability, v.spark.createDataFrame([], "cluster string, ok boolean"), v.schema)
+    board = readiness.cluster_dashboard(v.members, completeness.cluster_completeness(completeness.product_completeness(p)), readiness.cluster_readiness(_scores(v)), picked, fit.cluster_fit(_fits(v)), completeness.missing_counts(p), stats)
     return joined(board, "missing").drop("fit_coverage")
 
 
 @query("""--CTE r AS (SELECT cluster, price, position, row_number() OVER (PARTITION BY cluster ORDER BY position) AS r FROM cat)
-SELECT c.cluster, count(*) AS product_count, (SELECT coalesce(string_agg(price, '|' ORDER BY position), '') FROM r WHERE r.cluster = c.cluster AND r <= 8 AND price IS NOT NULL) AS sample_prices, 'size|brand|type|color' AS available_attributes,
-  (SELECT coalesce(string_agg(attr, '|' ORDER BY attr_pos), '') FROM (SELECT DISTINCT attr, attr_pos FROM presence p WHERE p.cluster = c.cluster AND applies AND NOT present)) AS missing_attributes, 'Small space owner|wants one colour' AS shopper_intents FROM members c GROUP BY c.cluster""")
+SELECT c.cluster, count(*) AS product_count, (SELECT coalesce(string_agg(price, '|' ORDER BY position), '') FROM r WHERE r.cluster = c.cluster AND r <= 8 AND price IS NOT NULL) AS sample_prices, (SELECT string_agg(attr, '|' ORDER BY attr_pos) FROM schema_ s WHERE s.cluster = c.cluster) AS available_attributes,
+  (SELECT coalesce(string_agg(attr, '|' ORDER BY attr_pos), '') FROM (SELECT DISTINCT attr, attr_pos FROM presence p WHERE p.cluster = c.cluster AND applies AND NOT present)) AS missing_attributes, (SELECT string_agg(coalesce(nullif(narrative_seed, ''), title), '|' ORDER BY pos) FROM personas p WHERE p.cluster = c.cluster) AS shopper_intents FROM members c GROUP BY c.cluster""")
 def u1_catalog_summary(v):  # noqa: ANN001, ANN201
     return joined(summary.catalog_summary(v.members, v.cat, v.schema, completeness.missing_counts(v.presence()), v.personas), "sample_prices", "available_attributes", "missing_attributes", "shopper_intents")
 

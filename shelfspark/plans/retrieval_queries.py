@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfspark.operators import retrieval as R
+from shelfspark.operators import signature
+from shelfspark.tables import Work
 
 from .views import Views, with_views
 
@@ -220,3 +222,29 @@ def q1_index_entries(v):  # noqa: ANN001, ANN201
     content = v.cat.selectExpr("product_id", "case when k % 3 = 0 then 'Told.' else ' ' end as passage")
     text = v.cat.selectExpr("product_id", "name as text")
     return R.index_entries(v.cat.unionByName(v.cat.withColumn("position", F.col("position") + 1_000_000)), content, text, text).select("side", "key", "name", "cluster")
+
+
+def _trees(v, work):  # noqa: ANN001, ANN202
+    """The catalog before and after: some products gone, some new, some with another price or in another cluster."""
+    values = [F.col(c) for c in ("product_id", "name", "price", "description")]
+    old = v.cat.where("k % 101 <> 0")
+    new = v.cat.where("k % 97 <> 0").withColumn("price", F.when(F.col("k") % 50 == 0, F.concat(F.coalesce("price", F.lit("")), F.lit("1"))).otherwise(F.col("price")))
+    new = new.withColumn("cluster", F.when(F.col("k") % 211 == 0, F.lit("moved")).otherwise(F.col("cluster")))
+    return signature.tree(work, old, values), signature.tree(work, new, values)
+
+
+CHANGE_SQL = """old AS (SELECT cluster, product_id, coalesce(price, 'none') AS p FROM cat WHERE k % 101 <> 0), new AS (SELECT CASE WHEN k % 211 = 0 THEN 'moved' ELSE cluster END AS cluster, product_id, CASE WHEN k % 50 = 0 THEN coalesce(price, '') || '1' ELSE coalesce(price, 'none') END AS p FROM cat WHERE k % 97 <> 0),
+diff AS (SELECT coalesce(o.cluster, n.cluster) AS cluster, coalesce(o.product_id, n.product_id) AS product_id, CASE WHEN o.p IS NULL THEN 'added' WHEN n.p IS NULL THEN 'removed' ELSE 'changed' END AS change FROM old o FULL JOIN new n ON o.cluster = n.cluster AND o.product_id = n.product_id WHERE o.p IS DISTINCT FROM n.p)"""
+
+
+@query(f"--CTE {CHANGE_SQL} SELECT cluster, product_id, change FROM diff")
+def q23_changed_products(v):  # noqa: ANN001, ANN201
+    """What changed between two catalogs, from their trees of hashes."""
+    with Work(v.spark, "changes") as work:
+        return work.result(signature.changes(work, *_trees(v, work))[1])
+
+
+@query(f"--CTE {CHANGE_SQL} SELECT DISTINCT d.cluster, CASE WHEN d.cluster NOT IN (SELECT cluster FROM old) THEN 'added' WHEN d.cluster NOT IN (SELECT cluster FROM new) THEN 'removed' ELSE 'changed' END AS change FROM diff d")
+def q24_changed_clusters(v):  # noqa: ANN001, ANN201
+    with Work(v.spark, "changes") as work:
+        return work.result(signature.changes(work, *_trees(v, work))[0])

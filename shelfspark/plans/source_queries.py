@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions import text as T
 from shelfspark.operators import clusters, identity, normalize
 from shelfspark.sources import catalog
+from shelfspark.tables import Work
 
 from .views import Views, with_views
 
@@ -194,3 +195,31 @@ def n10_example_values(v):  # noqa: ANN001, ANN201
 @query("--CTE f AS (SELECT attr, value, min(position) AS p FROM attributes GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY attr ORDER BY p, value) AS r FROM f) SELECT attr, string_agg(value, '|' ORDER BY r) AS samples FROM r WHERE r <= 8 GROUP BY attr")
 def n11_available_attributes(v):  # noqa: ANN001, ANN201
     return normalize.available_attributes(v.attributes.select("attr", "value", F.col("position").alias("pos"))).withColumn("samples", F.array_join("samples", "|"))
+
+
+@query("SELECT name, coalesce(price, 'none') AS price, description, p_size::VARCHAR AS size, p_brand AS brand FROM cat")
+def s18_csv_catalog(v):  # noqa: ANN001, ANN201
+    """The catalog written as CSV, in the splittable form, and loaded again."""
+    rows = v.cat.select(F.col("name").alias("Product Name"), F.col("price").alias("Sale Price"), F.concat(F.lit("<p>"), "description", F.lit("</p>")).alias("Body (HTML)"), F.col("p_size").alias("Size"), F.col("p_brand").alias("Brand"), F.lit("n/a").alias("Note"))
+    with Work(v.spark, "csv") as work:
+        rows.write.option("header", True).option("escape", '"').csv(f"{work.folder}/catalog")
+        found = catalog.load_catalog(v.spark, f"{work.folder}/catalog", "csv", lines=True)
+        return work.result(found.select("name", F.coalesce("price", F.lit("none")).alias("price"), "description", F.col("specs")["Size"].alias("size"), F.col("specs")["Brand"].alias("brand")))
+
+
+@query("SELECT name, coalesce(price, 'none') AS price, description, CASE WHEN k % 2 = 0 THEN p_brand ELSE p_size::VARCHAR END AS told, CASE WHEN k % 2 = 0 THEN 'shopify' ELSE 'json' END AS mode FROM cat")
+def s19_json_catalog(v):  # noqa: ANN001, ANN201
+    """The catalog written as JSON, a shop item or another object a line, and loaded again."""
+    shop = F.to_json(F.struct(F.col("name").alias("title"), F.col("description").alias("body_html"), F.col("p_brand").alias("vendor"), F.array(F.struct("price")).alias("variants")), {"ignoreNullFields": "false"})
+    other = F.to_json(F.struct("name", F.col("price").alias("unit price"), "description", F.col("p_size").cast("string").alias("size")))
+    with Work(v.spark, "json") as work:
+        v.cat.select(F.when(F.col("k") % 2 == 0, shop).otherwise(other).alias("value")).write.text(f"{work.folder}/catalog")
+        found = catalog.load_catalog(v.spark, f"{work.folder}/catalog", "jsonl")
+        told = F.when(F.col("extraction_mode") == "shopify", F.col("specs")["vendor"]).otherwise(F.col("specs")["size"])
+        return work.result(found.select("name", F.coalesce("price", F.lit("none")).alias("price"), "description", told.alias("told"), F.col("extraction_mode").alias("mode")))
+
+
+@query("--CTE r AS (SELECT cluster, product_id, (row_number() OVER (PARTITION BY cluster ORDER BY product_id) - 1) // 100 AS chunk FROM members) SELECT cluster, chunk, count(*) AS n, string_agg(product_id, chr(10) ORDER BY product_id) AS product_ids FROM r GROUP BY cluster, chunk")
+def c8_member_chunks(v):  # noqa: ANN001, ANN201
+    """Member ids of a cluster, 100 to a row."""
+    return clusters.member_chunks(v.members, 100)

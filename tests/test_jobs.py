@@ -1,6 +1,7 @@
 """The batch jobs from files to exports, on a small catalog with known results."""
 
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -158,6 +159,67 @@ def test_evaluate(spark, tmp_path):
     assert not any(r["moved"] for r in done["movement"].collect())
 
 
+def test_competitors_of_a_cluster_with_many_prices(spark, monkeypatch):
+    from shelfspark.functions import ranks as R
+    from shelfspark.operators import competitors
+
+    rows = [("hot", f"p{i}", i, f"${(i * 7919) % 5000}.{i % 100:02}" if i % 9 else None) for i in range(3000)] + [("few", f"q{i}", i, f"${i}" if i < 2 else None) for i in range(6)] + [("same", f"r{i}", i, "$5") for i in range(200)]
+    df = spark.createDataFrame(rows, "cluster string, product_id string, member_pos long, price string")
+    plain = sorted(tuple(r) for r in competitors.competitors(df).collect())
+    monkeypatch.setattr(R, "WINDOW_ROWS", 100)
+    assert sorted(tuple(r) for r in competitors.competitors(df.repartition(6)).collect()) == plain
+    price = {p: float(x[1:]) for c, p, _, x in rows if x and c == "hot"}
+    at = {p: i for _, p, i, _ in rows}
+    got = {}
+    for _, p, rank, other, _ in plain:
+        got.setdefault(p, {})[rank] = other
+    for p in ("p1", "p500", "p2999"):
+        assert [got[p][k] for k in (1, 2, 3)] == sorted((q for q in price if q != p), key=lambda q: (abs(price[p] - price[q]), at[q]))[:3]
+    assert [got["q0"][k] for k in (1, 2, 3)] == ["q1", "q2", "q3"] and [got["q5"][k] for k in (1, 2, 3)] == ["q0", "q1", "q2"]
+
+
+def test_chunks_joined_are_the_whole_list(spark, monkeypatch):
+    from shelfspark.functions import ranks as R
+    from shelfspark.operators import gaps
+
+    rows = [("hot" if i % 3 else "c", "size", i % 5 != 0, i % 7 == 0, 500 - i, f"p{i}", f"name {i}") for i in range(500)]
+    p = spark.createDataFrame(rows, "cluster string, attr string, applies boolean, present boolean, member_pos long, product_id string, name string").repartition(4)
+    presence, names = p.drop("name"), p.select("product_id", "name")
+    whole = {r["cluster"]: r["missing_products"] for r in gaps.attribute_requests(presence, names).collect()}
+    for rows_of_a_window in (1_000_000, 20):
+        monkeypatch.setattr(R, "WINDOW_ROWS", rows_of_a_window)
+        parts = {}
+        for r in gaps.missing_names(presence, names, 30).collect():
+            assert r["n"] <= 30
+            parts.setdefault(r["cluster"], {})[r["chunk"]] = r["missing_products"]
+        assert {c: ", ".join(x[k] for k in sorted(x)) for c, x in parts.items()} == whole
+    first = {r["cluster"]: r["missing_products"] for r in gaps.attribute_requests(presence, names, first=3).collect()}
+    assert first == {c: ", ".join(x.split(", ")[:3]) for c, x in whole.items()}
+    chunked = clusters.member_chunks(presence.select("cluster", "product_id"), 40).collect()
+    assert sorted(i for r in chunked for i in r["product_ids"].split("\n")) == sorted(f"p{i}" for i in range(500))
+
+
+def test_k_means_by_hand_and_under_another_layout(spark, sf_dir):
+    index = spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("vec_id as key", "embedding as vec")
+    one = {r["key"]: r["cluster"] for r in clusters.cluster_by_embedding(index.coalesce(1), 6, 5).collect()}
+    assert {r["key"]: r["cluster"] for r in clusters.cluster_by_embedding(index.repartition(7), 6, 5).collect()} == one
+    rows = index.orderBy(F.xxhash64("key", F.lit(5)), "key").collect()
+    unit = [[x / math.sqrt(sum(y * y for y in r["vec"])) for x in r["vec"]] for r in rows]
+    dot = lambda a, b: round(sum(x * y for x, y in zip(a, b)), 9)
+    centres = [unit[0]]
+    while len(centres) < 6:
+        centres.append(min(unit, key=lambda u: max(dot(u, c) for c in centres)))
+    nearest = lambda u: max(range(6), key=lambda j: (dot(u, centres[j]), -j))
+    for _ in range(clusters.STEPS):
+        of = [nearest(u) for u in unit]
+        sums = [[sum(round(u[i] * clusters.POINT) for u, j in zip(unit, of) if j == c) for i in range(len(unit[0]))] for c in range(6)]
+        new = [[x / math.sqrt(sum(y * y for y in s)) for x in s] if any(s) else centres[j] for j, s in enumerate(sums)]
+        if all(abs(x - y) < 1e-12 for a, b in zip(new, centres) for x, y in zip(a, b)):
+            break
+        centres = new
+    assert {r["key"]: nearest(u) for r, u in zip(rows, unit)} == one and len(set(one.values())) > 1
+
+
 def test_cluster_by_embedding(spark):
     rows = [(i, [1.0 + 0.01 * i, 0.0, 0.0] if i % 3 == 0 else [0.0, 1.0, 0.01 * i] if i % 3 == 1 else [0.0, -0.02 * i, -3.0]) for i in range(60)]
     got = clusters.cluster_by_embedding(spark.createDataFrame(rows, "key long, vec array<double>"), 3, 5).collect()
