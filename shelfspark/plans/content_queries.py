@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfspark.functions import text as T
-from shelfspark.operators import claims, competitors, completeness, content, export, model_io, passages, readiness, summary
+from shelfspark.operators import answers, claims, competitors, completeness, content, export, model_io, passages, readiness, summary
 from shelfspark.tables import Work
 
 from .views import Views, with_views
@@ -233,6 +233,21 @@ def m5_split_cached(v):  # noqa: ANN001, ANN201
     return requests.agg(F.count("*").alias("requests")).crossJoin(known.agg(F.count("*").alias("known"))).crossJoin(sent.agg(F.count("*").alias("sent")))
 
 
+@query("SELECT product_id, CASE WHEN k % 3 = 0 THEN 'second ' || name WHEN k % 2 = 0 THEN 'first ' || name END AS answer FROM cat")
+def m12_answer_store(v):  # noqa: ANN001, ANN201
+    """Requests against a store of two runs: the later answer of a key counts, keys without one are still to be sent."""
+    asked = v.cat.select("product_id", "name", "k", model_io.cache_key(F.col("product_id"), F.col("name")).alias("cache_key"))
+    said = lambda every, word: asked.where(F.col("k") % every == 0).select("cache_key", F.concat(F.lit(word), "name").alias("answer"))
+    with Work(v.spark, "answers") as work:
+        store = answers.AnswerStore(v.spark, f"{work.folder}/store", 8)
+        store.record(said(2, "first "))
+        store.record(said(3, "second "))
+        known, sent = model_io.split_cached(asked, store.latest())
+        out = work.result(known.select("product_id", "answer").unionByName(sent.select("product_id", F.lit(None).cast("string").alias("answer"))))
+        store.close()
+        return out
+
+
 @query("SELECT event_id, event_id % 3 <> 2 AS ok, CASE event_id % 3 WHEN 2 THEN NULL ELSE json_extract_string(props, '$.k') END AS k FROM events")
 def m6_parse_responses(v):  # noqa: ANN001, ANN201
     text = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, F.concat(F.lit("Sure:\n```"), "props", F.lit("``` done"))).otherwise(F.concat(F.lit("no {"), "props"))

@@ -21,12 +21,17 @@ def _manifests(spark: SparkSession, out: str) -> DataFrame:
         return spark.createDataFrame([], _MANIFEST)
 
 
+def newest(spark: SparkSession, out: str) -> int | None:
+    """The number of the newest version."""
+    return _manifests(spark, out).agg(F.max("version")).first()[0]
+
+
 class Version:
     """The version that a job is writing."""
 
     def __init__(self, spark: SparkSession, out: str):
         self.spark, self.out = spark, out
-        self.number = (_manifests(spark, out).agg(F.max("version")).first()[0] or 0) + 1
+        self.number = (newest(spark, out) or 0) + 1
         self.folder = f"{out}/version={self.number}"
         self.tables: dict[str, tuple[str, DataFrame]] = {}
 
@@ -49,7 +54,6 @@ class Version:
 
 def latest(spark: SparkSession, out: str) -> dict[str, DataFrame]:
     """The Parquet tables of the newest version."""
-    every = _manifests(spark, out)
-    number = every.agg(F.max("version")).first()[0]
-    rows = every.where(F.col("version") == number).collect() if number else []  # a row a table of one version
+    number = newest(spark, out)
+    rows = _manifests(spark, out).where(F.col("version") == number).collect() if number else []  # a row a table of one version
     return {r["name"]: spark.read.parquet(f"{out}/{r['path']}") for r in rows if r["format"] == "parquet"}
