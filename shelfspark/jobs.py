@@ -45,20 +45,23 @@ def load(spark: SparkSession, path: str, format: str | None = None, lines: bool
 
 
 def audit(spark: SparkSession, path: str, given: Answers, out: str, format: str | None = None, lines: bool = False) -> dict[str, DataFrame]:
-    """Read, identify, cluster, normalize, measure completeness, coverage and fit, and write the work orders."""
+    """Read, identify, cluster, normalize, measure completeness, coverage and fit, and write the work orders.
+
+    Product-level tables are bucketed by product_id when they are written: each is dealt out once, and what is made of them
+    (presence, completeness, verdicts, work orders) joins and groups by product without a further exchange."""
     done = Version(spark, out)
-    products = done.table(load(spark, path, format, lines), "products")
-    members = done.table(clusters.merge_labels(clusters.validate_membership(given.labels, products), given.mapping), "members")
+    products = done.bucketed(load(spark, path, format, lines), "products", "product_id")
+    members = done.bucketed(clusters.merge_labels(clusters.validate_membership(given.labels, products), given.mapping), "members", "product_id")
     schema = done.table(normalize.clean_schema(given.schema), "schema")
-    applies = done.table(normalize.validate_applicability(given.applicability, schema, members), "applicability")
+    applies = done.bucketed(normalize.validate_applicability(given.applicability, schema, members), "applicability", "product_id")
     specs = products.select("product_id", F.posexplode("specs").alias("ord", "key", "value"))
-    checked = done.table(normalize.verify_attributes(given.candidates, normalize.raw_text(products, specs)), "candidates")
-    attributes = done.table(checked.where("verdict = 'kept'").select("product_id", "attr", "value", "ord"), "attributes")
+    checked = done.bucketed(normalize.verify_attributes(given.candidates, normalize.raw_text(products, specs)), "candidates", "product_id")
+    attributes = done.bucketed(checked.where("verdict = 'kept'").select("product_id", "attr", "value", "ord"), "attributes", "product_id")
     tries = normalize.batch_status(given.attempts) if given.attempts is not None else spark.createDataFrame([], "cluster string, batch long, ok boolean")
     done.table(normalize.normalization_stats(members, checked.select("product_id", "verdict"), applies, tries, schema), "stats")
 
     named = products.select("product_id", F.map_keys("specs").alias("spec_keys"), "description")
-    presence = done.table(completeness.attribute_presence(members, schema, applies, attributes, named, fallback=False), "presence")
+    presence = done.bucketed(completeness.attribute_presence(members, schema, applies, attributes, named, fallback=False), "presence", "product_id")
     per_product = done.table(completeness.product_completeness(presence), "completeness")
     done.table(completeness.missing_counts(presence), "missing")
     done.table(completeness.cluster_completeness(per_product), "cluster_completeness")

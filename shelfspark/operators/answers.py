@@ -39,7 +39,7 @@ class AnswerStore:
         name = self._named(version.folder)
         if rows is not None:
             self._insert(rows, name)
-        version.add("answers", "bucketed", self.spark.table(name))
+        version.add("answers", f"bucketed {self.buckets} cache_key", self.spark.table(name))
         version.commit()
 
     def _insert(self, rows: DataFrame, name: str) -> None:

@@ -48,8 +48,8 @@ def verdict(operator: Column, wanted: Column, options: Column, value: Column) ->
 def check_criterion(criteria: DataFrame, members: DataFrame, attributes: DataFrame) -> DataFrame:
     """criteria (cluster, persona_id, pos, attribute, operator, value, options) x members -> verdict rows."""
     pairs = join_small(members, criteria.withColumnRenamed("value", "wanted"), "cluster")
-    values = attributes.groupBy("product_id", F.col("attr").alias("attribute")).agg(F.first("value").alias("__v"))
-    joined = pairs.join(values, ["product_id", "attribute"], "left")
+    values = attributes.groupBy("product_id", "attr").agg(F.first("value").alias("value")).groupBy("product_id").agg(F.map_from_entries(F.collect_list(F.struct("attr", "value"))).alias("__values"))
+    joined = pairs.join(values, "product_id", "left").withColumn("__v", F.try_element_at("__values", F.col("attribute")))
     label = F.concat_ws(" ", "attribute", "operator", F.coalesce(F.array_join("options", ", "), "wanted"))
     return joined.select("cluster", "persona_id", "product_id", "member_pos", "pos", label.alias("label"), verdict(F.col("operator"), F.col("wanted"), F.col("options"), F.col("__v")).alias("verdict"))
 

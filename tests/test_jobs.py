@@ -114,6 +114,32 @@ def test_a_job_that_dies_leaves_the_last_version(spark, tmp_path, monkeypatch):
     assert now["products"].count() == 5 and now["headline"].first()["products"] == 5
 
 
+def test_audit_deals_products_out_once(spark, tmp_path):
+    from shelfspark import versions
+    from shelfspark.operators import completeness, fit, gaps, normalize
+
+    (tmp_path / "shop.csv").write_text(CATALOG)
+    jobs.audit(spark, f"{tmp_path}/shop.csv", answers(spark), f"{tmp_path}/out")
+    of = versions.latest(spark, f"{tmp_path}/out")
+    products, members, attributes, presence = (of[n] for n in ("products", "members", "attributes", "presence"))
+    names = products.select("product_id", "name")
+    made = {
+        "presence": completeness.attribute_presence(members, of["schema"], of["applicability"], attributes, products.select("product_id", F.map_keys("specs").alias("spec_keys"), "description")),
+        "completeness": completeness.product_completeness(presence),
+        "verdicts": fit.check_criterion(of["criteria"], members, attributes),
+        "by_product": gaps.product_requests(presence, names),
+        "raw": normalize.raw_text(products, products.select("product_id", F.posexplode("specs").alias("ord", "key", "value"))),
+    }
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plans = {name: df.select("*")._jdf.queryExecution().executedPlan().toString() for name, df in made.items()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert {name: plan.count("Exchange hashpartitioning(") for name, plan in plans.items()} == dict.fromkeys(made, 0), plans
+
+
 def test_positions_of_several_files(spark, tmp_path):
     for i in range(4):
         (tmp_path / f"part-{i}.csv").write_text("name,price\n" + "".join(f"item {i} {j},1\n" for j in range(5)))
