@@ -70,16 +70,20 @@ def _odd_space(text: str) -> bool:
 _STOPS = string.punctuation
 
 
+#: Distinct chunks, and other runs, of a generation of a worker's tables.
+MOST_CHUNKS, MOST_RUNS = 700_000, 150_000
+
+
 class TokenizersTable(BlankSplit):
     """The tokenizers library as a segmenter of chunks. Most chunks are one run of letters with other marks behind it: the
     pre-tokenizer would cut such a chunk there and nowhere else, so the library's model is asked for these two runs
-    alone and each run is kept once. All other chunks pass through the whole library."""
+    alone and each is kept once. All other chunks pass through the whole library."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.runs, self.table = Tokenizer.from_file(path), WordTable(self._run), WordTable(self.key)
+        self.tokenizer, self.runs, self.table = Tokenizer.from_file(path), WordTable(self._run, MOST_RUNS), WordTable(self.key, MOST_CHUNKS)
         self.model = self.tokenizer.model
         spec = json.loads(Path(path).read_text())
         self.lower = spec["normalizer"] is not None  # the file that lower-cases and drops white space
@@ -95,11 +99,6 @@ class TokenizersTable(BlankSplit):
             mapped = run.encode().decode("latin-1").translate(self.alphabet)
         return array("H", map(_ID, self.model.tokenize(mapped))).tobytes()
 
-    def _core(self, key: str) -> str | None:
-        """The run of letters that a chunk begins with if only marks follow, else None."""
-        core = key if key.isalpha() else key.rstrip(_STOPS)
-        return core if core.isalpha() and (not self.lower or core.isascii()) else None
-
     def encode(self, texts: list[str]) -> list[bytes]:
         get, split = self.table.__getitem__, self.split
         out = [b"".join(map(get, split(t))) for t in texts]
@@ -127,10 +126,13 @@ class TokenizersTable(BlankSplit):
 
     def key(self, key: str) -> bytes:
         """Ids of a chunk by its key: letters with marks behind them at once, others by way of _plain or the library."""
-        core = self._core(key)
-        if core is not None:
-            ids = self.runs[core.lower() if self.lower else " " + core]
-            return ids if len(core) == len(key) else ids + self.runs[key[len(core):]]
+        core = key if key.isalpha() else key.rstrip(_STOPS)
+        if core.isalpha() and (not self.lower or core.isascii()):
+            if len(core) < len(key):  # letters alone are a chunk too, so each word is asked for once
+                return self.table[core] + self.runs[key[len(core):]]
+            if not self.lower:
+                return self._run(" " + core)
+            return self._run(core) if core.islower() else self.table[core.lower()]
         chunk = self.text_of(key)
         plain = self._plain(chunk)
         if plain is None:
