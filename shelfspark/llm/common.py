@@ -13,10 +13,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfspark.functions.joins import is_small
+
 #: Word characters of every contract here: anything but the six ASCII white space characters.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
-#: Rows of a table that may be broadcast: the bound is checked by a count before the hint is given.
+#: Rows of a table that may be broadcast: rows and bytes are checked before the hint is given.
 BROADCAST_ROWS = 200_000
 
 _own_folder: list[str] = []
@@ -89,9 +91,9 @@ def words(text: Column) -> Column:
 
 
 def join_small(left: DataFrame, right: DataFrame, keys: list[str] | Column, how: str = "left", bound: int = BROADCAST_ROWS) -> DataFrame:
-    """Equi-join on keys. right is broadcast only if a count shows at most `bound` rows; beyond that Spark shuffles
-    both sides and splits skewed partitions (adaptive skew join)."""
-    return left.join(F.broadcast(right) if right.limit(bound + 1).count() <= bound else right, keys, how)
+    """Equi-join on keys. right is broadcast only if it has at most `bound` rows and BROADCAST_BYTES bytes; beyond that Spark
+    shuffles both sides and splits skewed partitions (adaptive skew join)."""
+    return left.join(F.broadcast(right) if is_small(right, bound) else right, keys, how)
 
 
 def least_by_hash(rows: DataFrame, key: str, n: int) -> DataFrame:

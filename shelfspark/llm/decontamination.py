@@ -7,8 +7,8 @@ is dropped if the window does not fit the document at that place (length and pos
 by word. Windows whose rarest shingle is in no document are not joined at all.
 
 DataFrame functions only. Documents are written once as lower-cased words; two passes over that table probe the
-benchmark's shingles, which are broadcast if a count allows it (a document's words then never leave their task), and are
-shuffled otherwise. Equal sequences of words are one text from then on (128-bit hashes), so copies are one row. Hits of one
+benchmark's shingles, which are broadcast if their size allows it (a document's words then never leave their task); otherwise
+places are shuffled by shingle, with no more words than a window could need. Equal sequences of words are one text from then on (128-bit hashes), so copies are one row. Hits of one
 text are merged in a window by text, sorted and spilled by Spark; a benchmark's items of equal words are one class, and ids
 meet classes last.
 
@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, join_small, release, stage, table
+from .common import documents, is_small, join_small, release, stage, table
 
 WINDOW, SHINGLE = 10, 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -43,7 +43,7 @@ def _named(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
 
 
-def _shingle(array: str, at: Column, size: int) -> Column:
+def _shingle(array: str | Column, at: Column, size: int) -> Column:
     return F.xxhash64(*[F.get(array, at + k) for k in range(size)])
 
 
@@ -58,18 +58,24 @@ def windows(items: DataFrame, item_col: str = "item_id", text_col: str = "text",
     return stage(each.select("cls", F.concat_ws(" ", F.slice("w", F.col("at"), F.col("size"))).alias("win")).distinct(), "item-windows"), members
 
 
-def _probed(lines: DataFrame, small: DataFrame, size: int) -> DataFrame:
-    """lines (h1, h2, line) x small (shingle, ...): a row for each place (pos) of a shingle of small; w, n: the words."""
+def _probed(lines: DataFrame, small: DataFrame, size: int, reach: int) -> DataFrame:
+    """lines (h1, h2, line) x small (shingle, ...): a row for each place (pos) of a shingle of small; n: words of the text;
+    near: its words from place `first` on, all of them if small is broadcast and no row leaves its task, otherwise `reach`
+    on either side of the shingle, so that what is shuffled for a text is linear in its length."""
     each = lines.select(*_TEXT, F.split("line", " ").alias("w")).select(*_TEXT, "w", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
     keyed = each.where(F.col("pos") + size <= F.col("n")).withColumn("shingle", _shingle("w", F.col("pos"), size))
-    return join_small(keyed, small, ["shingle"], "inner")
+    if is_small(small):
+        return keyed.select(*_TEXT, "n", "pos", "shingle", F.lit(0).alias("first"), F.col("w").alias("near")).join(F.broadcast(small), "shingle")
+    first = F.greatest(F.col("pos") - reach, F.lit(0))
+    return keyed.select(*_TEXT, "n", "pos", "shingle", first.alias("first"), F.slice("w", first + 1, 2 * reach + size).alias("near")).join(small, "shingle")
 
 
 def occurrences(lines: DataFrame, wins: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """lines (h1, h2, line: words with one space), a table, and wins (win), distinct -> (h1, h2, start, length, win): every
     place of every window in every distinct text, as a table."""
     parts = wins.select("win", F.split("win", " ").alias("w")).withColumn("length", F.size("w"))
-    pieces, sizes = [], sorted({min(shingle, r["length"]) for r in parts.select("length").distinct().collect()})  # at most `window` rows
+    lengths = [r["length"] for r in parts.select("length").distinct().collect()]  # at most `window` rows
+    pieces, sizes = [], sorted({min(shingle, n) for n in lengths})
     for size in sizes:
         own = parts.where(F.col("length") == size if size < shingle else F.col("length") >= size)
         placed = own.select("win", "w", "length", F.explode(F.sequence(F.lit(0), F.col("length") - size)).alias("offset"))
@@ -79,17 +85,17 @@ def occurrences(lines: DataFrame, wins: DataFrame, shingle: int = SHINGLE) -> Da
         return stage(lines.sparkSession.createDataFrame([], kind), "occurrences")
     pieces = stage(reduce(DataFrame.unionAll, pieces), "shingles")
     tokens = [pieces.where(F.col("size") == size).select("shingle").distinct() for size in sizes]
-    counts = [_probed(lines, t, size).groupBy("shingle").count().withColumn("size", F.lit(size)) for t, size in zip(tokens, sizes, strict=True)]
+    counts = [_probed(lines, t, size, 0).groupBy("shingle").count().withColumn("size", F.lit(size)) for t, size in zip(tokens, sizes, strict=True)]
     counts = stage(reduce(DataFrame.unionAll, counts), "rarity")
     known = join_small(pieces, counts, ["shingle", "size"]).withColumn("count", F.coalesce("count", F.lit(0)))
     rarest = known.groupBy("win", "length", "size").agg(F.min(F.struct("count", "offset", "shingle")).alias("r")).where("r.count > 0")
     prefixes = stage(rarest.select("win", "length", "size", F.col("r.offset").alias("offset"), F.col("r.shingle").alias("shingle")), "prefixes")
     found = []
     for size in sizes:
-        met = _probed(lines, prefixes.where(F.col("size") == size).select("shingle", "offset", "length", "win"), size)
+        met = _probed(lines, prefixes.where(F.col("size") == size).select("shingle", "offset", "length", "win"), size, max(lengths) - size)
         start = F.col("pos") - F.col("offset")
         fits = met.where((start >= 0) & (start + F.col("length") <= F.col("n")))
-        same = fits.where(F.concat_ws(" ", F.slice("w", start + 1, F.col("length"))) == F.col("win"))
+        same = fits.where(F.concat_ws(" ", F.slice("near", F.greatest(start - F.col("first"), F.lit(0)) + 1, F.col("length"))) == F.col("win"))
         found.append(same.select(*_TEXT, start.alias("start"), "length", "win"))
     out = stage(reduce(DataFrame.unionAll, found).distinct(), "occurrences")
     for used in (pieces, counts, prefixes):

@@ -281,14 +281,24 @@ def test_decontamination_equals_plain_search(spark):
 def test_decontamination_beyond_the_broadcast_bound(spark, monkeypatch):
     from shelfspark.llm import common
 
-    items = [(i, " ".join(f"a{j}" for j in range(i, i + 14))) for i in range(5)]
-    docs = [(i, " ".join(f"a{j}" for j in range(i, i + 30))) for i in range(30)]
-    plain = common.join_small
-    monkeypatch.setattr(dc, "join_small", lambda a, b, keys, how="left", bound=0: plain(a, b, keys, how, 0))
+    items = [(i, " ".join(f"a{j}" for j in range(i, i + 14))) for i in range(5)] + [(10, "a3 a4"), (11, "a29"), (12, "a0 a1 a2 a3")]
+    docs = [(i, " ".join(f"a{j}" for j in range(i, i + 30))) for i in range(30)] + [(40, "a1 " + "b " * 40 + " ".join(f"a{j}" for j in range(4, 14))), (41, "a29"), (42, " ".join(f"a{j}" for j in range(10)))]
+    monkeypatch.setattr(common, "is_small", lambda *_: False)
+    monkeypatch.setattr(dc, "is_small", lambda *_: False)
     got = sorted((tuple(r[c] for c in ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for r in dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()), key=repr)
     assert got == hits_plainly(docs, items)
 
 
+def test_decontamination_shuffles_no_whole_texts(spark, monkeypatch):
+    """Beyond the bound, the words that go with a place are those that a window could need."""
+    lines = spark.createDataFrame([(1, 2, " ".join(f"w{i}" for i in range(500)))], "h1 long, h2 long, line string")
+    keys = lines.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(497)), lambda k: dc._shingle(F.split("line", " "), k, 3))).alias("shingle"))
+    monkeypatch.setattr(dc, "is_small", lambda *_: False)
+    rows = dc._probed(lines, keys, 3, 7).collect()
+    assert len(rows) == 498 and max(len(r["near"]) for r in rows) == 17
+    assert all(r["near"][r["pos"] - r["first"]] == f"w{r['pos']}" and r["first"] == max(0, r["pos"] - 7) for r in rows)
+
+
 def test_decontamination_spans_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "so one two three four five six seven eight nine ten eleven")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "One two, three four five six seven eight nine ten")], "item_id long, text string")
