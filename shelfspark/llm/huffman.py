@@ -8,6 +8,8 @@ import numpy as np
 LIMIT = 18
 #: Tokens of a block: a block can be decoded from its bit offset alone.
 BLOCK = 256
+#: Tokens that are coded at a time: arrays of that length stay in a core's cache.
+AT_ONCE = 1 << 15
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -55,9 +57,13 @@ class Codebook:
 
     def encode(self, ids: np.ndarray, sizes: np.ndarray) -> list[tuple[bytes, np.ndarray]]:
         """Sequences of these sizes (none empty), one behind another in ids -> for each its bits, filled to whole bytes,
-        and the bit offset of each of its blocks. All are coded in one go, each from a byte of its own."""
-        if not len(ids):
-            return []
+        and the bit offset of each of its blocks. Each begins at a byte of its own."""
+        first = np.cumsum(sizes) - sizes
+        cuts = [*np.flatnonzero(np.diff(first // AT_ONCE, prepend=-1)).tolist(), len(sizes)]
+        at = [*first.tolist(), len(ids)]
+        return [x for i, j in zip(cuts, cuts[1:], strict=False) for x in self._encode(ids[at[i] : at[j]], sizes[i:j])]
+
+    def _encode(self, ids: np.ndarray, sizes: np.ndarray) -> list[tuple[bytes, np.ndarray]]:
         width = self.lengths[ids].astype(np.int64)
         ends = np.cumsum(width)
         last = np.cumsum(sizes)
@@ -86,14 +92,17 @@ class Codebook:
         if not len(offsets):
             return np.zeros(0, np.uint16)
         words = np.frombuffer(bits + b"\0" * (24 - len(bits) % 8), ">u8").astype(np.uint64)
-        out = np.zeros((len(offsets), BLOCK), np.uint16)
+        longest = int(sizes.max())
+        out = np.zeros((longest, len(offsets)), np.uint16)
         order = np.argsort(-sizes, kind="stable")
-        at, left = offsets[order].astype(np.int64), sizes[order]
-        for j in range(int(left[0])):
-            n = int(np.searchsorted(-left, -j, "left"))  # blocks with more than j tokens
+        longer = len(sizes) - np.cumsum(np.bincount(sizes, minlength=longest))  # blocks with more than j tokens
+        at = offsets[order].astype(np.int64)
+        for j, n in enumerate(longer[:longest].tolist()):
             p = at[:n]
-            w, s = p >> 6, (p & 63).astype(np.uint64)
-            window = ((words[w] << s) | ((words[w + 1] >> np.uint64(1)) >> (np.uint64(63) - s))) >> np.uint64(64 - LIMIT)
-            out[order[:n], j] = self.symbol[window]
-            at[:n] = p + self.width[window]
-        return out[np.arange(BLOCK) < sizes[:, None]]
+            w, s = p >> 6, (p & 63).view(np.uint64)
+            window = (((words[w] << s) | ((words[w + 1] >> np.uint64(1)) >> (np.uint64(63) - s))) >> np.uint64(64 - LIMIT)).view(np.int64)
+            out[j, :n] = self.symbol[window]
+            p += self.width[window]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return out.T[back][np.arange(longest) < sizes[:, None]]

@@ -46,7 +46,8 @@ def token_ids(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", t
             ids = [x + end for x in ids]
             columns, of_ids = [b.column(0), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], b.column(0).type
             if counted:
-                total += np.bincount(np.frombuffer(b"".join(ids), "<u2"), minlength=1 << 16)
+                for i in range(0, len(ids), 200):
+                    total += np.bincount(np.frombuffer(b"".join(ids[i : i + 200]), "<u2"), minlength=1 << 16)
                 columns.append(pa.nulls(len(ids), pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, names)
         if counted and of_ids is not None:
@@ -75,50 +76,47 @@ def id_counts(ids: DataFrame) -> np.ndarray:
     return counts
 
 
-def _coded(ids: DataFrame, lengths: bytes) -> DataFrame:
+def _segments(lengths: bytes) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sorted documents of a partition -> coded segments. Bit offsets of a document move by what stands before it."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = Codebook(np.frombuffer(lengths, np.uint8))
-        for b in batches:
-            parts = b.column("ids").to_pylist()
-            both = [x for i in range(0, len(parts), 500) for x in book.encode(np.frombuffer(b"".join(parts[i : i + 500]), "<u2"), np.array([len(x) // 2 for x in parts[i : i + 500]]))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_tokens"), pa.array([o.astype("<u4").tobytes() for _, o in both], pa.binary()), pa.array([x for x, _ in both], pa.binary())], ["doc_id", "n_tokens", "offsets", "bits"])
-
-    return ids.mapInArrow(run, "doc_id long, n_tokens long, offsets binary, bits binary")
+        part, segment, held, tokens = TaskContext.get().partitionId(), 0, [], 0
+
+        def closed() -> pa.RecordBatch:
+            sizes = np.array([r["n_tokens"] for r in held], "<i8")
+            coded = book.encode(np.frombuffer(b"".join(r["ids"] for r in held), "<u2"), sizes)
+            base = np.cumsum([0] + [len(bits) * 8 for bits, _ in coded])
+            moved = [offsets.astype("<u8") + np.uint64(at) for (_, offsets), at in zip(coded, base, strict=False)]
+            ids = np.array([NO_ID if r["doc_id"] is None else r["doc_id"] for r in held], "<i8")
+            row = [part, segment, tokens, ids.tobytes(), sizes.tobytes(), np.concatenate(moved).tobytes(), b"".join(bits for bits, _ in coded)]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], [x.split()[0] for x in SEGMENTS.split(", ")])
 
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                for r in b.slice(i, 500).to_pylist():
+                    held.append(r)
+                    tokens += r["n_tokens"]
+                    if tokens >= SEGMENT:
+                        yield closed()
+                        segment, held, tokens = segment + 1, [], 0
+        if held:
+            yield closed()
 
-def _segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted documents of a partition -> segments. Bit offsets of a document move by what stands before it."""
-    part, segment, held, tokens = TaskContext.get().partitionId(), 0, [], 0
-
-    def closed() -> pa.RecordBatch:
-        base = np.cumsum([0] + [len(r["bits"]) * 8 for r in held])
-        moved = [np.frombuffer(r["offsets"], "<u4").astype("<u8") + np.uint64(at) for r, at in zip(held, base, strict=False)]
-        ids = np.array([NO_ID if r["doc_id"] is None else r["doc_id"] for r in held], "<i8")
-        row = [part, segment, tokens, ids.tobytes(), np.array([r["n_tokens"] for r in held], "<i8").tobytes(), np.concatenate(moved).tobytes(), b"".join(r["bits"] for r in held)]
-        kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
-        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], [x.split()[0] for x in SEGMENTS.split(", ")])
-
-    for b in batches:
-        for i in range(0, b.num_rows, 500):
-            for r in b.slice(i, 500).to_pylist():
-                held.append(r)
-                tokens += r["n_tokens"]
-                if tokens >= SEGMENT:
-                    yield closed()
-                    segment, held, tokens = segment + 1, [], 0
-    if held:
-        yield closed()
+    return run
 
 
 def write_token_files(ids: DataFrame, path: str) -> None:
-    """ids (doc_id long, n_tokens, ids binary; counts, if token_ids counted) -> a file set at path. The coded documents
-    (about 0.6 of the ids' bytes) are shuffled once, by ranges of doc_id."""
+    """ids (doc_id long, n_tokens, ids binary; counts, if token_ids counted) -> a file set at path. The ids are shuffled
+    once, by ranges of doc_id, and coded behind that: Spark runs what stands before a range shuffle twice, as it samples it
+    for the ranges."""
     spark = ids.sparkSession
     lengths = code_lengths(id_counts(ids)).tobytes()
     spark.createDataFrame([(bytearray(lengths),)], "lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    coded = _coded(ids.where("n_tokens is not null").select("doc_id", "n_tokens", "ids"), lengths).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "n_tokens", "bits")
-    coded.mapInArrow(_segments, SEGMENTS).write.option("compression", "none").parquet(f"{path}/segments")
+    placed = ids.where("n_tokens is not null").select("doc_id", "n_tokens", "ids").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "n_tokens", "ids")
+    placed.mapInArrow(_segments(lengths), SEGMENTS).write.option("compression", "none").parquet(f"{path}/segments")
 
 
 def read_token_files(spark: SparkSession, path: str, each: Callable[[np.ndarray], list] | None = None, columns: str = "ids array<int>") -> DataFrame:

@@ -17,8 +17,9 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-from .common import WordTable, each_batch, kept_in_worker, strings
+from .common import WordTable, each_batch, kept_in_worker
 
 _ID = attrgetter("id")
 
@@ -66,6 +67,15 @@ def _odd_space(text: str) -> bool:
     return any(c in text for c in _ODD)
 
 
+#: A text with blanks at its ends or side by side, or with what _odd_space finds.
+_ODD_TEXT = r"\A | \z|  |" + "|".join("".join(f"\\x{{{ord(c):x}}}" for c in x) for x in _ODD)
+
+
+def _python(strings: pa.Array) -> list[str]:
+    """Faster than to_pylist() for many short strings."""
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
 #: ASCII characters that are neither letters nor digits nor white space: a run of them behind letters is one pre-token.
 _STOPS = string.punctuation
 
@@ -99,13 +109,37 @@ class TokenizersTable(BlankSplit):
             mapped = run.encode().decode("latin-1").translate(self.alphabet)
         return array("H", map(_ID, self.model.tokenize(mapped))).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Ids of each text. Arrow splits the texts and finds their distinct chunks, so that the table is asked once for each;
+        texts with white space beside a blank, or of an odd kind, are split one by one."""
+        texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
         get, split = self.table.__getitem__, self.split
-        out = [b"".join(map(get, split(t))) for t in texts]
+        odd = pc.or_(pc.match_substring_regex(texts, _ODD_TEXT), pc.equal(texts, ""))
+        plain, others = iter(self._by_distinct(texts.filter(pc.invert(odd)))), iter(_python(texts.filter(odd)))
+        out = [b"".join(map(get, split(next(others)))) if o else next(plain) for o in odd.to_numpy(zero_copy_only=False).tolist()]
         self.table.make_room()
         self.runs.make_room()
         return out
 
+    def _by_distinct(self, texts: pa.Array, step: int = 500) -> Iterator[bytes]:
+        """Ids of texts whose chunks are what lies between blanks. `step` texts are put together at a time."""
+        chunks = pc.split_pattern(texts, " ")
+        bounds, coded = chunks.offsets.to_numpy(), chunks.values.dictionary_encode()
+        first = _python(chunks.values.take(pa.array(bounds[:-1])))  # no blank before these
+        ids = list(map(self.table.__getitem__, [*_python(coded.dictionary), *("\0 " + c for c in first)]))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), "<u2")
+        which = coded.indices.to_numpy().astype(np.int64)
+        which[bounds[:-1]] = len(ids) - len(first) + np.arange(len(first))
+        for a in range(0, len(texts), step):
+            cut = bounds[a : a + step + 1]
+            now = which[cut[0] : cut[-1]]
+            n = sizes[now]
+            ends = np.cumsum(n)
+            data = flat[np.repeat(starts[now] - (ends - n), n) + np.arange(ends[-1])].tobytes()
+            at = (2 * np.concatenate([[0], ends])[cut - cut[0]]).tolist()
+            yield from (data[i:j] for i, j in zip(at, at[1:], strict=False))
+
     def _plain(self, text: str) -> list[str] | None:
         """The pre-tokens of a chunk of the plain form, or None for any other chunk."""
         out: list[str] = []
@@ -140,8 +174,8 @@ class TokenizersTable(BlankSplit):
         return b"".join(map(self.runs.__getitem__, plain))
 
 
-def encoded(batches: Iterable[pa.RecordBatch], path: str, rows: int = 500) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def encoded(batches: Iterable[pa.RecordBatch], path: str, rows: int = 4000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Each batch with the ids of its texts, by one table per Python worker."""
     one = kept_in_worker("tokens/table", path, lambda: TokenizersTable(path))
-    for b in each_batch(batches, rows):
-        yield b, one.encode(strings(b))
+    for b in each_batch(batches, rows, 6 << 20):
+        yield b, one.encode(b.column("text"))

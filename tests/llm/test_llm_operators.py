@@ -2,10 +2,13 @@
 
 import hashlib
 import random
+import uuid
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -349,6 +352,23 @@ def test_chunk_table_equals_whole_texts(name, some):
     assert all(np.frombuffer(a, "<u2").tolist() == whole.encode(t, add_special_tokens=False).ids for a, t in zip(chunks.encode(texts), texts, strict=True))
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_table_is_asked_once_for_a_chunk_of_a_batch(name, some):
+    one, asked = tokens.TokenizersTable(tokens.public_path(name)), Counter()
+
+    class Counted(type(one.table)):
+        def __getitem__(self, key):
+            asked[key] += 1
+            return dict.__getitem__(self, key)
+
+    one.table = Counted(one.key, 10)
+    texts = ["qzx and qzx again, and\nqzx on qzx", "and qzx", None, "", *[" odd  blanks "] * 2, *some.text.tolist()] * 3
+    ids = one.encode(texts)
+    assert asked["qzx"] == 1  # but for the first of a text, which has no blank before it
+    plain = tokens.TokenizersTable(tokens.public_path(name))
+    assert ids == [b"".join(map(plain.table.__getitem__, plain.split(t or ""))) for t in texts] == one.encode(pa.array(texts, pa.string()))
+
+
 def test_word_table_stays_bounded():
     from shelfspark.llm.common import WordTable
 
@@ -381,6 +401,25 @@ def test_huffman():
     assert huffman.code_lengths(np.array([0, 7, 0])).tolist() == [0, 1, 0]
 
 
+def test_token_files_code_each_document_once(spark, tmp_path, monkeypatch):
+    log = tmp_path / "coded"
+    log.mkdir()
+
+    class Logged(huffman.Codebook):
+        def encode(self, ids, sizes, at=str(log)):
+            (Path(at) / uuid.uuid4().hex).write_text(str(len(sizes)))
+            return super().encode(ids, sizes)
+
+    monkeypatch.setattr(token_files, "Codebook", Logged)
+    rows = [(i, 3, np.array([i % 7, 5, 0], "<u2").tobytes()) for i in range(1000)]
+    ids = spark.createDataFrame(rows, "doc_id long, n_tokens long, ids binary").repartition(4)
+    token_files.write_token_files(ids, f"{tmp_path}/files")
+    assert sum(int(p.read_text()) for p in log.iterdir()) == 1000
+    monkeypatch.undo()
+    got = token_files.read_token_files(spark, f"{tmp_path}/files").orderBy("start").collect()
+    assert [(r["doc_id"], r["start"], list(r["ids"])) for r in got] == [(i, 3 * i, [i % 7, 5, 0]) for i in range(1000)]
+
+
 def test_token_files(spark, odd, none, tmp_path):
     from shelfspark.llm.common import stage
     from tokenizers import Tokenizer
