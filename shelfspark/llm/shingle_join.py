@@ -220,6 +220,8 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFram
                     vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
+    if pairs.isEmpty():
+        return pairs.select("u", "v").where(F.lit(False))
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ends = stage(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "candidates")
     own = join_small(texts, ends, ["node"], "left_semi", MOST_NODES).groupBy("node").agg(F.first("text").alias("text"))
@@ -251,6 +253,12 @@ def bitmaps(texts: DataFrame, nodes: DataFrame, width: int = WIDTH) -> DataFrame
 def links(texts: DataFrame, width: int = WIDTH, known: DataFrame | None = None) -> DataFrame:
     """texts (node long, text), equal nodes having equal texts -> (u, v), u < v: similar pairs that connect all similar
     pairs. known (u, v): pairs that have been verified; what they connect is not tried again."""
+    return connected(texts, width, known)[0]
+
+
+def connected(texts: DataFrame, width: int = WIDTH, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The links, and their components (node, root) as a table. Components are made anew only when a round has found a pair,
+    of the stars before it and what it found."""
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     common = _common(texts, width)
 
@@ -268,17 +276,19 @@ def links(texts: DataFrame, width: int = WIDTH, known: DataFrame | None = None)
     keys = texts.select("node", "text").mapInArrow(run, "key long, node long, size int, pos int")
     shared = stage(dealt(keys).sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, size int, pos int, least long, fits boolean"), "shared-shingles")
     tried = shared.where((F.col("node") > F.col("least")) & F.col("fits")).select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()
+    at = None
     if known is not None:
-        at = stage(components(known), "known-components")
+        at = stage(components(known), "components")
         placed = tried.join(at.select(F.col("node").alias("u"), F.col("root").alias("p")), "u", "left").join(at.select(F.col("node").alias("v"), F.col("root").alias("q")), "v", "left")
         tried = placed.where(~F.coalesce(F.col("p") == F.col("q"), F.lit(False))).select("u", "v")
     tried = stage(tried, "star-pairs")
-    found = verified(tried, texts, width)
-    found = found if known is None else found.unionAll(known.select("u", "v"))
+    fresh = verified(tried, texts, width)
+    found = fresh if known is None else fresh.unionAll(known.select("u", "v"))
     marked = stage(bitmaps(texts, shared, width), "bitmaps")
     rounds = [tried]
     for beside in (*BESIDE, None):
-        placed = shared.join(components(found), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "size", "pos").join(marked, "node").select("key", "node", "root", "size", "pos", *MARKS)
+        at = _with(at, fresh)
+        placed = shared.join(at, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "size", "pos").join(marked, "node").select("key", "node", "root", "size", "pos", *MARKS)
         if beside:
             rest = dealt(placed).sortWithinPartitions("key", "node").mapInArrow(_beside(beside), "u long, v long")
         else:
@@ -286,8 +296,19 @@ def links(texts: DataFrame, width: int = WIDTH, known: DataFrame | None = None)
         done = reduce(DataFrame.unionAll, rounds)
         more = stage(rest.distinct().join(done, ["u", "v"], "left_anti"), "pairs-across" if beside is None else "pairs-beside")
         rounds.append(more)
-        if not more.isEmpty():
-            found = found.unionAll(verified(more, texts, width))
+        fresh = verified(more, texts, width)
+        found = found.unionAll(fresh)
+    at = _with(at, fresh)
     for used in (shared, marked, *rounds):
         release(used)
-    return found
+    return found, at
+
+
+def _with(at: DataFrame | None, fresh: DataFrame) -> DataFrame:
+    """The components `at` joined by the pairs `fresh`."""
+    if at is None:
+        return stage(components(fresh), "components")
+    if fresh.isEmpty():
+        return at
+    stars = at.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+    return stage(components(stars.unionAll(fresh.select("u", "v"))), "components")

@@ -178,11 +178,11 @@ def links(fps: DataFrame) -> DataFrame:
     return found.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def _of_fingerprints(rows: DataFrame, name: str, edges: DataFrame | None = None) -> DataFrame:
-    """rows (doc_id, name) -> (name, component): the least doc_id reachable from each fingerprint, over edges (u, v) or
-    the links of the fingerprints."""
+def _of_fingerprints(rows: DataFrame, name: str, nodes: DataFrame | None = None) -> DataFrame:
+    """rows (doc_id, name) -> (name, component): the least doc_id reachable from each fingerprint, over the components
+    (node, root) given or the links of the fingerprints."""
     fps = stage(rows.groupBy(F.col(name).alias("fp")).agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    nodes = components(links(fps) if edges is None else edges)
+    nodes = components(links(fps)) if nodes is None else nodes
     member = stage(fps.join(nodes, fps.fp == nodes.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "members")
     least = member.groupBy("root").agg(F.min("least").alias("component"))
     return member.join(least, "root").select(F.col("fp").alias(name), "component")
@@ -219,8 +219,8 @@ def similar_texts(docs: DataFrame, width: int = shingle_join.WIDTH, id_col: str
     near = balls.join(met, "fp", "left").withColumn("root", F.coalesce("root", "fp")).join(root, "root").select("fp", "first")
     pairs = rows.select("fp", "node").distinct().join(near, "fp").where("node <> first").select(F.least("node", "first").alias("u"), F.greatest("node", "first").alias("v"))
     known = shingle_join.verified(stage(pairs, "ball-pairs"), texts.select("node", "text"), width)
-    edges = shingle_join.links(texts.select("node", "text"), width, known)
-    return rows.join(_of_fingerprints(rows.select("doc_id", "node"), "node", edges), "node").select("doc_id", "node", F.col("component").alias("component_id"))
+    _, nodes = shingle_join.connected(texts.select("node", "text"), width, known)
+    return rows.join(_of_fingerprints(rows.select("doc_id", "node"), "node", nodes), "node").select("doc_id", "node", F.col("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = similar_texts) -> DataFrame:

@@ -698,6 +698,26 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_however_edges_are_split(spark, monkeypatch):
+    """Stars that tasks make of a few edges each, in partitions that Spark does not unite, and of strings."""
+    monkeypatch.setattr(components, "AT_ONCE", 7)
+    draw = random.Random(4)
+    edges = [(f"n{i}", f"n{i + 1}") for i in range(40)] + [(f"m{draw.randrange(90)}é", f"m{draw.randrange(90)}é") for _ in range(80)]
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for u, v in edges:
+            root[u] = root[v] = min(root[u], root[v])
+    root = {x: root[x] for e in edges if e[0] != e[1] for x in e}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        found = components.components(spark.createDataFrame(edges, "u string, v string"))
+        assert sorted((r["node"], r["root"]) for r in found.collect()) == sorted(root.items())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 # -- weighted fingerprints
 
 

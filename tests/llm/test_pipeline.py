@@ -69,3 +69,15 @@ def test_run_on_nothing(spark, sf_dir, tmp_path):
             else:
                 assert out.columns == docs.columns and out.exceptAll(docs).isEmpty()
                 docs = out
+
+
+def test_near_duplicates_take_few_jobs(spark, sf_dir, tmp_path):
+    """However few the rows, jobs are work of the driver: on a small table, components are found in one task, and only where a
+    round has found a pair."""
+    step = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    spark.sparkContext.setJobGroup("near-duplicates", "")
+    try:
+        step(spark, documents(spark, sf_dir), sf_dir).write.parquet(f"{tmp_path}/kept")
+        assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("near-duplicates")) < 130
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
